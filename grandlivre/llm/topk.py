@@ -76,7 +76,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         bound = np.zeros(len(ids), np.float32)
         for p in range(len(table)):
             np.maximum(bound, np.abs(table[p] - query_pivots[q, p]), out=bound)
-        best_s, best_i, at, step = np.zeros(0), np.zeros(0, np.int64), 0, max(256, 4 * k)
+        best_s, best_i, at, step = np.zeros(0), np.zeros(0, np.int64), 0, max(256, 4 * k)  # steps double as the bound decides less
         order = np.argpartition(bound, min(step, len(bound) - 1))[:step] if len(bound) > step else np.arange(len(bound))
         order = order[np.argsort(bound[order], kind="stable")]
         whole = len(order) == len(bound)
@@ -87,10 +87,15 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
                     break
             part = order[at : at + step]
             part = part[ids[part] != query_ids[q]]
-            s, i = np.concatenate([best_s, vectors[part] @ queries[q]]), np.concatenate([best_i, ids[part]])
+            s = vectors[part] @ queries[q]
+            if len(best_s) == k:  # only those that can enter are merged
+                enter = s >= best_s[-1]
+                s, part = s[enter], part[enter]
+            s, i = np.concatenate([best_s, s]), np.concatenate([best_i, ids[part]])
             keep = np.lexsort((i, -s))[:k]
             best_s, best_i = s[keep], i[keep]
             at += step
+            step *= 2
             if at >= len(order) and not whole:
                 # those beyond the first step, if their bounds can still matter
                 reach = np.sqrt(max(lengths[q] + longest**2 - 2 * (best_s[-1] - 0.5), 0)) + widest if len(best_s) == k else np.inf

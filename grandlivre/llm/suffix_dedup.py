@@ -3,12 +3,13 @@
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier (in a document with a
 smaller id, or earlier in the same one); strings are judged on the input. Texts are UTF-8 bytes.
 
-1. Every window of ``length`` bytes has an *anchor*: the start of its least 32-byte gram by hash, the
-   leftmost if equal. Equal windows have equal anchors at equal distances, and about one position in 35 is
+1. Every window of ``length`` bytes has an *anchor*: the start of its least 24-byte gram by hash, the
+   leftmost if equal. Equal windows have equal anchors at equal distances, and about one position in 39 is
    an anchor, so only these travel: (gram, document, position). Grams that occur once are dropped after a
    count that is combined before the shuffle; the join that keeps the others may be split by Spark.
-2. For the others, the bytes around the anchor that its windows can reach are cut out. Equal surroundings in
-   one task collapse to their first. Anchors of grams that are very frequent are dealt out by the bytes that
+2. For the others, the bytes around the anchor that its windows can reach are cut out. A document whose whole
+   text is that of an earlier one sends nothing: all its windows start earlier. Equal surroundings in one
+   task collapse to their first. Anchors of grams that are very frequent are dealt out by the bytes that
    all windows of a group of distances share, so that a passage in a third of all documents is spread over
    many tasks; all others by their gram.
 3. In a task the strings to the right of the anchors, and those to the left read backwards, are each
@@ -33,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import texts
+from .common import materialize, texts
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 #: Levels of 8 bytes that multikey quicksort takes before blind tries follow.
 SHALLOW = 6
 #: Occurrences from which a gram's anchors are dealt out by more than the gram, and the distances of a piece.
@@ -210,8 +211,18 @@ def _pieces(least: int, most: int, hot: bool) -> Iterator[tuple[int, int, int]]:
         yield q, max(least, q * PIECE), min(most, q * PIECE + PIECE - 1)
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc long, start int, end int): byte ranges of ``docs`` (doc, text) that windows found earlier cover; they may overlap."""
+def earlier_copies(docs: DataFrame) -> DataFrame:
+    """(doc): documents whose whole text is that of a document with a smaller id."""
+    marked = docs.select("doc", F.sha2(F.coalesce("text", F.lit("")), 256).alias("same"))
+    first = marked.groupBy("same").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
+    return marked.join(first, "same").where("doc > first").select("doc").distinct()
+
+
+def removed_ranges(docs: DataFrame, copies: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc long, start int, end int): byte ranges of ``docs`` (doc, text) that windows found earlier cover; they may overlap.
+
+    ``copies`` are left out; all their windows start earlier.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,31 +257,35 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     for q, least, most in _pieces(a - int(last[k]), a - int(first[k]), bool(hot[i])):
                         left, right = raw[a - most : a], raw[a : a + length - least]
                         if kept.setdefault((g, q, least, left, right), (doc, s)) != (doc, s):
-                            out.append((doc, doc, q, s, least, most, None, None))  # the same surroundings lie earlier
+                            out.append((doc, doc, q, s - most, s - least + length, most, None))  # the same surroundings lie earlier
                         else:
                             core = raw[a - q * PIECE : a + length - q * PIECE - PIECE + 1] if q >= 0 else b""
                             route = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True) ^ g if q >= 0 else g
-                            out.append((route, doc, q, s, least, most, left[::-1], right))
+                            out.append((route, doc, q, s - most, s - least + length, most, left + right))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    names = ["route", "doc", "piece", "place", "least", "most", "left", "right"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    around = docs.join(wanted, "doc").mapInArrow(cut, "route long, doc long, piece int, place int, least int, most int, left binary, right binary")
+    names = ["route", "doc", "piece", "start", "end", "anchor", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    some = wanted.join(copies, "doc", "left_anti")
+    around = docs.join(some, "doc").mapInArrow(cut, "route long, doc long, piece int, start int, end int, anchor int, bytes binary")
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        route, doc, piece, place, least, most = (table.column(k).to_numpy().astype(np.int64) for k in range(6))
-        passed = table.column("right").is_null().to_numpy()
+        route, doc, piece, start, end, anchor = (table.column(k).to_numpy().astype(np.int64) for k in range(6))
+        passed = table.column("bytes").is_null().to_numpy()
         row = np.flatnonzero(~passed)
-        table = table.filter(pa.array(~passed))
+        bodies = table.column("bytes").filter(pa.array(~passed)).to_pylist()
         pairs = np.stack([route[row], piece[row]], 1)
         group = np.unique(pairs, axis=0, return_inverse=True)[1].ravel() if len(row) else row
         rank = np.empty(len(row), np.int64)
-        rank[np.lexsort((place[row], doc[row]))] = np.arange(len(row))
-        which, near, far = repeated(group, rank, least[row], most[row], table.column("left").to_pylist(), table.column("right").to_pylist(), length)
+        rank[np.lexsort((start[row] + anchor[row], doc[row]))] = np.arange(len(row))
+        most, place = anchor[row], start[row] + anchor[row]
+        least = length - (end[row] - place)
+        left, right = [x[:m][::-1] for x, m in zip(bodies, most, strict=True)], [x[m:] for x, m in zip(bodies, most, strict=True)]
+        which, near, far = repeated(group, rank, least, most, left, right, length)
         doc = np.concatenate([doc[passed], doc[row][which]])
-        start = np.concatenate([place[passed] - most[passed], place[row][which] - far])
-        end = np.concatenate([place[passed] - least[passed], place[row][which] - near]) + length
+        start = np.concatenate([start[passed], place[which] - far])
+        end = np.concatenate([end[passed], place[which] - near + length])
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "start", "end"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +314,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``spans`` are the maximal removed runs; ``kept`` the other bytes end to end.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    ranges = removed_ranges(base, length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    copies = materialize(earlier_copies(base), "copies")
+    ranges = removed_ranges(base, copies, length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    whole = copies.select("doc", F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"))).alias("ranges"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,8 +325,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 many = np.diff(lists.offsets.to_numpy())
                 items, shift = lists.flatten(), np.repeat(at[:-1], many)
                 step = np.zeros(len(data) + 1, np.int64)
-                np.add.at(step, items.field(0).to_numpy().astype(np.int64) + shift, 1)
-                np.add.at(step, items.field(1).to_numpy().astype(np.int64) + shift, -1)
+                start, end = (items.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                size = np.repeat(np.diff(at), many)
+                end = np.where(end < 0, np.where(size >= length, size, 0), end)  # -1: a copy goes whole, if it has a window
+                np.add.at(step, start + shift, 1)
+                np.add.at(step, end + shift, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(gone)])
                 first = np.zeros(len(data) + 1, bool)
@@ -326,4 +346,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
     out = f"`{id_col}` long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
-    return base.join(ranges, "doc", "left").mapInArrow(apply, out)
+    return base.join(ranges.union(whole), "doc", "left").mapInArrow(apply, out)

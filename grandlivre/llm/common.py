@@ -36,6 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def thin(df: DataFrame, key: str, wanted: DataFrame, bits: int = 20) -> DataFrame:
+    """Rows of ``df`` whose key may be among those of ``wanted``, kept where they are read.
+
+    The keys' hashes modulo 2**bits are a table of at most 2**bits numbers however many keys there are, so
+    they are broadcast. Some other rows stay (all, in the worst case); an exact join must follow.
+    """
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int").alias("_place")
+    places = F.broadcast(wanted.select(place()).distinct())
+    return df.withColumn("_place", place()).join(places, "_place", "left_semi").drop("_place")
+
+
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows of ``df``, drawn by a hash of ``key``: the same at every run, all if there are fewer."""
     n = df.count()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import int_lists, materialize, texts
+from .common import int_lists, materialize, texts, thin
 from .components import connected_components
 
 N, THRESHOLD = 5, 0.8
@@ -189,7 +189,7 @@ def _links(members: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
                 flat = pa.array([row.tobytes() for row in sig], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(batch.column(k).slice(lo, hi - lo) for k in (2, 3, 4)), lists, flat], names=["doc", "component", "block", "blocks", "grams", "signature"])
 
-    loaded = docs.join(members, "doc").mapInArrow(load, "doc long, component long, block int, blocks int, grams array<long>, signature binary")
+    loaded = thin(docs, "doc", members).join(members, "doc").mapInArrow(load, "doc long, component long, block int, blocks int, grams array<long>, signature binary")
     # a block meets every block of its component, itself included; pairs are named smaller block first
     meets = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.select("doc", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "grams", "signature")
@@ -259,6 +259,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     near = connected_components(bands.join(hubs, "key").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
     sizes = near.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = near.join(sizes, "component").select(F.col("node").alias("doc"), "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    members = materialize(members, "members")
     links = materialize(_links(members, base, n, threshold), "links")
     classes = connected_components(links.select(F.col("doc").alias("u"), F.col("root").alias("v")))
     degrees = links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("n_links"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 BLOCK = 256
 BIT = [1 << k for k in range(BLOCK)]
 #: Encoded pre-tokens that a worker keeps; beyond that it starts afresh.
-KEPT = 400_000
+KEPT = 1_000_000
 ARROW = {"array<int>": pa.list_(pa.int32()), "binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}
 
 
@@ -40,6 +40,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
 
 
+class Pieces(dict):
+    """Ids of the pre-tokens met so far; others are encoded when they are asked for."""
+
+    def __init__(self, encode: Callable[[str], tuple[int, ...]]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.encode(piece)
+        if len(self) >= KEPT:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder for one vocabulary."""
 
@@ -49,7 +64,7 @@ class Codec:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.text = {rank: str(rank) for rank in self.tokens}
         self.blocks = [0] * (max(ranks.values()) // BLOCK + 1)  # all 0 between pre-tokens
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Pieces(self.piece)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token that is not itself in the vocabulary.
@@ -120,21 +135,14 @@ class Codec:
         return ids
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of one pre-token, from the worker's store if it has them."""
-        ids = self.known.get(piece)
-        if ids is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else tuple(self.merge(raw))
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            if len(piece) <= 64:
-                self.known[piece] = ids
-        return ids
+        """Ids of one pre-token."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(raw)
+        return (whole,) if whole is not None else tuple(self.merge(raw))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without special tokens."""
-        return list(chain.from_iterable(map(self.piece, self.split(text))))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes that the ids stand for."""

@@ -98,3 +98,88 @@ def weighted_decision(axis: DataFrame) -> DataFrame:
             "blocking": F.when(score.isNull(), "INSUFFICIENT_DATA").otherwise("PARTIAL_DATA"),
         }
     )
+
+
+# Points of the weighted behaviour axis (metric, points by bound, at least or at most, points otherwise).
+BEHAVIOUR = [
+    ("domiciliation", [(80, 20), (60, 12)], True, 4),
+    ("overdraft", [(40, 15), (70, 8)], False, 0),
+    ("debit_days", [(45, 15), (90, 8)], False, 0),
+    ("gap", [(5, 15), (15, 8)], False, 0),
+    ("leasing_delays", [(0, 15)], False, 0),
+]
+# Ratios compared with sector medians, and whether higher is better.
+SECTOR = [("commercial_profitability", True), ("financial_autonomy", True), ("debt_ratio", False), ("repayment_capacity", False), ("ca_growth", True)]
+# Weights of the axes and severe ratings.
+AXES = [("financial", 0.75), ("behavioral", 0.15), ("sector", 0.10)]
+SEVERE_RATINGS = [7, 8, 9]
+
+
+def weighted_behaviour(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, behavioral, behavioral_ok, blocking): points of 100 from given metrics, null metrics give none.
+
+    Metrics worth less than 70 points in all leave the axis without a score; anything in ``blocking`` (severe
+    rating, incidents, unpaid bills, rejects, leasing delays) leaves the score but makes it unusable.
+    """
+    points, covered = F.lit(0), F.lit(0)
+    for name, bounds, least, otherwise in BEHAVIOUR:
+        x = F.abs(F.col(name)) if name == "gap" else F.col(name)
+        scale = F
+        for bound, worth in bounds:
+            scale = scale.when(x >= bound if least else x <= bound, worth)
+        points = points + F.when(x.isNull(), 0).otherwise(scale.otherwise(otherwise))
+        covered = covered + F.when(x.isNull(), 0).otherwise(bounds[0][1])
+    trio = [F.col(c) for c in ("incidents", "rejects", "unpaid")]
+    given = trio[0].isNotNull() & trio[1].isNotNull() & trio[2].isNotNull()
+    points = points + F.when(given & (trio[0] == 0) & (trio[1] == 0) & (trio[2] == 0), 20).otherwise(0)
+    covered = covered + F.when(given, 20).otherwise(0)
+    reasons = [("BAM", F.col("bam").isin(SEVERE_RATINGS)), ("incidents", trio[0] > 0), ("impayés", trio[2] > 0), ("rejets", trio[1] > 0), ("leasing", F.col("leasing_delays") > 0)]
+    blocking = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in reasons]))
+    enough = covered >= 70
+    out = df.select(*keys, F.when(enough, points).otherwise(0).cast("double").alias("behavioral"), enough.alias("_enough"), blocking.alias("blocking"))
+    return out.select(*keys, "behavioral", (F.col("_enough") & (F.size("blocking") == 0)).alias("behavioral_ok"), "blocking")
+
+
+def weighted_sector(ratios: DataFrame, keys: list[str], medians: DataFrame, sector: str) -> DataFrame:
+    """(keys, sector_score, sector_ok): share of compared ratios on the better side of their sector's median, of three at least.
+
+    ``medians`` (sector, code, median) joins by sector and code; Spark carries it to the tasks where it is small.
+    """
+    wanted = ratios.where(F.col("code").isin([c for c, _ in SECTOR]) & F.col("value").isNotNull())
+    pairs = wanted.join(medians.select(sector, "code", "median").where("median is not null"), [sector, "code"])
+    lower = [c for c, up in SECTOR if not up]
+    better = F.when(F.col("code").isin(lower), F.col("value") <= F.col("median")).otherwise(F.col("value") >= F.col("median"))
+    counts = pairs.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(better).alias("_b"))
+    enough = F.col("_n") >= 3
+    return counts.select(*keys, F.when(enough, F.round(F.col("_b") * 100 / F.col("_n"), 2)).otherwise(0.0).alias("sector_score"), enough.alias("sector_ok"))
+
+
+def final_score(df: DataFrame, allow_partial: bool) -> DataFrame:
+    """Add final and partial from financial, behavioral, sector_score and their ``_ok`` flags (null is false).
+
+    The weighted mean of the axes that hold; without the financial one, or without any other unless
+    ``allow_partial``, there is none. ``partial`` says that an axis is left out.
+    """
+    names = {"financial": ("financial", "financial_ok"), "behavioral": ("behavioral", "behavioral_ok"), "sector": ("sector_score", "sector_ok")}
+    ok = {a: F.coalesce(F.col(names[a][1]), F.lit(False)) for a, _ in AXES}
+    exact = lambda x: x.cast("decimal(12,4)")
+    top = sum((F.when(ok[a], exact(F.col(names[a][0])) * exact(F.lit(w))).otherwise(exact(F.lit(0))) for a, w in AXES), F.lit(0))
+    base = sum((F.when(ok[a], exact(F.lit(w))).otherwise(exact(F.lit(0))) for a, w in AXES), F.lit(0))
+    every = ok["behavioral"] & ok["sector"]
+    usable = ok["financial"] & (every | F.lit(allow_partial))
+    return df.withColumns({"final": F.when(usable, F.round(F.try_divide(top, base), 2).cast("double")), "partial": usable & ~every})
+
+
+def credit_decision(df: DataFrame) -> DataFrame:
+    """Add risk_class, decision and blocking_status from final, partial and blocking (array of reasons; null counts as none).
+
+    Reasons that name a rating, unpaid bills or fraud are severe. Any reason rules out agreement.
+    """
+    reasons = F.coalesce(F.col("blocking"), F.array().cast("array<string>"))
+    severe = F.exists(reasons, lambda r: r.contains("BAM") | F.lower(r).contains("impayé") | F.lower(r).contains("fraude"))
+    blocked, none = F.size(reasons) > 0, F.col("final").isNull()
+    risk = F.when(blocked, F.when(severe & (F.col("final") < 50), "D/F").otherwise("NON_EVALUABLE")).when(none, "NON_EVALUABLE").otherwise(grid(F.col("final"), 1, "D/F"))
+    plain = F.when(F.col("partial"), "Revue manuelle (score financier provisoire)").otherwise(grid(F.col("final"), 3, "Refus recommandé"))
+    decision = F.when(blocked, F.when(severe, "Refus recommandé").otherwise("Revue manuelle")).when(none, "Revue manuelle").otherwise(plain)
+    status = F.when(blocked, F.when(severe, "BLOCKING_CRITERIA").otherwise("INSUFFICIENT_DATA")).when(none, "INSUFFICIENT_DATA").when(F.col("partial"), "PARTIAL_DATA")
+    return df.withColumns({"risk_class": risk, "decision": decision, "blocking_status": status})

@@ -25,7 +25,7 @@ def company_number(raw: Column) -> tuple[Column, Column]:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _table_lines(text: Column) -> Column:

@@ -13,7 +13,9 @@ from .operators import classify as C
 from .operators import ratios as R
 from .operators import resolve as W
 from .operators import scoring as S
+from .operators import tables as T
 from .plans.statements import ST_SQL, statements
+from .sources.reports import numbered
 
 KEYS = ["k", "y"]
 # Marker words of the generated texts, so that every rule is met; the fixed markers are exercised by tests.
@@ -119,8 +121,28 @@ def complete_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.credit_decision(S.final_score(case, True)).select(*KEYS, "final", "partial", "risk_class", "decision", "blocking_status")
 
 
+def parsed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems printed as one table an order between other lines, and read back."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("| %d | %s |  | %s |", F.col("l_linenumber").cast("int"), "l_returnflag", F.col("l_quantity").cast("int").cast("string")).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"])
+    head = F.array(F.lit("avant | après"), F.lit("| n | flag | vide |"), F.lit("|---|:--|---|"))
+    text = F.array_join(F.concat(head, lines, F.array(F.lit("fin"))), "\n")
+    return T.parse_tables(rows.groupBy("l_orderkey").agg(text.alias("text")), ["l_orderkey"], "text")
+
+
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"), 400)).alias("chunk", "t"))
+    return parts.select("doc_id", "chunk", F.length("t").cast("long").alias("n_chars"))
+
+
+def ratio_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.weighted_ratios(W.with_previous(statements(spark, sf_dir), "k", "y", "ca", "ca_n1"), KEYS)
+    return numbered(out.select(*KEYS, "code", "status"), KEYS, ["code"])
+
+
 QUERIES = [
     page_types, document_types, simple_page_types, page_text_checks, overlapping_pages, balances, net_results, preferred_candidates, dense_fields, matched_labels, weighted_behaviour, weighted_sector, complete_decision,
+    parsed_tables, text_chunks, ratio_sheet,
 ]
 
 
@@ -194,6 +216,15 @@ def oracle_sql(weighted: str, folded: str, similar: str) -> dict[str, str]:
           n AS (SELECT p_partkey, trim({folded.format('l')}) a FROM p), s AS (SELECT p_partkey, code, CAST({similar.format(a='n.a', b='a.b')} AS DOUBLE) s FROM n CROSS JOIN a),
           m AS (SELECT p_partkey, max_by(code, struct_pack(s := s, p := -code)) code, max(s) s FROM s WHERE s >= 0.7 GROUP BY 1)
           SELECT n.p_partkey, m.code, round(m.s, 6) similarity FROM n LEFT JOIN m ON n.p_partkey = m.p_partkey""",
+        "parsed_tables": """WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag f, CAST(CAST(trunc(l_quantity) AS INTEGER) AS VARCHAR) q FROM lineitem),
+          r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, f, q) + 1 n FROM l)
+          SELECT l_orderkey, CAST(1 AS INTEGER) AS block, CAST(n AS INTEGER) AS row, CAST(l_linenumber AS VARCHAR) AS label, c.name AS column, CASE c.name WHEN 'flag' THEN f WHEN 'col_3' THEN q END AS value
+          FROM r CROSS JOIN (VALUES ('flag'), ('vide'), ('col_3')) c(name)""",
+        "text_chunks": """WITH RECURSIVE l AS (SELECT doc_id, u.n, length(u.line) len FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n) u WHERE text <> ''),
+          r AS (SELECT doc_id, n, 0 AS chunk, len AS size FROM l WHERE n = 1 UNION ALL
+            SELECT l.doc_id, l.n, r.chunk + CASE WHEN r.size + 1 + l.len <= 400 THEN 0 ELSE 1 END, CASE WHEN r.size + 1 + l.len <= 400 THEN r.size + 1 + l.len ELSE l.len END FROM r JOIN l ON l.doc_id = r.doc_id AND l.n = r.n + 1)
+          SELECT doc_id, chunk, max(size)::BIGINT AS n_chars FROM r GROUP BY 1, 2""",
+        "ratio_sheet": f"{weighted} SELECT k, y, code, status, CAST(row_number() OVER (PARTITION BY k, y ORDER BY code) AS INTEGER) n FROM w",
         "weighted_behaviour": f"WITH {behaviour} SELECT k, behavioral, behavioral_ok, blocking FROM bh",
         "weighted_sector": f"{weighted}, {sector} SELECT k, y, sector_score, sector_ok FROM se",
         "complete_decision": f"""{weighted}, {sector}, {behaviour}, fa AS (SELECT k, y, round(sum(points) / sum(weight) * 100, 2) financial, count(*) FILTER (code IN ({essential}) AND status = 'non_calculable') = 0 financial_ok FROM w GROUP BY k, y),

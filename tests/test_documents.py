@@ -7,6 +7,9 @@ from grandlivre.functions import pages as P
 from grandlivre.operators import candidates as K
 from grandlivre.operators import classify as C
 from grandlivre.operators import scoring as S
+from grandlivre.operators import tables as T
+from grandlivre.sources import reports
+from grandlivre.streaming.rescore import latest, rescore
 
 
 def one(spark, *columns):
@@ -42,7 +45,7 @@ def test_page_text(spark):
     assert get(P.clean_text(F.lit(" a \t b\r\n\r\n\r\n\r\nc "))) == "a b\n\nc" and get(P.clean_text(F.lit(None).cast("string"))) == ""
     assert get(P.amounts_in(F.lit("ventes 10 472 949,06 et -3,50 puis 12"))) == ["10 472 949,06", "-3,50"]
     assert list(one(spark, *P.company_number(F.lit(" 25725 / RABAT ")))) == ["25725", "RABAT"] and list(one(spark, *P.company_number(F.lit(None).cast("string")))) == ["", ""]
-    assert get(P.table_quality(F.lit("|a|b|\n|1|2|\n|3|\nx"))) == pytest.approx(2 / 3) and get(P.table_quality(F.lit("a\nb\nc\nd"))) == 0.5 and get(P.table_quality(F.lit(None).cast("string"))) == 0.0
+    assert get(P.table_quality(F.lit("|a|b|\n|1|2|\n|3|\nx"))) == pytest.approx(2 / 3) and get(P.table_quality(F.lit("  |a|b| \n x"))) == 1.0 and get(P.table_quality(F.lit("a\nb\nc\nd"))) == 0.5 and get(P.table_quality(F.lit(None).cast("string"))) == 0.0
     long = "\n".join(["ligne de texte sans tableau " * 2] * 5)
     assert [get(P.insufficient_text(F.lit(x))) for x in ("[PAGE VIDE]", "court", long)] == [False, True, False]
     assert get(P.merge_overlap(F.lit("a\nB  c\nd"), F.lit("b C\nD\ne"))) == "a\nB  c\nd\ne" and get(P.merge_overlap(F.lit("a"), F.lit("b"))) == "a\nb"
@@ -83,3 +86,37 @@ def test_weighted_decision_with_all_axes(spark):
     out = {r.k: (r.final, r.risk_class, r.blocking_status) for r in S.credit_decision(S.final_score(df, True)).collect()}
     assert out == {1: (81.0, "A/B+", None), 2: (80.0, "A/B+", "PARTIAL_DATA"), 3: (None, "NON_EVALUABLE", "INSUFFICIENT_DATA"), 4: (33.53, "D/F", "BLOCKING_CRITERIA"), 5: (90.88, "NON_EVALUABLE", "INSUFFICIENT_DATA")}
     assert {r.k for r in S.final_score(df, False).where("final is not null").collect()} == {1}
+
+
+def test_tables_and_chunks(spark):
+    text = "titre\n| poste | N | N-1 |\n|---|---|---|\n| Ventes | 10,00 | |\n|  | 5,00 | 1,00 |\n| Stocks | 3,00 | 2,00 | x |\nsuite\n| a | b |\n| c | d |"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "|seul|"), (4, "")], "d long, t string")
+    got = sorted(tuple(r) for r in T.parse_tables(df, ["d"], "t").fillna("null").collect())
+    assert got == sorted([(1, 1, 2, "Ventes", "N", "10,00"), (1, 1, 2, "Ventes", "N-1", "null"), (1, 1, 4, "Stocks", "N", "3,00"), (1, 1, 4, "Stocks", "N-1", "2,00"), (1, 1, 4, "Stocks", "col_3", "x"), (1, 2, 1, "c", "b", "d")])
+    cut = lambda t, n: one(spark, T.chunks(F.lit(t).cast("string"), n))[0]
+    assert cut("aa\nbb\ncccccccc\nd", 5) == ["aa\nbb", "cccccccc", "d"] and cut(None, 5) == [] and cut("", 5) == [] and cut("abc", 1) == ["abc"]
+
+
+def test_rescore(spark, tmp_path):
+    values = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "k long, v double")
+    values.limit(0).select("k").write.parquet(str(tmp_path / "in"))
+
+    def run(factor):
+        stream = spark.readStream.schema("k long").parquet(str(tmp_path / "in"))
+        rescore(stream, ["k"], lambda keys: keys.join(values, "k").withColumn("v", F.col("v") * factor), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        return {r.k: r.v for r in latest(spark, str(tmp_path / "out"), ["k"]).collect()}
+
+    spark.createDataFrame([(1,), (2,), (2,)], "k long").write.mode("append").parquet(str(tmp_path / "in"))
+    assert run(1) == {1: 10.0, 2: 20.0}
+    spark.createDataFrame([(2,), (3,)], "k long").write.mode("append").parquet(str(tmp_path / "in"))
+    assert run(2) == {1: 10.0, 2: 40.0, 3: 60.0}
+
+
+def test_sheets(spark, tmp_path):
+    decisions = spark.createDataFrame([(1, 83.0, "A/B+")], "k long, score double, risk_class string")
+    long = spark.createDataFrame([(1, "b", 2.0), (1, "a", 1.0)], "k long, code string, value double")
+    sheets = reports.export_sheets(decisions, long, long, long.where("false"), ["k"])
+    assert sorted((r.code, r.n) for r in sheets["Ratios"].collect()) == [("a", 1), ("b", 2)]
+    reports.write_sheets(sheets, str(tmp_path))
+    back = spark.read.option("header", True).csv(str(tmp_path / "Synthese"))
+    assert sorted((r.field, r.value) for r in back.collect()) == [("risk_class", "A/B+"), ("score", "83.0")]

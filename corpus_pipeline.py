@@ -37,11 +37,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by 100-byte strings that start earlier are cut; characters that a cut splits (and U+FFFD) go with it."""
-    found = suffix_dedup.deduplicate(docs)
-    found = found.where("n_removed > 0").select("doc_id", F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "").alias("cut"))
-    joined = docs.join(found, "doc_id", "left")
-    text = F.when(F.col("cut").isNotNull(), F.col("cut")).otherwise(F.col("text"))
-    return joined.withColumns({"text": text, "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut").cast("long")).otherwise(F.col("n_chars"))}).select(COLUMNS)
+    found = suffix_dedup.deduplicate(docs.withColumn("absent", F.col("text").isNull()), carry=("absent", "lang", "source", "n_chars"))
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).when(~F.col("absent"), F.col("kept").cast("string"))
+    out = found.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ smaller id, or earlier in the same one); strings are judged on the input. Texts
 4. The removed ranges of a document are merged and cut from its whole text.
 
 Null texts are empty. Documents shorter than ``length`` lose nothing. Ids are integers and tell which is
-earlier; of repeated rows with one id nothing but the order is undefined, so ids should be unique; rows
-without an id are left out (a caller that filters keeps them as they are). An empty table gives no rows.
+earlier; repeated rows of one id and text are one document and each get its result; rows of an id that
+stands for different texts lose nothing, and nothing is removed for their sake. Rows without an id are left
+out (a caller that filters keeps them as they are). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -211,17 +212,24 @@ def _pieces(least: int, most: int, hot: bool) -> Iterator[tuple[int, int, int]]:
         yield q, max(least, q * PIECE), min(most, q * PIECE + PIECE - 1)
 
 
-def earlier_copies(docs: DataFrame) -> DataFrame:
-    """(doc): documents whose whole text is that of a document with a smaller id."""
-    marked = docs.select("doc", F.sha2(F.coalesce("text", F.lit("")), 256).alias("same"))
+def several_texts(docs: DataFrame) -> DataFrame:
+    """(doc): ids whose rows hold different texts, so that nothing tells which of them is meant."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.groupBy("doc").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo != hi").select("doc")
+
+
+def earlier_copies(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """(doc): documents whose whole text is that of a document with a smaller id; those of ``several`` take no part."""
+    marked = docs.select("doc", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("same")).join(several, "doc", "left_anti")
     first = marked.groupBy("same").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
     return marked.join(first, "same").where("doc > first").select("doc").distinct()
 
 
-def removed_ranges(docs: DataFrame, copies: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc long, start int, end int): byte ranges of ``docs`` (doc, text) that windows found earlier cover; they may overlap.
+def removed_ranges(docs: DataFrame, without: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc long, start int, end int): byte ranges of ``docs`` (doc, text, more) that windows found earlier cover; they may overlap.
 
-    ``copies`` are left out; all their windows start earlier.
+    The ids of ``without`` are left out: copies, all of whose windows start earlier, and ids of several texts. Further columns of ``docs`` only travel along where
+    texts are joined, so that a caller's own join of the same table by ``doc`` can reuse that shuffle.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +240,7 @@ def removed_ranges(docs: DataFrame, copies: DataFrame, length: int = LENGTH) ->
                 ids = batch.column(0).slice(lo, hi - lo).take(pa.array(own))
                 yield pa.RecordBatch.from_arrays([pa.array(gram), ids, pa.array((place - at[own]).astype(np.int32))], names=["gram", "doc", "place"])
 
-    found = docs.mapInArrow(find, "gram long, doc long, place int")
+    found = docs.select("doc", "text").mapInArrow(find, "gram long, doc long, place int")
     counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     wanted = found.join(counts, "gram").groupBy("doc").agg(F.collect_list(F.struct("place", (F.col("n") >= HOT).alias("hot"))).alias("wanted"))
 
@@ -241,7 +249,7 @@ def removed_ranges(docs: DataFrame, copies: DataFrame, length: int = LENGTH) ->
             for lo, hi, data, at in texts(batch, "text"):
                 raw = data.tobytes()
                 place, gram, first, last = anchors(data, at, length)
-                lists = batch.column(2).slice(lo, hi - lo)
+                lists = batch.column("wanted").slice(lo, hi - lo)
                 items = lists.flatten()
                 start = items.field(0).to_numpy().astype(np.int64) + np.repeat(at[:-1], np.diff(lists.offsets.to_numpy()))
                 index = np.searchsorted(place, start)
@@ -267,14 +275,17 @@ def removed_ranges(docs: DataFrame, copies: DataFrame, length: int = LENGTH) ->
 
     names = ["route", "doc", "piece", "start", "end", "anchor", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    some = wanted.join(copies, "doc", "left_anti")
+    some = wanted.join(without, "doc", "left_anti")
     around = docs.join(some, "doc").mapInArrow(cut, "route long, doc long, piece int, start int, end int, anchor int, bytes binary")
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         route, doc, piece, start, end, anchor = (table.column(k).to_numpy().astype(np.int64) for k in range(6))
         passed = table.column("bytes").is_null().to_numpy()
         row = np.flatnonzero(~passed)
-        bodies = table.column("bytes").filter(pa.array(~passed)).to_pylist()
+        order = row[np.lexsort((piece[row], route[row], start[row] + anchor[row], doc[row]))]
+        same = [x[order][1:] == x[order][:-1] for x in (route, doc, piece, start, anchor)]
+        row = np.sort(order[np.concatenate([[True], ~np.logical_and.reduce(same)])[: len(order)]])  # a repeated row is one occurrence
+        bodies = table.column("bytes").take(pa.array(row)).to_pylist()
         pairs = np.stack([route[row], piece[row]], 1)
         group = np.unique(pairs, axis=0, return_inverse=True)[1].ravel() if len(row) else row
         rank = np.empty(len(row), np.int64)
@@ -308,20 +319,22 @@ def removed_ranges(docs: DataFrame, copies: DataFrame, length: int = LENGTH) ->
     return around.repartition("route").sortWithinPartitions("route").mapInArrow(sort, "doc long, start int, end int")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, n_removed, spans array<start,end>, kept binary) of every document with an id.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, spans array<start,end>, kept binary, carry) of every document with an id.
 
-    ``spans`` are the maximal removed runs; ``kept`` the other bytes end to end.
+    ``spans`` are the maximal removed runs; ``kept`` the other bytes end to end. Columns named in ``carry`` come
+    out beside them, which spares a join with ``docs``.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    copies = materialize(earlier_copies(base), "copies")
-    ranges = removed_ranges(base, copies, length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry))).where("doc is not null")
+    several = materialize(several_texts(base), "several")
+    copies = materialize(earlier_copies(base, several), "copies")
+    ranges = removed_ranges(base, copies.union(several), length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     whole = copies.select("doc", F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"))).alias("ranges"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in texts(batch, "text"):
-                lists = batch.column(2).slice(lo, hi - lo)
+                lists = batch.column("ranges").slice(lo, hi - lo)
                 many = np.diff(lists.offsets.to_numpy())
                 items, shift = lists.flatten(), np.repeat(at[:-1], many)
                 step = np.zeros(len(data) + 1, np.int64)
@@ -341,9 +354,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 edges = pa.array(np.searchsorted(own, np.arange(hi - lo + 1)).astype(np.int32))
                 kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array((total[at[1:]] - total[at[:-1]]).astype(np.int64)), pa.ListArray.from_arrays(edges, spans), pa.array(kept, pa.binary())],
-                    names=[id_col, "n_bytes", "n_removed", "spans", "kept"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array((total[at[1:]] - total[at[:-1]]).astype(np.int64)), pa.ListArray.from_arrays(edges, spans), pa.array(kept, pa.binary())]
+                    + [batch.column(f"_carry_{i}").slice(lo, hi - lo) for i in range(len(carry))],
+                    names=[id_col, "n_bytes", "n_removed", "spans", "kept", *carry],
                 )
 
-    out = f"`{id_col}` long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
+    kinds = dict(docs.dtypes)
+    out = f"`{id_col}` long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
     return base.join(ranges.union(whole), "doc", "left").mapInArrow(apply, out)

@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from grandlivre.llm.common import materialize
@@ -52,3 +55,15 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_cut_repeats_keeps_odd_rows(spark):
+    passage = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(60))
+    rows = [
+        (1, passage, "en", "a", 7), (2, "vor é" + passage + "ü nach", "de", "b", 8), (2, "vor é" + passage + "ü nach", "de", "b", 8), (3, None, "fr", None, 9), (None, passage, "en", "d", 10), (4, "", None, None, 0),
+        (5, passage + " 5", "en", "e", 11), (5, None, None, "c", None), (5, "short", None, "c", 5), (6, passage, "en", "f", 12),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("absent", F.lit("extra"))
+    got = Counter(tuple(r) for r in P.cut_repeats(spark, docs, "").collect())
+    assert got == Counter([rows[0], *[(2, "vor éü nach", "de", "b", 11)] * 2, *rows[3:9], (6, "", "en", "f", 0)])
+    assert P.cut_repeats(spark, docs.where("false"), "").count() == 0

@@ -9,8 +9,10 @@ the documents are.
 
 Words are those of ``words.py`` and are compared by two independent 64-bit hashes. A window is ``n``
 consecutive words of a test item; a shorter item with words is one window. Null and empty documents have no
-words; null and empty items have no window. Equal items all count. Repeated rows of a document each get
-their row if their ids differ; rows of one id and text are one document. Texts are searched whole.
+words; null and empty items have no window. Equal items all count. Every row gets its row and is judged by
+its own text: repeated rows of one id and text get equal rows, texts that share an id are told apart when they
+are compared whole, and rows without an id are searched like any other, told apart by a hash of their text.
+Texts are searched whole.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -28,20 +30,27 @@ from .common import materialize, texts
 WINDOW = 10
 
 
+def _copy(id_col: str, text_col: str) -> Column:
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("copy")
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term long, doc, position int) of every word of every whole text, positions from 0."""
+    """(term long, doc, copy long, position int) of every word of every whole text, positions from 0.
+
+    ``copy`` is null where there is an id and otherwise a hash of the text.
+    """
+    named = docs.select(F.col(id_col).alias("doc"), _copy(id_col, text_col), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in texts(batch, text_col):
+            for lo, hi, data, at in texts(batch, "text"):
                 _, _, terms, counts = W.words(data, at)
                 own = np.repeat(np.arange(hi - lo), counts)
                 place = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(terms.view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(own)), pa.array(place.astype(np.int32))], names=["term", "doc", "position"]
-                )
+                doc, copy = (batch.column(k).slice(lo, hi - lo).take(pa.array(own)) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), doc, copy, pa.array(place.astype(np.int32))], names=["term", "doc", "copy", "position"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"term long, doc {docs.select(id_col).dtypes[0][1]}, position int")
+    return named.mapInArrow(run, f"term long, doc {named.dtypes[0][1]}, copy long, position int")
 
 
 def phrase_windows(items: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -77,14 +86,18 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, most: int = 2, **cols) ->
 
 
 def candidates(docs: DataFrame, windows: DataFrame, **cols) -> DataFrame:
-    """(doc, start, window, n): places where the shifted lists of a window's two rarest terms meet."""
+    """(doc, copy, start, window, n): places where the shifted lists of a window's two rarest terms meet.
+
+    Which rarities met is tested, not how many rows, so repeated rows count once.
+    """
     anchors = materialize(rarest_terms(docs, windows, **cols), "anchors")
-    shifted = postings(docs, **cols).join(anchors, "term").where("position >= place").select("doc", (F.col("position") - F.col("place")).alias("start"), "window", "n")
-    return shifted.groupBy("doc", "start", "window", "n").agg(F.count("*").alias("met")).where("met = least(n, 2)").drop("met")
+    shifted = postings(docs, **cols).join(anchors, "term").where("position >= place").select("doc", "copy", (F.col("position") - F.col("place")).alias("start"), "window", "n", "rarity")
+    met = shifted.groupBy("doc", "copy", "start", "window", "n").agg(F.min("rarity").alias("least"), F.max("rarity").alias("most"))
+    return met.where("least = 1 and most = least(n, 2)").drop("least", "most")
 
 
 def find_phrases(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, n_words, n_hit, windows array<long>, spans array<start,end>) of every document.
+    """(doc, n_words, n_hit, windows array<long>, spans array<start,end>) of every row.
 
     ``n_hit`` counts the words that lie in an occurrence of any window; ``windows`` are the contents found,
     ``spans`` the maximal hit runs of words.
@@ -92,9 +105,10 @@ def find_phrases(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str
     cols = {"id_col": id_col, "text_col": text_col}
     windows = materialize(phrase_windows(items, n, item_col, item_text), "windows")
     found = candidates(docs, windows, **cols)
-    hits = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "window")).alias("hits"))
+    hits = found.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "n", "window")).alias("hits"))
     kind = docs.select(id_col).dtypes[0][1]
-    joined = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(hits, "doc", "left")
+    rows = docs.select(F.col(id_col).alias("doc"), _copy(id_col, text_col), F.col(text_col).alias("text"))
+    joined = rows.join(hits, rows["doc"].eqNullSafe(hits["doc"]) & rows["copy"].eqNullSafe(hits["copy"]), "left").select(rows["doc"], "text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -142,6 +143,19 @@ def test_decontaminate(spark, corpus):
     assert decontaminate.decontaminate(corpus.where("false"), table).count() == 0
 
 
+def test_decontaminate_repeated_rows_and_null_ids(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    item, other = line(14), line(12)
+    items = [(1, item), (2, other), (3, "single")]
+    docs = [(1, line(8) + " " + item)] * 2 + [(2, "a single word")] * 3 + [(3, item + " " + line(5)), (3, item + " " + line(9)), (3, line(30))]
+    docs += [(None, line(4) + " " + other)] * 2 + [(None, item), (None, line(20)), (None, None), (4, other), (5, line(20))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = Counter((d, *brute_decontaminate([(d, t)], items)[d]) for d, t in docs)
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, frozenset(r["items"])) for r in got) == want
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "d x b a"), (3, "a " + "y " * 50 + "d b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")

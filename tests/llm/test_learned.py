@@ -76,6 +76,14 @@ def test_pairs_of_terms_are_learned():
     assert ((model.raw(own, slot, 4) > 0) == [False, False, True, False]).all()
 
 
+def test_the_label_weight_reaches_the_fit(docs, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity.FactorizationMachine, "fit", lambda self, rows, y, epochs, rate, l2, positive: given.append(positive))
+    toxicity.train(docs, docs.select("doc_id", "toxic"))
+    toxicity.train(docs, docs.select("doc_id", "toxic"), positive=3.5)
+    assert given == [2.0, 3.5]
+
+
 @pytest.mark.parametrize(("query", "column", "least"), [(op4_language, "lang", 0.97), (op6_quality, "quality", 0.93), (op7_toxicity, "toxic", 0.95)])
 def test_queries_on_held_out_rows(spark, query, column, least):
     got = query(spark, SF).collect()

@@ -84,6 +84,21 @@ def test_the_label_weight_reaches_the_fit(docs, monkeypatch):
     assert given == [2.0, 3.5]
 
 
+def test_train_finds_words_that_are_toxic_only_together(spark):
+    """Every word of the two pairs is as common in toxic texts as in others, so none tells anything alone."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(1000):
+        a, b = i % 2, i // 2 % 2
+        words = ["w%d" % (rng.random() ** 3 * 2000) for _ in range(40)] + ["red" if a else "blue", "cat" if b else "dog"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(table, table.where("doc_id % 5 != 0").select("doc_id", "toxic"))
+    held = [(int(r.score >= 0.5), rows[r.doc_id][2]) for r in toxicity.score(table, model).collect() if r.doc_id % 5 == 0]
+    assert sum(p == w for p, w in held) / len(held) > 0.95
+
+
 @pytest.mark.parametrize(("query", "column", "least"), [(op4_language, "lang", 0.97), (op6_quality, "quality", 0.93), (op7_toxicity, "toxic", 0.95)])
 def test_queries_on_held_out_rows(spark, query, column, least):
     got = query(spark, SF).collect()

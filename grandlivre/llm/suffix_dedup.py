@@ -6,17 +6,23 @@ smaller id, or earlier in the same one); strings are judged on the input. Texts
 1. Every window of ``length`` bytes has an *anchor*: the start of its least 24-byte gram by hash, the
    leftmost if equal. Equal windows have equal anchors at equal distances, and about one position in 39 is
    an anchor, so only these travel: (gram, document, position). Grams that occur once are dropped after a
-   count that is combined before the shuffle; the join that keeps the others may be split by Spark.
-2. For the others, the bytes around the anchor that its windows can reach are cut out. A document whose whole
-   text is that of an earlier one sends nothing: all its windows start earlier. Equal surroundings in one
-   task collapse to their first. Anchors of grams that are very frequent are dealt out by the bytes that
-   all windows of a group of distances share, so that a passage in a third of all documents is spread over
-   many tasks; all others by their gram.
+   count that is combined before the shuffle and written; the join with it that keeps the others has plain
+   shuffles on both sides, so Spark splits the tasks of frequent grams.
+2. For the others, the bytes around the anchor that its windows can reach are cut out and dealt by gram. A
+   document whose whole text is that of an earlier one sends nothing: all its windows start earlier. Equal
+   surroundings in one task collapse to their first.
 3. In a task the strings to the right of the anchors, and those to the left read backwards, are each
    suffix-sorted: multikey quicksort on 8-byte characters to a shallow depth, then blind tries for groups
    with longer common prefixes. Neighbours' common prefixes give, for each distance, the classes of equal
    windows; all but the first of a class are removed.
-4. The removed ranges of a document are merged and cut from its whole text.
+4. A gram that occurs ``HOT`` times or more is not sorted in one task. Its windows (an anchor serves three or
+   four on average) travel one by one under a 128-bit digest, only the first of each in a task: a passage in a
+   third of all documents gives one row a task, its edges in other surroundings go to as many tasks as there
+   are different windows. Read in order of place, all but the first of a digest are removed.
+5. The removed ranges of a document are merged and cut from its whole text.
+
+Memory: no array is larger than a block of ``BLOCK`` window starts, whatever the length of a text; a task of
+step 3 holds ``ROWS`` rows and one gram's, fewer than ``HOT``; one of step 4 a batch.
 
 Null texts are empty. Documents shorter than ``length`` lose nothing. Ids are integers and tell which is
 earlier; repeated rows of one id and text are one document and each get its result; rows of an id that
@@ -40,19 +46,20 @@ from .common import materialize, texts
 LENGTH, GRAM = 100, 24
 #: Levels of 8 bytes that multikey quicksort takes before blind tries follow.
 SHALLOW = 6
-#: Occurrences from which a gram's anchors are dealt out by more than the gram, and the distances of a piece.
-HOT, PIECE = 1000, 17
-ROWS = 100_000
+#: Occurrences from which a gram's windows travel one by one, and how many of them a task remembers.
+HOT, REMEMBERED = 5000, 50_000
+#: Rows that are sorted at once.
+ROWS = 50_000
+#: Window starts whose anchors are worked out at once.
+BLOCK = 1 << 16
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Position and gram of each anchor, and the first and last window start that it serves."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none, none, none
+def _block_anchors(data: np.ndarray, at: np.ndarray, length: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows that start at ``lo`` to ``hi`` - 1; their first and last start may go on beyond that range."""
     width = length - GRAM + 1
-    prefix = W.prefix_hash(W.BYTE[data])
-    place = np.arange(len(data) - GRAM + 1)
+    part = data[lo : hi + length - 1]
+    prefix = W.prefix_hash(W.BYTE[part])
+    place = np.arange(len(part) - GRAM + 1)
     grams = W.stretch_hash(prefix, place, place + GRAM)
     key = (grams & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
     # least key of every ``width`` neighbours: running minima from both ends of blocks of that size
@@ -61,20 +68,30 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     blocks = padded.reshape(-1, width)
     left = np.minimum.accumulate(blocks, 1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    windows = len(data) - length + 1
+    windows = hi - lo
     least = (np.minimum(right[:windows], left[width - 1 : width - 1 + windows]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    inside = np.zeros(windows + 1, np.int64)
-    starts, ends = at[:-1], at[1:] - length + 1
-    some = ends > starts
-    np.add.at(inside, starts[some], 1)
-    np.add.at(inside, ends[some], -1)
-    valid = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    if not len(valid):
-        return none, none, none, none
+    # a window lies in one text if no text but its own starts before it ends
+    start = np.arange(lo, hi)
+    valid = np.flatnonzero(np.searchsorted(at, start + length - 1, "right") == np.searchsorted(at, start, "right"))
     own = least[valid]
-    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (np.diff(valid) != 1)]))
-    last = np.append(new[1:], len(valid)) - 1
-    return own[new], grams[own[new]].view(np.int64), valid[new], valid[last]
+    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (np.diff(valid) != 1)])[: len(own)])
+    last = np.append(new[1:], len(valid))[: len(new)] - 1
+    return own[new] + lo, grams[own[new]].view(np.int64), valid[new] + lo, valid[last] + lo
+
+
+def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position and gram of each anchor, and the first and last window start that it serves.
+
+    Worked out block by block, so that memory beyond the result does not grow with a text.
+    """
+    parts = [_block_anchors(data, at, length, lo, min(lo + BLOCK, len(data) - length + 1)) for lo in range(0, len(data) - length + 1, BLOCK)]
+    if not parts:
+        return (np.zeros(0, np.int64),) * 4
+    place, gram, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    new = np.ones(len(place), bool)  # an anchor that serves windows of two blocks is one
+    new[1:] = (place[1:] != place[:-1]) | (first[1:] != last[:-1] + 1)
+    start = np.flatnonzero(new)
+    return place[start], gram[start], first[start], last[np.append(start[1:], len(place)) - 1] if len(start) else last
 
 
 class BlindTrie:
@@ -123,29 +140,47 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(keys: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows within their groups by their first ``depth`` characters, and the class of each place: rows equal so far.
+
+    Every round splits all segments that are not yet settled in three by their pivots, at once; the middle part goes on
+    with the next character.
+    """
+    n = len(group)
+    order = np.argsort(group, kind="stable")
+    cls = np.cumsum(np.concatenate([[0], group[order][1:] != group[order][:-1]])[:n])
+    level = np.zeros(n, np.int64)  # of each place
+    while True:
+        first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])[:n])
+        size = np.diff(np.append(first, n))
+        open_ = np.flatnonzero((size > 1) & (level[first] < depth))
+        if not len(open_):
+            return order, cls
+        lo, many = first[open_], size[open_]
+        own = np.repeat(np.arange(len(lo)), many)
+        places = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(len(own))
+        key = keys[order[places], level[places]]
+        head = np.cumsum(many) - many
+        tries = np.sort(np.stack([key[head], key[head + many // 2], key[head + many - 1]]), 0)
+        part = (key > tries[1][own]).astype(np.int8) + (key >= tries[1][own])  # 0 below, 1 equal, 2 above
+        by = np.argsort(own * 3 + part, kind="stable")
+        order[places], part = order[places][by], part[by]
+        level[places] += part == 1
+        new = np.concatenate([[True], cls[1:] != cls[:-1]])
+        new[places[1:]] |= (part[1:] != part[:-1]) & (own[1:] == own[:-1])
+        cls = np.cumsum(new) - 1
+
+
 def deep_shallow(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of zero-padded byte rows within their groups, and each one's common prefix with the one before.
 
     The first of a group has -1. Shorter strings come before those that they begin.
     """
     n, wide = rows.shape
-    order = np.argsort(group, kind="stable")
     if not n:
-        return order, order
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = rows.view(">u8").astype(np.uint64)
-    cls = np.unique(group[order], return_inverse=True)[1]  # class of each place: rows that are equal so far
-    for level in range(min(SHALLOW, keys.shape[1])):
-        again = np.flatnonzero(np.bincount(cls)[cls] > 1)
-        if not len(again):
-            break
-        key = keys[order[again], level]
-        by = np.lexsort((key, cls[again]))
-        order[again] = order[again][by]
-        key = key[by]
-        new = np.ones(n, bool)
-        new[1:] = cls[1:] != cls[:-1]
-        new[again[1:]] |= key[1:] != key[:-1]
-        cls = np.cumsum(new) - 1
+    order, cls = multikey_quicksort(keys, group, min(SHALLOW, keys.shape[1]))
     deep = np.flatnonzero(np.concatenate([[False], cls[1:] == cls[:-1]]) | np.concatenate([cls[1:] == cls[:-1], [False]]))
     if len(deep):
         cuts = np.flatnonzero(np.concatenate([[True], cls[deep][1:] != cls[deep][:-1], [True]]))
@@ -159,8 +194,8 @@ def deep_shallow(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tupl
                 strings = list(same)
                 order[places] = [i for k in BlindTrie(strings).order() for i in same[strings[k]]]
     common = np.full(n, -1)
-    for lo in range(1, n, 1 << 16):
-        hi = min(n, lo + (1 << 16))
+    for lo in range(1, n, 1 << 14):
+        hi = min(n, lo + (1 << 14))
         a, b = order[lo:hi], order[lo - 1 : hi - 1]
         differ = rows[a] != rows[b]
         first = np.where(differ.any(1), differ.argmax(1), wide)
@@ -203,15 +238,6 @@ def repeated(group: np.ndarray, rank: np.ndarray, least: np.ndarray, most: np.nd
     return row, begin, np.nonzero(edge == -1)[1] - 1
 
 
-def _pieces(least: int, most: int, hot: bool) -> Iterator[tuple[int, int, int]]:
-    """(number, least, most) of the parts of a range of distances that travel together."""
-    if not hot:
-        yield -1, least, most
-        return
-    for q in range(least // PIECE, most // PIECE + 1):
-        yield q, max(least, q * PIECE), min(most, q * PIECE + PIECE - 1)
-
-
 def several_texts(docs: DataFrame) -> DataFrame:
     """(doc): ids whose rows hold different texts, so that nothing tells which of them is meant."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -241,10 +267,11 @@ def removed_ranges(docs: DataFrame, without: DataFrame, length: int = LENGTH) ->
                 yield pa.RecordBatch.from_arrays([pa.array(gram), ids, pa.array((place - at[own]).astype(np.int32))], names=["gram", "doc", "place"])
 
     found = docs.select("doc", "text").mapInArrow(find, "gram long, doc long, place int")
-    counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialize(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     wanted = found.join(counts, "gram").groupBy("doc").agg(F.collect_list(F.struct("place", (F.col("n") >= HOT).alias("hot"))).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             for lo, hi, data, at in texts(batch, "text"):
                 raw = data.tobytes()
@@ -252,71 +279,105 @@ def removed_ranges(docs: DataFrame, without: DataFrame, length: int = LENGTH) ->
                 lists = batch.column("wanted").slice(lo, hi - lo)
                 items = lists.flatten()
                 start = items.field(0).to_numpy().astype(np.int64) + np.repeat(at[:-1], np.diff(lists.offsets.to_numpy()))
+                own = np.searchsorted(at, start, "right") - 1
+                ids, starts = np.asarray(batch.column(0).slice(lo, hi - lo))[own], start - at[own]
+                hot = items.field(1).to_numpy(zero_copy_only=False)
+                order = np.lexsort((starts, ids))
                 index = np.searchsorted(place, start)
-                ids = np.asarray(batch.column(0).slice(lo, hi - lo))[np.searchsorted(at, start, "right") - 1]
-                starts = start - at[np.searchsorted(at, start, "right") - 1]
                 kept: dict[tuple, tuple[int, int]] = {}
                 out = []
-                order = np.lexsort((starts, ids))
-                hot = items.field(1).to_numpy(zero_copy_only=False)
-                for i in order.tolist():
-                    k, a, doc, s = index[i], int(start[i]), int(ids[i]), int(starts[i])
-                    g = int(gram[k])
-                    for q, least, most in _pieces(a - int(last[k]), a - int(first[k]), bool(hot[i])):
-                        left, right = raw[a - most : a], raw[a : a + length - least]
-                        if kept.setdefault((g, q, least, left, right), (doc, s)) != (doc, s):
-                            out.append((doc, doc, q, s - most, s - least + length, most, None))  # the same surroundings lie earlier
+                for a, doc, s, k, many in zip(*(x[order].tolist() for x in (start, ids, starts, index, hot)), strict=True):
+                    g, near, far = int(gram[k]), a - int(last[k]), a - int(first[k])
+                    if not many:
+                        around = raw[a - far : a + length - near]
+                        if kept.setdefault((g, near, far, around), (doc, s)) != (doc, s):
+                            out.append((doc, 0, doc, s - far, s - near + length, 0, None))  # the same surroundings lie earlier
+                        else:
+                            out.append((g, 0, doc, s - far, s - near + length, far, around))
+                        continue
+                    for d in range(far, near - 1, -1):
+                        digest = hashlib.blake2b(raw[a - d : a - d + length], digest_size=16).digest()
+                        if len(windows) >= REMEMBERED and digest not in windows:
+                            windows.clear()
+                        before = windows.setdefault(digest, (doc, s - d))
+                        if before < (doc, s - d):
+                            out.append((doc, 0, doc, s - d, s - d + length, 0, None))
                         else:
-                            core = raw[a - q * PIECE : a + length - q * PIECE - PIECE + 1] if q >= 0 else b""
-                            route = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True) ^ g if q >= 0 else g
-                            out.append((route, doc, q, s - most, s - least + length, most, left + right))
+                            windows[digest] = (doc, s - d)
+                            out.append((*np.frombuffer(digest, np.int64).tolist(), doc, s - d, s - d + length, -1, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    names = ["route", "doc", "piece", "start", "end", "anchor", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["route", "digest", "doc", "start", "end", "anchor", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     some = wanted.join(without, "doc", "left_anti")
-    around = docs.join(some, "doc").mapInArrow(cut, "route long, doc long, piece int, start int, end int, anchor int, bytes binary")
+    around = docs.join(some, "doc").mapInArrow(cut, "route long, digest long, doc long, start int, end int, anchor int, bytes binary")
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        route, doc, piece, start, end, anchor = (table.column(k).to_numpy().astype(np.int64) for k in range(6))
-        passed = table.column("bytes").is_null().to_numpy()
-        row = np.flatnonzero(~passed)
-        order = row[np.lexsort((piece[row], route[row], start[row] + anchor[row], doc[row]))]
-        same = [x[order][1:] == x[order][:-1] for x in (route, doc, piece, start, anchor)]
-        row = np.sort(order[np.concatenate([[True], ~np.logical_and.reduce(same)])[: len(order)]])  # a repeated row is one occurrence
+        route, doc, start, end, anchor = (table.column(k).to_numpy().astype(np.int64) for k in (0, 2, 3, 4, 5))
+        same = [x[1:] == x[:-1] for x in (route, doc, start, end, anchor)]  # rows come in this order
+        row = np.flatnonzero(np.concatenate([[True], ~np.logical_and.reduce(same)])[: len(route)])  # a repeated row is one occurrence
         bodies = table.column("bytes").take(pa.array(row)).to_pylist()
-        pairs = np.stack([route[row], piece[row]], 1)
-        group = np.unique(pairs, axis=0, return_inverse=True)[1].ravel() if len(row) else row
+        group = np.unique(route[row], return_inverse=True)[1]
         rank = np.empty(len(row), np.int64)
         rank[np.lexsort((start[row] + anchor[row], doc[row]))] = np.arange(len(row))
         most, place = anchor[row], start[row] + anchor[row]
         least = length - (end[row] - place)
         left, right = [x[:m][::-1] for x, m in zip(bodies, most, strict=True)], [x[m:] for x, m in zip(bodies, most, strict=True)]
         which, near, far = repeated(group, rank, least, most, left, right, length)
-        doc = np.concatenate([doc[passed], doc[row][which]])
-        start = np.concatenate([start[passed], place[which] - far])
-        end = np.concatenate([end[passed], place[which] - near + length])
+        return ranges(doc[row][which], place[which] - far, place[which] - near + length)
+
+    def ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "start", "end"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:  # sorted by route: whole groups are taken as soon as there are enough rows
+        rows, before = 0, None  # before: route, digest, document and start of the first window of the digest read last
+        for batch in batches:  # sorted by route, digest and place
+            anchor, bare = batch.column("anchor").to_numpy(), batch.column("bytes").is_null().to_numpy(zero_copy_only=False)
+            route, digest, doc, start, end = (batch.column(k).to_numpy() for k in range(5))
+            passed = bare & (anchor >= 0)
+            yield ranges(doc[passed], start[passed], end[passed])
+            one = np.flatnonzero(bare & (anchor < 0))
+            if len(one):
+                new = np.ones(len(one), bool)
+                new[1:] = (route[one][1:] != route[one][:-1]) | (digest[one][1:] != digest[one][:-1])
+                head = one[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the first of each one's digest
+                first = np.stack([doc[head], start[head].astype(np.int64)], 1)
+                if before and before[:2] == (route[one[0]], digest[one[0]]):
+                    first[np.cumsum(new) == 1] = before[2:]
+                before = (route[one[-1]], digest[one[-1]], *first[-1].tolist())
+                later = one[(doc[one] != first[:, 0]) | (start[one] != first[:, 1])]
+                yield ranges(doc[later], start[later], end[later])
+            batch = batch.filter(pa.array(~bare))
+            if not batch.num_rows:
+                continue
             held.append(batch)
             rows += batch.num_rows
-            if rows >= ROWS:
+            if rows >= ROWS and held[0].column(0)[0].as_py() != held[-1].column(0)[-1].as_py():  # whole groups
                 table = pa.Table.from_batches(held)
                 route = table.column("route").to_numpy()
                 cut = int(np.searchsorted(route, route[-1]))
-                if cut:
-                    yield settle(table.slice(0, cut))
-                    held = table.slice(cut).to_batches()
-                    rows -= cut
+                yield settle(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+                rows -= cut
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return around.repartition("route").sortWithinPartitions("route").mapInArrow(sort, "doc long, start int, end int")
+    dealt = around.repartition("route").sortWithinPartitions("route", "digest", "doc", "start", "end", "anchor")
+    return dealt.mapInArrow(sort, "doc long, start int, end int")
+
+
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of bytes by document, touching ones joined, in order."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if not len(doc):
+        return doc, start, end
+    wide = int(end.max()) + 2  # ranges of different documents never touch
+    reach = np.maximum.accumulate(doc * wide + end)
+    new = np.flatnonzero(np.concatenate([[True], doc[1:] * wide + start[1:] > reach[:-1]]))
+    return doc[new], start[new], reach[np.append(new[1:], len(doc)) - 1] - doc[new] * wide
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -336,25 +397,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for lo, hi, data, at in texts(batch, "text"):
                 lists = batch.column("ranges").slice(lo, hi - lo)
                 many = np.diff(lists.offsets.to_numpy())
-                items, shift = lists.flatten(), np.repeat(at[:-1], many)
-                step = np.zeros(len(data) + 1, np.int64)
+                items, own, size = lists.flatten(), np.repeat(np.arange(hi - lo), many), np.diff(at)
                 start, end = (items.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                size = np.repeat(np.diff(at), many)
-                end = np.where(end < 0, np.where(size >= length, size, 0), end)  # -1: a copy goes whole, if it has a window
-                np.add.at(step, start + shift, 1)
-                np.add.at(step, end + shift, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                total = np.concatenate([[0], np.cumsum(gone)])
-                first = np.zeros(len(data) + 1, bool)
-                first[at] = True
-                begin = np.flatnonzero(gone & (first[:-1] | ~np.concatenate([[False], gone[:-1]])[: len(gone)]))
-                end = np.flatnonzero(gone & (first[1:] | ~np.concatenate([gone[1:], [False]])[: len(gone)])) + 1
-                own = np.searchsorted(at, begin, "right") - 1
-                spans = pa.StructArray.from_arrays([pa.array((begin - at[own]).astype(np.int32)), pa.array((end - at[own]).astype(np.int32))], ["start", "end"])
-                edges = pa.array(np.searchsorted(own, np.arange(hi - lo + 1)).astype(np.int32))
-                kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                end = np.where(end < 0, np.where(size[own] >= length, size[own], 0), end)  # -1: a copy goes whole, if it has a window
+                own, start, end = merged(own[end > start], start[end > start], end[end > start])
+                spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"])
+                edge = np.searchsorted(own, np.arange(hi - lo + 1))
+                gone = np.bincount(own, end - start, hi - lo).astype(np.int64)
+                kept = []
+                for d in range(hi - lo):
+                    raw, cuts = data[at[d] : at[d + 1]], slice(edge[d], edge[d + 1])
+                    kept.append(b"".join(raw[x:y].tobytes() for x, y in zip([0, *end[cuts]], [*start[cuts], len(raw)], strict=True)))
+                edges = pa.array(edge.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array((total[at[1:]] - total[at[:-1]]).astype(np.int64)), pa.ListArray.from_arrays(edges, spans), pa.array(kept, pa.binary())]
+                    [batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(gone), pa.ListArray.from_arrays(edges, spans), pa.array(kept, pa.binary())]
                     + [batch.column(f"_carry_{i}").slice(lo, hi - lo) for i in range(len(carry))],
                     names=[id_col, "n_bytes", "n_removed", "spans", "kept", *carry],
                 )

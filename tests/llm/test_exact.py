@@ -60,6 +60,8 @@ def brute_dedup(docs, length=100):
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_suffix_dedup(corpus, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 9 if hot == 3 else 1 << 16)
+    monkeypatch.setattr(suffix_dedup, "REMEMBERED", 20 if hot == 3 else 50_000)
     want = brute_dedup([(r.doc_id, r.text) for r in corpus.collect()])
     got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.deduplicate(corpus).collect()}
     assert got == want

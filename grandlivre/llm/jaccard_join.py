@@ -6,16 +6,19 @@ the Jaccard similarity of their sets is at least ``threshold``.
 1. Documents with the same set form a class, found by a 128-bit sum over the set in an aggregation that
    combines before the shuffle; its smallest id represents it from here on. Copies thus never meet.
 2. Representatives that share a MinHash band (``BANDS`` bands of ``ROWS`` values; a pair at similarity 0.8 misses
-   all with probability 6e-6) are joined to the band's smallest one, and connected components of these edges
-   gather everything that can be linked. Component members are dealt into blocks of bounded size, and each pair
-   of blocks is one group of rows, so that no component, however large, lies in one task.
+   all with probability 6e-6) meet under the band's smallest one, its hub; bands of the same hub are one group. So
+   a group holds only what shares a band with its hub, and chains of vague likeness do not grow together. Its
+   members are dealt into blocks of bounded size, and each pair of blocks is one group of rows, so that no band,
+   however large, lies in one task. A pair that has several hubs in common counts under the smallest one.
 3. In a group MinHash values are compared a few at a time. With a uniform prior, m matches of n give the
    similarity a beta posterior; pairs whose probability to reach the threshold is below ``TOLERANCE`` are
    dropped at once. The pairs left are verified exactly on their gram sets. A group returns, for each
    document, its number of links and one edge towards the root of its linked neighbourhood: never pairs.
 4. Components of those edges give each document the smallest id it is linked to, directly or not.
 
-Texts without words (null, empty) have no set and are linked to nothing. Ids are unique integers. Grams are
+Texts without words (null, empty) have no set and are linked to nothing. Ids are integers. Repeated rows of one id
+and text are one document and each get its row. Texts that share an id each get a row with their own set's
+class; where such an id is the smallest one of several sets, these count as one in links. Grams are
 compared by 64-bit hashes. An empty table gives no rows.
 """
 
@@ -167,34 +170,60 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
             for lo, hi, data, at in texts(batch, "text"):
                 grams, counts = gram_sets(data, at, n)
                 keys = band_keys(signatures(grams, counts)).view(np.int64)
-                edges = np.concatenate([[0], np.cumsum(counts)])
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (grams, W.mix(grams ^ np.uint64(0x5851F42D4C957F2D)))]
-                    a, b = ((s[edges[1:]] - s[edges[:-1]]).view(np.int64) for s in sums)
+                a, b = set_sums(grams, counts)
                 lists = int_lists(keys.ravel(), np.full(hi - lo, BANDS), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(a), pa.array(b), lists], names=["doc", "grams", "sum_a", "sum_b", "keys"])
 
     return docs.mapInArrow(run, "doc long, grams long, sum_a long, sum_b long, keys array<long>")
 
 
+def set_sums(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set, which tell sets apart."""
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (grams, W.mix(grams ^ np.uint64(0x5851F42D4C957F2D)))]
+        a, b = ((s[edges[1:]] - s[edges[:-1]]).view(np.int64) for s in sums)
+    return a, b
+
+
+def earlier_hub(i: np.ndarray, j: np.ndarray, hubs: list[np.ndarray], hub: int) -> np.ndarray:
+    """Whether a pair has a hub in common that is smaller than ``hub``."""
+    many = np.array([len(h) for h in hubs])
+    wide = np.full((len(hubs), max(1, int(many.max(initial=0)))), np.iinfo(np.int64).max)
+    for row, h in enumerate(hubs):
+        wide[row, : len(h)] = h
+    out = np.zeros(len(i), bool)
+    for k in range(wide.shape[1]):
+        some = np.flatnonzero((wide[i, k] < hub) & ~out)
+        for part in range(0, len(some), 1 << 16):
+            at = some[part : part + (1 << 16)]
+            out[at] = (wide[j[at]] == wide[i[at], k][:, None]).any(1)
+    return out
+
+
 def _links(members: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc, links, root) from each pair of blocks: ``members`` (doc, component, block, blocks)."""
+    """(doc, links, root) from each pair of blocks: ``members`` (doc, sum_a, sum_b, groups array<struct<component, block, blocks>>)."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in texts(batch, "text"):
                 grams, counts = gram_sets(data, at, n)
-                sig = signatures(grams, counts)
-                lists = int_lists(grams.view(np.int64), counts, pa.int64())
-                flat = pa.array([row.tobytes() for row in sig], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(batch.column(k).slice(lo, hi - lo) for k in (2, 3, 4)), lists, flat], names=["doc", "component", "block", "blocks", "grams", "signature"])
-
-    loaded = thin(docs, "doc", members).join(members, "doc").mapInArrow(load, "doc long, component long, block int, blocks int, grams array<long>, signature binary")
-    # a block meets every block of its component, itself included; pairs are named smaller block first
-    meets = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("doc", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "grams", "signature")
+                # of the texts under an id only the one whose set it represents
+                own = np.all([x == batch.column(k).slice(lo, hi - lo).to_numpy() for x, k in zip(set_sums(grams, counts), ("sum_a", "sum_b"), strict=True)], axis=0)
+                flat = pa.array([row.tobytes() for row in signatures(grams, counts)], pa.binary())
+                columns = [batch.column("doc"), batch.column("groups"), batch.column("sum_a"), batch.column("sum_b")]
+                out = [*(c.slice(lo, hi - lo) for c in columns), int_lists(grams.view(np.int64), counts, pa.int64()), flat]
+                yield pa.RecordBatch.from_arrays(out, names=["doc", "groups", "sum_a", "sum_b", "grams", "signature"]).filter(pa.array(own))
+
+    some = thin(docs, "doc", members).join(members, "doc")
+    loaded = some.mapInArrow(load, "doc long, groups array<struct<component:long,block:int,blocks:int>>, sum_a long, sum_b long, grams array<long>, signature binary")
+    # a block meets every block of its group, itself included; pairs are named smaller block first
+    meets = loaded.select("*", F.expr("transform(groups, x -> x.component)").alias("hubs"), F.inline("groups")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("doc", "sum_a", "sum_b", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "hubs", "grams", "signature")
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = np.stack([table.column(k).to_numpy() for k in ("doc", "sum_a", "sum_b")])
+        table = table.take(pa.array(np.sort(np.unique(key, axis=1, return_index=True)[1])))  # a repeated row is one document
         doc, i, j, block = (table.column(k).to_numpy() for k in ("doc", "i", "j", "block"))
         lists = table.column("grams").combine_chunks()
         at = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
@@ -206,12 +235,14 @@ def _links(members: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
         part = lambda rows: np.concatenate([np.zeros(0, np.uint64), *(grams[at[r] : at[r + 1]] for r in rows)])
         ok = verify(x, y, part(a), counts[a], part(b), counts[b], threshold)
         x, y = a[x[ok]], b[y[ok]]
-        degree = np.bincount(x, minlength=len(doc)) + np.bincount(y, minlength=len(doc))
+        x, y = x[doc[x] != doc[y]], y[doc[x] != doc[y]]
+        counted = ~earlier_hub(x, y, [np.asarray(h) for h in table.column("hubs").combine_chunks().to_numpy(zero_copy_only=False)], table.column("component")[0].as_py())
+        degree = np.bincount(x[counted], minlength=len(doc)) + np.bincount(y[counted], minlength=len(doc))
         order = np.argsort(doc, kind="stable")
         back = np.empty(len(doc), np.int64)
         back[order] = np.arange(len(doc))
         root = doc[order][roots(len(doc), back[x], back[y])][back]
-        some = np.flatnonzero(degree)
+        some = np.flatnonzero((degree > 0) | (root != doc))
         yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(degree[some].astype(np.int64)), pa.array(root[some])], names=["doc", "links", "root"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +287,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     )
     bands = reps.select("rep", F.explode("keys").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    near = connected_components(bands.join(hubs, "key").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    near = materialize(bands.join(hubs, "key").select(F.col("rep").alias("doc"), F.col("hub").alias("component")).distinct(), "near")
     sizes = near.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = near.join(sizes, "component").select(F.col("node").alias("doc"), "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    placed = near.join(sizes, "component").select("doc", F.struct("component", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "blocks").alias("group"))
+    members = placed.groupBy("doc").agg(F.array_sort(F.collect_list("group")).alias("groups")).join(reps.select(F.col("rep").alias("doc"), "sum_a", "sum_b"), "doc").select("doc", "sum_a", "sum_b", "groups")
     members = materialize(members, "members")
     links = materialize(_links(members, base, n, threshold), "links")
     classes = connected_components(links.select(F.col("doc").alias("u"), F.col("root").alias("v")))

@@ -1,10 +1,11 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Character 1- to 3-grams of the lower-cased text are hashed to 2**15 buckets. A feature is the bucket's share
-of the text's n-grams times its inverse document frequency, which is counted over all documents by an
-aggregation. Weights are trained by follow-the-regularised-leader with elastic-net penalties (per
+of the text's n-grams times its inverse document frequency, which is counted by an aggregation over all
+documents that may be learned from, and over no others. Weights are trained by follow-the-regularised-leader with elastic-net penalties (per
 coordinate rates, L1 giving exact zeros) on at most about ``sample_rows`` documents with a known language; a quarter
-of the sample is kept back to choose the temperature that calibrates the probabilities.
+of the sample is kept back to choose the temperature that calibrates the probabilities. The sample is sorted by a hash
+of its rows before it is learned from, so two trainings on equal tables give equal models.
 
 Null texts and texts without a letter are ``und`` with score 0. If no document has a language, so are all.
 Empty texts have no letter. Repeated rows each get a row. Whole texts are used.
@@ -124,10 +125,10 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
     return w[:, :-1], w[:, -1]
 
 
-def train(docs: DataFrame, corpus: DataFrame, sample_rows: int = 4000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> LanguageModel | None:
-    """Fit on ``docs`` (doc_id, text, lang) with idf over ``corpus``; None if no document has a language and a text."""
-    sample = hash_sample(docs.where("lang is not null and text is not null"), "doc_id", sample_rows).select("text", "lang")
-    counts, total = document_frequencies(corpus)
+def train(docs: DataFrame, sample_rows: int = 4000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.1, l2: float = 0.1) -> LanguageModel | None:
+    """Fit on ``docs`` (doc_id, text, lang) with idf over all of them; None if no document has a language and a text."""
+    sample = hash_sample(docs.where("lang is not null and text is not null"), "doc_id", sample_rows).select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), "text", "lang").alias("key"))
+    counts, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + counts)) + 0.1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +138,9 @@ def train(docs: DataFrame, corpus: DataFrame, sample_rows: int = 4000, epochs: i
                 own, bucket, share = sparse(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 edges = pa.array(np.searchsorted(own, np.arange(hi - lo + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (bucket.astype(np.int32), share.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([*lists, batch.column(1).slice(lo, hi - lo)], names=["at", "x", "lang"])
+                yield pa.RecordBatch.from_arrays([*lists, *(batch.column(k).slice(lo, hi - lo) for k in (1, 2))], names=["at", "x", "lang", "key"])
 
-    rows = sample.mapInArrow(run, "at array<int>, x array<float>, lang string").toArrow()  # bounded by sample_rows
+    rows = sample.mapInArrow(run, "at array<int>, x array<float>, lang string, key long").toArrow().sort_by("key")  # bounded by sample_rows
     langs = rows.column("lang").to_pylist()
     classes = sorted(set(langs))
     if not classes:
@@ -150,8 +151,11 @@ def train(docs: DataFrame, corpus: DataFrame, sample_rows: int = 4000, epochs: i
     weights, bias = ftrl([x[i] for i in fit], y[fit], len(classes), epochs, alpha, beta, l1, l2)
     rest = [i for i in range(len(x)) if i % 4 == 0]
     logits = np.array([weights[:, x[i][0]] @ x[i][1] + bias for i in rest])
-    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 61))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(rest)), y[rest]] + 1e-12).mean() for t in grid]
+    grid = np.exp(np.linspace(np.log(0.002), np.log(50), 121))
+    # labels are taken to be wrong once in the sample, or texts that separate wholly would drive the temperature to 0
+    wrong = 1 / (len(rest) + len(classes))
+    aim = np.where(np.arange(len(classes)) == y[rest][:, None], 1 - wrong, wrong / max(len(classes) - 1, 1))
+    loss = [-(aim * np.log(softmax(logits / t) + 1e-300)).sum(1).mean() for t in grid]
     return LanguageModel(classes, (SCALE * weights * idf).astype(np.float32), bias, float(grid[int(np.argmin(loss))]))
 
 

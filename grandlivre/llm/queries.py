@@ -39,8 +39,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held = remainder("doc_id", 4) == 2
-    model = language.train(docs.where(~held), docs)
+    held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = language.train(docs.where(remainder("doc_id", 4) != 2))
     return language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
@@ -52,8 +52,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _learned(module, label: str, modulus: int, out: int) -> Callable:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _table(spark, sf_dir, "documents")
-        held = remainder("doc_id", modulus) == out
-        model = module.train(docs, _table(spark, sf_dir, "labels").where(~held), label)
+        held = F.coalesce(remainder("doc_id", modulus) == out, F.lit(False))  # rows without an id are neither held out nor learned from
+        model = module.train(docs, _table(spark, sf_dir, "labels").where(remainder("doc_id", modulus) != out), label)
         scored = module.score(docs, model)
         return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -102,7 +102,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) e FROM embeddings
           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id query_id, c.vec_id vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) score
-          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+          FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
         # the given pages hold no canonical or refresh links, so here a page without a rule has no alias

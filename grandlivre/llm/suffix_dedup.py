@@ -247,7 +247,8 @@ def several_texts(docs: DataFrame) -> DataFrame:
 def earlier_copies(docs: DataFrame, several: DataFrame) -> DataFrame:
     """(doc): documents whose whole text is that of a document with a smaller id; those of ``several`` take no part."""
     marked = docs.select("doc", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("same")).join(several, "doc", "left_anti")
-    first = marked.groupBy("same").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
+    # written, so that the join has plain shuffles on both sides and Spark splits the tasks of a frequent text
+    first = materialize(marked.groupBy("same").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first"), "first")
     return marked.join(first, "same").where("doc > first").select("doc").distinct()
 
 

@@ -9,6 +9,9 @@ redirects given as a table. Within a connected component an explicit allow of a
 over blocks; else a block of any member blocks all; else the page is allowed. A page's own rule always
 holds, whatever its aliases say.
 
+All links of a page count. Relative ones are resolved against the page's ``<base href>`` or its own address; ``.`` and
+``..`` segments are resolved in all addresses, ``&amp;`` is read as ``&``, and an empty path is ``/``.
+
 Null urls and urls without ``://`` have empty host and path, fit no rule and have no aliases; they are
 allowed. Null or empty html gives no edges. Repeated rows and repeated urls each get a row. Very long html
 is searched whole.
@@ -29,6 +32,9 @@ CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
+BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+
+
 def host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; empty if there is none."""
     return F.coalesce(F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
@@ -42,7 +48,15 @@ def path(url: Column) -> Column:
 def address(url: Column) -> Column:
     """Host, path and query, which identify a page whatever its scheme and fragment; null if there is no host."""
     query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1), F.lit(""))
-    return F.when(host(url) != "", F.concat(host(url), path(url), query))
+    return F.when(host(url) != "", F.concat(host(url), plain_path(path(url)), query))
+
+
+def plain_path(name: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; ``/`` if it is empty."""
+    step = lambda seen, x: F.when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).when(x == ".", seen).otherwise(F.array_append(seen, x))
+    parts = F.slice(F.split(name, "/", -1), 2, F.size(F.split(name, "/", -1)))
+    short = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.expr("cast(array() as array<string>)"), step), "/"), F.when(name.rlike(r"/[.]{1,2}$"), F.lit("/")).otherwise(F.lit("")))
+    return F.when(name == "", F.lit("/")).when(name.contains("/."), F.regexp_replace(short, "^//$", "/")).otherwise(name)
 
 
 def _labels(name: Column, most: int) -> list[Column]:
@@ -66,18 +80,23 @@ def decide(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(u, v) addresses joined by a canonical link or a refresh redirect in the html; relative ones are resolved."""
-    scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
     own = address(F.col("url"))
     some = pages.select("url", "html").where(F.lower("html").rlike(r"canonical|http-equiv")).where(own.isNotNull())
-    links = some.select("url", F.explode(F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))).alias("to")).where("to != ''")
-    base = F.concat(scheme, F.lit("://"), host(F.col("url")))
-    whole = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(base, F.col("to")))
-        .otherwise(F.concat(base, F.regexp_extract(F.concat(path(F.col("url")), F.lit("")), r"(?s)^(.*/)?", 1), F.col("to")))
-    )
-    return links.select(own.alias("u"), address(whole).alias("v")).where("v is not null")
+    found = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))
+    links = some.select("url", F.regexp_extract("html", BASE, 1).alias("given"), F.explode(F.array_distinct(found)).alias("to")).withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
+
+    def resolve(to: Column, from_: Column) -> Column:
+        root = F.concat(F.regexp_extract(from_, r"(?s)^(.*?)://", 1), F.lit("://"), host(from_))
+        return (
+            F.when(to.contains("://"), to)
+            .when(to.startswith("//"), F.concat(F.regexp_extract(from_, r"(?s)^(.*?)://", 1), F.lit(":"), to))
+            .when(to.startswith("/"), F.concat(root, to))
+            .otherwise(F.concat(root, F.when(path(from_) == "", F.lit("/")).otherwise(F.regexp_extract(path(from_), r"(?s)^(.*/)?", 1)), to))
+        )
+
+    links = links.withColumn("base", F.when(F.col("given") == "", F.col("url")).otherwise(resolve(F.col("given"), F.col("url"))))
+    whole = resolve(F.col("to"), F.col("base"))
+    return links.where("to != ''").select(own.alias("u"), address(whole).alias("v")).where("v is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:

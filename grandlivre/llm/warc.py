@@ -6,13 +6,13 @@ location, offset and file name come before the length). The declared length alon
 so contents may hold any bytes, including lines that look like headers.
 
 Conversion. Each ARC record gives a WARC record with a synthetic identifier (an RFC 4122 version 5 UUID of
-its address, date and page), the ARC date as an ISO timestamp, and block and payload digests (SHA-1 in
+its address, date, page and payload digest), the ARC date as an ISO timestamp, and block and payload digests (SHA-1 in
 base 32). Of records with equal payloads of at least ``least_bytes`` bytes the one with the largest page
 id becomes ``response``; the others become ``revisit`` records that carry no payload and name it.
 
 Files are written by Spark's text writer with the format's own record separator, so they go to whatever
-store the session uses. An archive holds what one task wrote; tasks are sized by bytes, and each archive is
-parsed as a stream, record by record.
+store the session uses. A task begins a new archive after ``ARCHIVE_ROWS`` records. A reader holds one archive
+and its unpacked bytes in memory; Spark's binary reader takes files of up to 2 GB.
 
 Null html is an empty payload. Null urls become ``urn:page:<id>``; blanks and control characters in urls
 are percent-encoded. An empty table gives an archive without records and no rows. Repeated rows (equal
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 V1_FIELDS = b"URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
-HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: %d\r\n\r\n"
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: %s\r\n\r\n"
 WARC_END = b"\r\n\r\n"
+#: Records of an archive, its first one included.
+ARCHIVE_ROWS = 2000
 
 
 def sha1(data: bytes) -> str:
@@ -43,26 +45,37 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def page_id(http: bytes) -> int | None:
+    """The page that a record's header names."""
+    found = re.search(rb"(?i)\r\nX-Page-Id: (-?\d+)", http)
+    return int(found[1]) if found else None
+
+
 def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20240101000000") -> None:
     """Write ``pages`` (page_id, url, html) as ARC files of ``version`` 1 or 2, one for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about = b"%d 0 spark\n%s\n" % (version, V2_FIELDS if version == 2 else V1_FIELDS)
-        head = b"filedesc://part.arc 0.0.0.0 %s text/plain " % date.encode() + (b"200 - - 0 part.arc " if version == 2 else b"")
-        yield pa.RecordBatch.from_arrays([pa.array([head + b"%d\n" % len(about) + about])], names=["value"])
-        offset = 0
+        head_line = b"filedesc://part.arc 0.0.0.0 %s text/plain " % date.encode() + (b"200 - - 0 part.arc " if version == 2 else b"")
+        head_line += b"%d\n" % len(about) + about
+        offset = rows = 0
+        yield pa.RecordBatch.from_arrays([pa.array([head_line])], names=["value"])
         for batch in batches:
             out = []
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += 1
+                if rows % ARCHIVE_ROWS == 0:  # the writer begins a new file here
+                    out.append(head_line)
+                    rows, offset = 1, 0
                 address = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or f"urn:page:{page}"
-                content = (HTTP % page).encode() + (html or "").encode()
+                content = (HTTP % ("-" if page is None else page)).encode() + (html or "").encode()
                 extra = f"200 {hashlib.md5(content).hexdigest()} - {offset} part.arc " if version == 2 else ""
                 out.append(f"{address} 0.0.0.0 {date} text/html {extra}{len(content)}\n".encode() + content)
                 offset += len(out[-1]) + 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    records = pages.select(F.coalesce("page_id", F.lit(-1)).cast("bigint"), "url", "html").mapInArrow(run, "value binary")
-    records.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("zlib.compress.level", "BEST_SPEED").text(path, compression="gzip")
+    records = pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, "value binary")
+    records.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_ROWS).option("zlib.compress.level", "BEST_SPEED").text(path, compression="gzip")
 
 
 def _plain(data: bytes) -> bytes:
@@ -112,7 +125,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
                 rows, held = [], 0
                 for url, date, _, content in arc_records(_plain(data.as_py())):
                     http, _, payload = content.partition(b"\r\n\r\n")
-                    page = int(re.search(rb"(?i)\r\nX-Page-Id: (-?\d+)", http)[1])
+                    page = page_id(http)
                     rows.append((page, url, date, http, len(payload), sha1(payload), payload if payloads else None))
                     held += len(content)
                     if held > 4 << 20:
@@ -126,15 +139,15 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     return _archives(spark, path).mapInArrow(run, "page_id long, url string, date string, http binary, payload_bytes long, payload_digest string, payload binary")
 
 
-def record_id(url: str, date: str, page: int) -> str:
-    """The synthetic identifier of a converted record."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{date} {page} {url}')}>"
+def record_id(url: str, date: str, page: int | None, digest: str) -> str:
+    """The synthetic identifier of a converted record; records of one page and address differ by their payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{date} {page} {digest} {url}')}>"
 
 
-def warc_record(kind: str, url: str, date: str, page: int, digest: str, block: bytes, refers_to: str | None = None) -> bytes:
+def warc_record(kind: str, url: str, date: str, page: int | None, digest: str, block: bytes, refers_to: str | None = None) -> bytes:
     """A WARC 1.0 record without its closing blank lines."""
     iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Target-URI: {url}", f"WARC-Date: {iso}", f"WARC-Record-ID: {record_id(url, date, page)}"]
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Target-URI: {url}", f"WARC-Date: {iso}", f"WARC-Record-ID: {record_id(url, date, page, digest)}"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1(block)}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
@@ -161,7 +174,7 @@ def convert(arc: DataFrame, least_bytes: int = 0) -> DataFrame:
                 if first is None or first["page_id"] == page:
                     out.append(warc_record("response", url, date, page, digest, head + payload))
                 else:
-                    out.append(warc_record("revisit", url, date, page, digest, head, record_id(first["url"], first["date"], first["page_id"])))
+                    out.append(warc_record("revisit", url, date, page, digest, head, record_id(first["url"], first["date"], first["page_id"], digest)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     return joined.select("page_id", "url", "date", "http", "payload_digest", "payload", "first").mapInArrow(run, "value binary")
@@ -170,7 +183,7 @@ def convert(arc: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_warc(records: DataFrame, path: str) -> None:
     """Write WARC records as gzip files of one task each."""
     text = records.select(F.col("value").cast("string"))
-    text.write.option("lineSep", WARC_END.decode()).option("zlib.compress.level", "BEST_SPEED").text(path, compression="gzip")
+    text.write.option("lineSep", WARC_END.decode()).option("maxRecordsPerFile", ARCHIVE_ROWS).option("zlib.compress.level", "BEST_SPEED").text(path, compression="gzip")
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -204,7 +217,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
                     if kind == "response" and sha1(payload) != digest:
                         raise ValueError(f"the payload of {h['WARC-Record-ID']} differs from its digest")
-                    page = int(re.search(rb"(?i)\r\nX-Page-Id: (-?\d+)", http)[1])
+                    page = page_id(http)
                     rows.append((h["WARC-Record-ID"], h["WARC-Target-URI"], h["WARC-Date"], kind, page, digest, len(payload) if kind == "response" else None, h.get("WARC-Refers-To")))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

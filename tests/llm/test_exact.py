@@ -107,6 +107,23 @@ def test_jaccard_join(corpus, block, monkeypatch):
     assert jaccard_join.similar(corpus.where("false")).count() == 0
 
 
+def test_jaccard_join_of_repeated_rows_and_ids(spark):
+    long = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(3)]
+    near = [t + " end" for t in long]
+    rows = [(1, long[0]), (1, long[0]), (2, near[0]), (2, near[0]), (3, long[1]), (4, long[1]), (4, near[2]), (5, long[2]), (6, None), (6, None)]
+    got = Counter(tuple(r) for r in jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, 1, 1, 1): 2, (2, 2, 1, 1): 2, (3, 3, 0, 3): 1, (4, 3, 0, 3): 1, (4, 4, 1, 4): 1, (5, 5, 1, 4): 1, (6, 6, 0, 6): 2})
+
+
+def test_chains_of_likeness_are_not_one_group(spark):
+    """Texts that each share half with the next are linked to nothing, and groups stay small."""
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[i * 20 : i * 20 + 40])) for i in range(150)]
+    rows += [(200 + i, " ".join(words[i * 20 : i * 20 + 40]) + " tail") for i in range(150)]
+    got = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.class_id == r.doc_id % 200 and r.n_links == 1 for r in got)
+
+
 def test_posterior_table():
     assert jaccard_join.least_matches(24, 0.8) < 24 * 0.8
     assert jaccard_join.least_matches(240, 0.8) < 240 * 0.8
@@ -206,6 +223,8 @@ def test_topk(spark):
         got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0")).collect()}
         assert got == want
     topk.BLOCK = 8192
+    twice = topk.top_k(vectors, vectors.where("vec_id % 20 = 0").union(vectors.where("vec_id % 20 = 0")))
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in twice.collect()} == want and twice.count() == len(want)
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
 
 
@@ -235,6 +254,12 @@ def test_url_filter(spark):
         (9, "http://notexample.org/es/", ""),
         (10, "x://example.org/en/12", "y" * 200000),
         (11, "http://far.net/r", ""),
+        (12, "http://a.net/x/y/page?a=1&b=2", "<!-- <link rel=canonical href=elsewhere> --><link rel=canonical href='http://x.net/1'><link rel=canonical href='../../z/./de'>"),
+        (13, "http://a.net/z/de", '<base href="/de/"><link rel=canonical href="q?x=1&amp;y=2">'),
+        (14, "http://a.net/de/q?x=1&y=2", "<meta http-equiv=refresh content='0;url=http://a.com/de/..//de/'><meta http-equiv=refresh content='1;url=http://shop.com/de/1'>"),
+        (15, "http://x.net/1", None),
+        (16, "http://x.net", "<link rel=canonical href='http://y.net/'>"),
+        (17, "http://y.net/", None),
     ]
     table = spark.createDataFrame([(*p, "mine") for p in pages], "page_id long, url string, html string, component string")
     redirects = spark.createDataFrame([("http://far.net/r", "http://Other.NET/2?x=1")], "from_url string, to_url string")
@@ -243,7 +268,10 @@ def test_url_filter(spark):
         (1, "a.example.org", "example.org/es/", "block"), (2, "plain.net", None, "block"), (3, "other.net", None, "block"), (4, "shop.com", "com/fr/", "allow"),
         (5, "shop.com", "com/de/", "block"), (6, "both.net", None, "allow"), (8, "", None, "allow"), (9, "notexample.org", "org/", "allow"), (9, "notexample.org", "org/", "allow"),
         (10, "example.org", "example.org/en/1", "block"), (11, "far.net", None, "block"),
+        (12, "a.net", None, "allow"), (13, "a.net", None, "allow"), (14, "a.net", None, "allow"), (15, "x.net", None, "allow"), (16, "x.net", None, "allow"), (17, "y.net", None, "allow"),
     ]
+    parts = {r.page_id: r.component for r in url_filter.judge(table, queries.RULES, redirects).collect()}
+    assert parts[12] == parts[13] == parts[14] == parts[15] == parts[5] and parts[16] == parts[17] != parts[12]
     null = [r for r in url_filter.judge(table, queries.RULES).collect() if r.page_id == 7][0]
     assert (null.host, null.path, null.rule, null.verdict) == ("", "", None, "allow")
     assert url_filter.judge(table.where("false"), queries.RULES).count() == 0
@@ -269,6 +297,26 @@ def test_warc(spark, version):
     assert {r.record_type for r in warc.read_warc(spark, only_long).collect()} == {"response"}
 
 
+def test_warc_of_repeated_rows_and_many_archives(spark, monkeypatch):
+    """Rows of one page and address with other payloads keep their own bytes; null ids stay null; archives are rolled."""
+    monkeypatch.setattr(warc, "ARCHIVE_ROWS", 4)
+    pages = [(1, "u", "one"), (1, "u", "another one"), (1, "u", "one"), (None, "u", "one"), (None, None, None), *((i, f"u{i}", "x" * (i % 5)) for i in range(2, 30))]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    arc, out = scratch(spark, "arc"), scratch(spark, "warc")
+    warc.write_arc(table, arc)
+    assert spark.read.format("binaryFile").load(arc).count() > 5
+    warc.write_warc(warc.convert(warc.read_arc(spark, arc)), out)
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolve_revisits(warc.read_warc(spark, out)).collect())
+    top = {}
+    for p, _, h in pages:
+        top[h or ""] = max(-1 if p is None else p, top.get(h or "", -1))
+    want = Counter()
+    for p, _, h in pages:
+        first = top[h or ""] == (-1 if p is None else p)
+        want[(p, len(h or ""), warc.sha1((h or "").encode()), "response" if first else "revisit", None if first else top[h or ""])] += 1
+    assert got == want
+
+
 def test_warc_of_an_empty_table_and_damage(spark):
     arc, out = scratch(spark, "arc"), scratch(spark, "warc")
     warc.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), arc)

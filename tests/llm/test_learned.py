@@ -32,7 +32,7 @@ def docs(spark):
 
 
 def test_language(docs):
-    model = language.train(docs.where("doc_id % 4 != 2"), docs)
+    model = language.train(docs.where("doc_id % 4 != 2"))
     got = [(r.doc_id, r.lang_pred, r.score) for r in language.predict(docs, model).collect()]
     want = {r.doc_id: r.lang for r in docs.collect()}
     assert len(got) == 305
@@ -40,10 +40,45 @@ def test_language(docs):
     assert sum(p == w for p, w in held) / len(held) > 0.98
     assert {(d, p, s) for d, p, s in got if d in (300, 301, 302)} == {(d, "und", 0.0) for d in (300, 301, 302)}
     assert all(0 <= s <= 1 for _, _, s in got)
+    assert 0.01 < model.temperature < 10
+    seen = language.document_frequencies(docs.where("doc_id % 4 != 2"))[0] > 0
+    assert 20 < (model.weights != 0).any(0).sum() < 0.9 * seen.sum()  # the elastic net leaves some weights at zero
+
+
+def test_language_counts_only_what_may_be_learned_from(docs, monkeypatch):
+    seen = []
+    count = language.document_frequencies
+    monkeypatch.setattr(language, "document_frequencies", lambda d, *a: seen.append(count(d, *a)) or seen[-1])
+    language.train(docs.where("doc_id % 4 != 2"))
+    assert seen[0][1] == docs.where("doc_id % 4 != 2").count()
+
+
+def test_two_trainings_give_equal_models(docs):
+    again = docs.repartition(3, "text")
+    a, b = (language.train(d.where("doc_id % 4 != 2")) for d in (docs, again))
+    assert (a.weights == b.weights).all() and a.temperature == b.temperature
+    a, b = (toxicity.train(d, d.select("doc_id", "toxic")) for d in (docs, again))
+    assert a.w0 == b.w0 and (a.w == b.w).all() and (a.v == b.v).all()
+    a, b = (quality.train(d, d.select("doc_id", "quality")) for d in (docs, again))
+    assert (a.weights == b.weights).all() and a.threshold == b.threshold
+
+
+def test_copies_of_a_text_take_their_greatest_label(spark):
+    table = spark.createDataFrame([(i, "same words", i % 2) for i in range(6)], "doc_id long, text string, toxic int")
+    assert [tuple(r)[:2] for r in toxicity.labelled_sample(table, table, "toxic", 100).collect()] == [("same words", 1)]
+
+
+def test_rows_without_an_id(spark, tmp_path):
+    docs = [(i, ["aa bb cc", "xx yy zz"][i % 2] + f" {i}", "en" if i % 2 else "de", "s", 9) for i in range(40)] + [(None, "aa bb", "de", "s", 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (op4_language, op6_quality, op7_toxicity):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == 41 and [r.held_out for r in rows if r.doc_id is None] == [False]
 
 
 def test_language_without_languages(spark, docs):
-    assert language.train(docs.where("false"), docs) is None
+    assert language.train(docs.where("false")) is None
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
 
 

@@ -1,53 +1,93 @@
-"""Amounts as printed in French and Moroccan filings."""
+"""Amounts as printed in French and Moroccan filings.
+
+An amount is read in steps, each on the result of the one before, so that a plan holds every step once: the text
+without currency marks, its sign marks, and a body of digits whose last comma or dot may be decimal.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CORE = r"^\s*(\()?([-−–])?(\d{1,3}(?:[\s  .]\d{3})*(?:[,.]\d{1,4})?|\d+(?:[,.]\d{1,4})?)([-−–])?\)?\s*$"
-BLANKS = r"[\s  ]"
+AMOUNT = "decimal(20,4)"
+# What a cell without an amount holds, currency marks, and the blanks and dashes that occur in print.
+EMPTY = ["", "-", "−", "–", "—", "n/a", "N/A", "null", "None"]
+CURRENCY = r"MAD|Dh|DH|€|\*"
+BLANK, DASH = r"[\s  ]", r"[-−–]"
+#: Largest amount that is taken for one.
+MOST = 10**12
+
+#: Digits alone, or three at a time after a blank or dot; then one to four decimals.
+_DIGITS = rf"(?:\d{{1,3}}(?:(?:{BLANK}|\.)\d{{3}})*|\d+)(?:[,.]\d{{1,4}})?"
+_SHAPE = rf"^{BLANK}*\(?{DASH}?{_DIGITS}{DASH}?\)?{BLANK}*$"
+
+
+def bind(value: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of a value that is computed once however often the step names it."""
+    return F.get(F.transform(F.array(value), step), F.lit(0))
+
+
+def _number(body: Column) -> Column:
+    """The value of a body of digits, commas and dots: of comma and dot the later one is decimal."""
+    dots = F.length(body) - F.length(F.replace(body, F.lit("."), F.lit("")))
+    last_comma, last_dot = F.length(body) - F.length(F.substring_index(body, ",", -1)), F.length(body) - F.length(F.substring_index(body, ".", -1))
+    only_dots = ~body.contains(",")
+    thousands = only_dots & ((dots > 1) | body.rlike(r"^\d{1,3}\.\d{3}$"))
+    comma_decimal = ~only_dots & (last_comma > last_dot)
+    plain = F.when(thousands, F.replace(body, F.lit("."), F.lit(""))).when(comma_decimal, F.translate(body, ",.", ".")).otherwise(F.replace(body, F.lit(","), F.lit("")))
+    return plain.try_cast(AMOUNT)
 
 
 def parse_amount(raw: Column) -> Column:
     """DECIMAL(20,4), or null for empty cells, dashes and other text; parentheses and signs on either side are negative.
 
     Of comma and dot the later is decimal; a lone comma is; a lone dot before exactly three digits, after three at
-    most, and several dots part thousands. Amounts beyond 1e12 are null.
+    most, and several dots part thousands. Text around the amount is tried without anything but digits, marks and
+    signs. Amounts beyond 1e12 are null.
     """
-    text = F.trim(raw)
-    text = F.when(text.isin("", "-", "−", "–", "—", "n/a", "N/A", "null", "None"), None).otherwise(text)
-    text = F.trim(F.regexp_replace(text, r"MAD|Dh|DH|€|\*", ""))
-    cleaned = F.regexp_replace(text, r"[^\d,.\-−–()]", "")
-    text = F.when(text.rlike(CORE), text).when(cleaned.rlike(CORE), cleaned)
-    part = lambda n: F.regexp_extract(text, CORE, n)
-    negative = (part(1) != "") | (part(2) != "") | (part(4) != "")
-    body = F.regexp_replace(part(3), BLANKS, "")
-    comma, dot = F.length(body) - F.instr(F.reverse(body), ","), F.length(body) - F.instr(F.reverse(body), ".")
-    dots = F.size(F.split(body, r"\.")) - 1
-    thousands = (dots > 1) | ((dots == 1) & body.rlike(r"^\d{1,3}\.\d{3}$"))
-    plain = (
-        F.when(body.contains(",") & body.contains("."), F.when(comma > dot, F.replace(F.replace(body, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(body, F.lit(","), F.lit(""))))
-        .when(body.contains(","), F.replace(body, F.lit(","), F.lit(".")))
-        .when(thousands, F.replace(body, F.lit("."), F.lit("")))
-        .otherwise(body)
-    )
-    value = plain.try_cast("decimal(20,4)")
-    value = F.when(F.abs(value) <= F.lit(10**12).cast("decimal(20,4)"), value)
-    return F.when(negative, -value).otherwise(value).cast("decimal(20,4)")
+
+    def shaped(text: Column) -> Column:
+        bare = F.regexp_replace(text, r"[^\d,.\-−–()]", "")
+        return F.when(text.rlike(_SHAPE), text).when(bare.rlike(_SHAPE), bare)
+
+    def signed(text: Column) -> Column:
+        negative = text.rlike(rf"\(|{DASH}")
+        return bind(_number(F.regexp_replace(text, r"[^\d,.]", "")), lambda v: F.when(F.abs(v) <= MOST, F.when(negative, -v).otherwise(v)))
+
+    marked = F.trim(F.regexp_replace(F.when(~F.trim(raw).isin(EMPTY), F.trim(raw)), CURRENCY, ""))
+    # most cells are digits and marks alone; the rest goes through the steps
+    return bind(bind(marked, shaped), signed).cast(AMOUNT)
 
 
 def parse_ocr_amount(raw: Column) -> Column:
     """``parse_amount`` without any blanks; commas between groups of three with two decimals after the last are tried next."""
-    text = F.regexp_replace(raw, BLANKS, "")
-    whole, decimals = F.replace(F.regexp_replace(text, r",\d{2}$", ""), F.lit(","), F.lit("")), F.right(text, F.lit(2))
-    mixed = F.when(text.rlike(r"^-?\d{1,3}(,\d{3})+,\d{2}$"), F.concat(whole, F.lit("."), decimals))
-    return F.coalesce(parse_amount(text), mixed.try_cast("decimal(20,4)"))
 
+    def read(text: Column) -> Column:
+        mixed = F.when(text.rlike(MIXED), F.concat(F.replace(F.left(text, F.length(text) - 3), F.lit(","), F.lit("")), F.lit("."), F.right(text, F.lit(2))))
+        return F.coalesce(parse_amount(text), mixed.try_cast(AMOUNT))
 
-def is_explicit_zero(raw: Column) -> Column:
-    """A displayed zero, which is not an empty cell."""
-    return F.coalesce(parse_ocr_amount(raw) == 0, F.lit(False))
+    return bind(F.regexp_replace(raw, BLANK, ""), read)
+
+
+#: Commas between groups of three, and before two decimals.
+MIXED = r"^-?\d{1,3}(,\d{3})+,\d{2}$"
+
+
+def is_mixed_comma(raw: Column) -> Column:
+    """Whether commas part both thousands and decimals."""
+    return F.coalesce(F.regexp_replace(raw, BLANK, "").rlike(MIXED), F.lit(False))
+
+
+def is_explicit_zero(raw: Column, parsed: Column | None = None) -> Column:
+    """A displayed zero, which is not an empty cell; ``parsed`` is the amount where it is known already."""
+    return F.coalesce((parse_ocr_amount(raw) if parsed is None else parsed) == 0, F.lit(False))
+
+
+def legacy_amount(raw: Column) -> Column:
+    """Blanks between thousands and a decimal comma, without further checks; null if that gives no number."""
+    return F.translate(F.regexp_replace(raw, BLANK, ""), ",", ".").try_cast(AMOUNT)
 
 
 def sum_present(*values: Column) -> Column:
@@ -59,3 +99,8 @@ def sum_present(*values: Column) -> Column:
 def safe_divide(top: Column, base: Column) -> Column:
     """Null if either is null or the base is 0."""
     return F.try_divide(top, base)
+
+
+def quantize2(value: Column) -> Column:
+    """Two decimals, half up."""
+    return F.round(value.cast(AMOUNT), 2).cast("decimal(20,2)")

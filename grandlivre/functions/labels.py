@@ -36,3 +36,82 @@ def label_similarity(observed: Column, alias: Column) -> Column:
         .when(share >= 0.5, share)
         .otherwise(0.0)
     )
+
+
+# Misreadings of scanned labels.
+MISREADINGS = [(r"(?i)\bdettees\b", "dettes"), (r"(?i)\bimmobliisations\b", "immobilisations"), (r"(?i)\bsolid es\b", "soldes")]
+
+
+def normalize_ocr_label(label: Column) -> Column:
+    """``normalize_label`` after the known misreadings are mended."""
+    text = F.coalesce(label, F.lit(""))
+    for pattern, right in MISREADINGS:
+        text = F.regexp_replace(text, pattern, right)
+    return normalize_label(text)
+
+
+def fold(label: Column, kind: str = "ocr") -> Column:
+    """Folded text for comparisons: ``strict`` keeps a-z, 0-9 and blanks, ``ocr`` mends misreadings, ``loose`` keeps punctuation."""
+    if kind == "ocr":
+        return normalize_ocr_label(label)
+    text = F.regexp_replace(F.lower(F.translate(F.coalesce(label, F.lit("")), _FROM, _TO)), r"\p{Mn}+", "")
+    if kind == "strict":
+        text = F.regexp_replace(text, "[^a-z0-9]", " ")
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def normalize_label_full(label: Column) -> Column:
+    """``normalize_label`` with compatibility decomposition of every script (ligatures, superscripts, wide forms), on Arrow batches."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def decompose(text: pd.Series) -> pd.Series:
+        return text.fillna("").str.normalize("NFKD")
+
+    return normalize_label(decompose(label))
+
+
+def token_overlap(a: Column, b: Column) -> Column:
+    """Shared words of two normal labels over all of both; null if neither has a word."""
+    words = lambda x: F.filter(F.array_distinct(F.split(x, " ")), lambda w: w != "")
+    return F.try_divide(F.size(F.array_intersect(words(a), words(b))), F.size(F.array_union(words(a), words(b))))
+
+
+def strip_markers(text: Column) -> Column:
+    """Without a closing reasoning mark at the end, trimmed."""
+    return F.trim(F.regexp_replace(F.trim(text), r"(?i)(</?think>|/think)\s*$", ""))
+
+
+def strip_fences(text: Column) -> Column:
+    """Without an opening and a closing code fence, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[^\n]*\n?", ""), r"\n?```\s*$", ""))
+
+
+def is_grand_total(label: Column) -> Column:
+    """Whether a label names the total of all three parts."""
+    return F.regexp_replace(normalize_label(label), r"[*_`#\s]+", " ").rlike(r"\btotal (?:general )?i(?: ?\+ ?| )ii(?: ?\+ ?| )iii\b")
+
+
+def is_revenue_label(folded: Column) -> Column:
+    """Whether a folded label names turnover or a sales line, and no purchase."""
+    sales = folded.contains("ventes de biens et services") | folded.contains("ventes de services") | folded.contains("ventes de marchandises")
+    return ~folded.contains("achat") & ((folded.contains("chiffre") & folded.contains("affaires")) | sales)
+
+
+# Column headers and the kind of value under them; on a miss the first that contains the header or lies in it.
+COLUMN_HEADERS = [
+    ("brut", "brut"), ("bruts", "brut"), ("amortissements et provisions", "amortissement_provision"), ("amortissements", "amortissement_provision"), ("provisions", "amortissement_provision"),
+    ("net", "net_n"), ("net exercice", "net_n"), ("net exercice n", "net_n"), ("net de l exercice", "net_n"), ("exercice n", "net_n"), ("net exercice n 1", "net_n_1"), ("net n 1", "net_n_1"),
+    ("exercice precedent", "net_n_1"), ("operations propres a l exercice", "exercice"), ("operations concernant les exercices precedents", "exercices_precedents"),
+    ("total de l exercice", "total_exercice"), ("total exercice", "total_exercice"), ("exercice", "exercice"),
+]
+
+
+def column_nature(header: Column) -> Column:
+    """The kind of value under a column header; ``unknown`` for none."""
+    norm, near = normalize_label(header), F
+    exact = F.element_at(F.create_map(*(F.lit(x) for pair in COLUMN_HEADERS for x in pair)), norm)
+    for key, nature in COLUMN_HEADERS:
+        near = near.when(norm.contains(key) | F.lit(key).contains(norm), nature)
+    return F.when(F.coalesce(header, F.lit("")) == "", "unknown").otherwise(F.coalesce(exact, near, F.lit("unknown")))

@@ -49,8 +49,8 @@ def graded(value: Column, good: float | Column, watch: float | Column, higher: b
     return F.when(above(good), OK).when(above(watch), WATCH).otherwise(BAD)
 
 
-def engine_ratios(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Long rows (keys, pos, code, value, status) of the engine ratios, as doubles.
+def engine_ratio_list(df: DataFrame) -> list[tuple[str, Column, Column]]:
+    """(code, value, status) of the engine ratios in order, as columns of doubles.
 
     Debt and repayment over negative or zero equity or cash flow are not conforming, without a value; margins
     over turnover that is not positive cannot be computed; working capital and cash are graded by sign.
@@ -90,12 +90,27 @@ def engine_ratios(df: DataFrame, keys: list[str]) -> DataFrame:
     total = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
     after = F.when(both(total, fp) & (fp > 0), total / fp)
     out.append((after, F.when(~both(total, fp), none).when(fp <= 0, BAD).otherwise(graded(after, 2.0, 3.0, False))))
-    rows = [F.struct(F.lit(i).alias("pos"), F.lit(code).alias("code"), v.alias("value"), s.alias("status")) for i, (code, (v, s)) in enumerate(zip(ENGINE, out, strict=True))]
+    return [(code, v, s) for code, (v, s) in zip(ENGINE, out, strict=True)]
+
+
+def engine_ratios(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Long rows (keys, pos, code, value, status) of the engine ratios, as doubles."""
+    rows = [F.struct(F.lit(i).alias("pos"), F.lit(code).alias("code"), v.alias("value"), s.alias("status")) for i, (code, v, s) in enumerate(engine_ratio_list(df))]
     return df.select(*keys, F.inline(F.array(*rows)))
 
 
+def with_engine_ratios(df: DataFrame) -> DataFrame:
+    """``df`` with a struct (value, status) for each engine ratio, named ``r_`` and its code; nothing is unpivoted."""
+    return df.withColumns({f"r_{code}": F.struct(v.alias("value"), s.alias("status")) for code, v, s in engine_ratio_list(df)})
+
+
 def weighted_ratios(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Long rows (keys, pos, code, value, status, points, max_points) of the weighted ratios, as decimals.
+    """Long rows (keys, pos, code, value, status, points, max_points) of the weighted ratios, as decimals."""
+    return df.select(*keys, F.inline(F.array(*weighted_ratio_list(df))))
+
+
+def weighted_ratio_list(df: DataFrame) -> list[Column]:
+    """Structs (pos, code, value, status, points, max_points) of the weighted ratios in order, as decimals.
 
     Values are graded before they are rounded half up to 0.01, but for supplier days and growth, which are
     graded after. Debt and repayment have no sign guard: over negative equity they grade as conforming.
@@ -123,4 +138,4 @@ def weighted_ratios(df: DataFrame, keys: list[str]) -> DataFrame:
             status = F.when(x.isNull(), "non_calculable").when(above(good), "conforme").when(above(watch), "a_surveiller").otherwise("non_conforme")
         share = F.when(status == "conforme", 1.0).when(status == "a_surveiller", 0.6).otherwise(0.0)
         rows.append(F.struct(F.lit(i).alias("pos"), F.lit(code).alias("code"), shown.alias("value"), status.alias("status"), F.round(share * weight, 2).alias("points"), F.lit(float(weight)).alias("max_points")))
-    return df.select(*keys, F.inline(F.array(*rows)))
+    return rows

@@ -1,6 +1,6 @@
 """Axis scores and credit decisions, from long ratio tables.
 
-Scores of the engine form are binary doubles rounded half to even, as printed by their source; others are half up.
+Scores of the engine form are binary doubles rounded as such (see ``round2``); others are half up.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ratios import BAD, ENGINE, NONE, OK, WATCH, WEIGHTED
+from .ratios import BAD, ENGINE, NONE, OK, WATCH, WEIGHTED, weighted_ratio_list, with_engine_ratios
 
 # Score from which a class holds, its name and its decision.
 GRID = [
@@ -23,6 +23,18 @@ MEDIANS = [("rentabilite_commerciale", 0.042), ("autonomie_financiere", 0.21), (
 LOWER = ["ratio_endettement", "capacite_remboursement"]
 
 
+def round2(x: Column) -> Column:
+    """Two decimals of a double as its binary value lies: a printed tie that is just below or above one is none.
+
+    x * 200 is an odd number at a tie; the error of that product, from the halves of x, tells the side.
+    """
+    p, c = x * 200.0, x * 134217729.0
+    high = c - (c - x)
+    error = (high * 200.0 - p) + (x - high) * 200.0
+    tie = (p == F.rint(p)) & (F.pmod(p, F.lit(2.0)) == 1.0)
+    return F.when(tie & (error < 0), F.floor(p / 2) / 100.0).when(tie & (error > 0), F.ceil(p / 2) / 100.0).otherwise(F.bround(x, 2))
+
+
 def grid(score: Column, place: int, otherwise: str) -> Column:
     """Class (place 1), profile (2) or decision (3) of a score."""
     out = F
@@ -31,29 +43,47 @@ def grid(score: Column, place: int, otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
-def engine_axes(ratios: DataFrame, keys: list[str], medians: DataFrame | None = None) -> DataFrame:
-    """axis1 (penalties over eleven ratios, times their coverage), axis3 (share at or better than the median), counts.
+def with_engine_axes(df: DataFrame, medians: DataFrame | None = None, sector: str | None = None) -> DataFrame:
+    """``df`` (with ``r_`` columns of engine ratios) with counts, axis1 (penalties over eleven ratios, times their coverage) and
+    axis3 (share at or better than the median).
 
-    One aggregation by ``keys``. ``medians`` (code, median) is a rule table; without it the defaults hold.
+    ``medians`` (code, median, and ``sector`` if given) is a rule table: its few rows of a sector become one map and join
+    as such; without it the defaults hold, as for a sector that it does not name. Nothing is unpivoted or grouped.
     """
-    scored, status = F.col("pos") < 11, F.col("status")
+    scored = [F.col(f"r_{c}")["status"] for c in ENGINE[:11]]
+    n = lambda tests: sum((F.coalesce(t.cast("int"), F.lit(0)) for t in tests), F.lit(0)).cast("long")
+    default = F.create_map(*(F.lit(x) for row in MEDIANS for x in row))
     if medians is None:
-        median = F.element_at(F.create_map(*[F.lit(x) for row in MEDIANS for x in row]), F.col("code"))
-        ratios = ratios.withColumn("median", F.when(F.col("code").isin([m[0] for m in MEDIANS]), median))
+        df = df.withColumn("_medians", default)
     else:
-        ratios = ratios.join(F.broadcast(medians.where(F.col("code").isin(ENGINE)).select("code", "median").limit(len(ENGINE))), "code", "left")
-    comparable = F.col("median").isNotNull() & F.col("value").isNotNull()
-    better = F.when(F.col("code").isin(LOWER), F.col("value") <= F.col("median")).otherwise(F.col("value") >= F.col("median"))
-    n = lambda c: F.count_if(c)
-    out = ratios.groupBy(*keys).agg(
-        n(scored & (status == OK)).alias("n_ok"), n(scored & (status == WATCH)).alias("n_watch"), n(scored & (status == BAD)).alias("n_bad"), n(scored & (status == NONE)).alias("n_none"),
-        n(comparable).alias("n_compared"), n(comparable & better).alias("n_better"),
-    )
+        entry = F.map_from_entries(F.collect_list(F.struct("code", F.col("median").cast("double"))))
+        known = medians.where(F.col("code").isin(ENGINE) & F.col("median").isNotNull()).dropDuplicates(["code", *([sector] if sector else [])])
+        table = known.groupBy(*([sector] if sector else [])).agg(entry.alias("_m")).where(F.size("_m") > 0)
+        joined = df.join(F.broadcast(table), sector, "left") if sector else df.join(F.broadcast(table), F.lit(True), "left")
+        df = joined.withColumn("_medians", F.coalesce("_m", default)).drop("_m")
+    median = {c: F.element_at("_medians", F.lit(c)) for c in ENGINE}
+    value = {c: F.col(f"r_{c}")["value"] for c in ENGINE}
+    comparable = [median[c].isNotNull() & value[c].isNotNull() for c in ENGINE]
+    better = [(value[c] <= median[c]) if c in LOWER else (value[c] >= median[c]) for c in ENGINE]
+    counts = {name: n([s == status for s in scored]) for name, status in (("n_ok", OK), ("n_watch", WATCH), ("n_bad", BAD), ("n_none", NONE))}
+    df = df.withColumns(counts | {"n_compared": n(comparable), "n_better": n(better)})
     penalised = F.lit(100.0) - 7.5 * F.col("n_watch") - 20.0 * F.col("n_bad")
     coverage = F.round((11 - F.col("n_none")) / 11.0, 4)
     covered = F.when(F.col("n_none") > 0, penalised * coverage).otherwise(penalised)
     axis3 = F.when(F.col("n_compared") > 0, F.round(100.0 * F.col("n_better") / F.col("n_compared"), 2)).otherwise(0.0)
-    return out.withColumns({"axis1": F.greatest(F.lit(0.0), F.bround(covered, 2)), "axis3": axis3})
+    return df.withColumns({"axis1": F.greatest(F.lit(0.0), round2(covered)), "axis3": axis3}).drop("_medians")
+
+
+def engine_axes(statements: DataFrame, keys: list[str], medians: DataFrame | None = None, sector: str | None = None) -> DataFrame:
+    """(keys, counts, axis1, axis3) of statements."""
+    out = with_engine_axes(with_engine_ratios(statements), medians, sector)
+    return out.select(*keys, "n_ok", "n_watch", "n_bad", "n_none", "n_compared", "n_better", "axis1", "axis3")
+
+
+def status_lists(df: DataFrame) -> dict[str, Column]:
+    """Codes of the eleven scored ratios by status, in order, from ``r_`` columns."""
+    of = lambda status: F.array_compact(F.array(*(F.when(F.col(f"r_{c}")["status"] == status, F.lit(c)) for c in ENGINE[:11])))
+    return {"conforming": of(OK), "to_watch": of(WATCH), "not_conforming": of(BAD), "not_calculable": of(NONE)}
 
 
 def engine_behaviour(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,18 +102,32 @@ def engine_behaviour(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def engine_decision(axes: DataFrame) -> DataFrame:
-    """Add score, class and blocking of the engine form to rows with axis1, axis2, axis3, bam and incidents."""
-    blocking = F.when(F.col("bam") >= 7, "NO_GO").when(F.col("incidents") > 0, "MANUAL_REVIEW")
-    score = F.col("axis1") * 0.75 + F.col("axis2") * 0.15 + F.col("axis3") * 0.10
+    """Add score, class, decision, recommendation and blocking of the engine form to rows with axis1, axis2, axis3, bam, incidents and unpaid.
+
+    Absent behaviour counts as 0; incidents and unpaid bills together call for a manual review; a refused rating scores 0.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in axes.columns else F.lit(0)
     no = F.coalesce(F.col("bam") >= 7, F.lit(False))
-    return axes.withColumns({"score": F.when(no, 0.0).otherwise(F.bround(score, 2)), "risk_class": F.when(no, "D/F").otherwise(grid(score, 1, "D/F")), "blocking": blocking})
+    blocking = F.when(no, "NO_GO").when(zero("incidents") + zero("unpaid") > 0, "MANUAL_REVIEW")
+    score = F.col("axis1") * 0.75 + F.coalesce("axis2", F.lit(0.0)) * 0.15 + F.col("axis3") * 0.10
+    return axes.withColumns(
+        {
+            "score": F.when(no, 0.0).otherwise(round2(score)),
+            "risk_class": F.when(no, "D/F").otherwise(grid(score, 1, "D/F")),
+            "decision": F.when(no, "Rejeté (Cotation BAM)").otherwise(grid(score, 2, "Risqué")),
+            "recommendation": F.when(no, "Refus automatique — cotation BAM en zone de refus (7/8/9)").otherwise(grid(score, 3, "Refus recommandé / systématique")),
+            "blocking": blocking,
+        }
+    )
 
 
-def weighted_axis(ratios: DataFrame, keys: list[str]) -> DataFrame:
-    """Financial axis: points of 100, whether it can be computed, and the codes of essential ratios that cannot."""
-    essential = [w[0] for w in WEIGHTED if w[5]]
-    missing = F.when(F.col("code").isin(essential) & (F.col("status") == "non_calculable"), F.col("code"))
-    out = ratios.groupBy(*keys).agg(F.sum("points").alias("points"), F.sum("max_points").alias("max_points"), F.array_join(F.array_sort(F.collect_set(missing)), ",").alias("missing"))
+def weighted_axis(statements: DataFrame, keys: list[str]) -> DataFrame:
+    """Financial axis of statements: points of 100, whether it can be computed, and the codes of essential ratios that cannot."""
+    df = statements.select(*keys, *(r.alias(f"_{i}") for i, r in enumerate(weighted_ratio_list(statements))))
+    rows = [F.col(f"_{i}") for i in range(len(WEIGHTED))]
+    missing = sorted(((w[0], F.when(r["status"] == "non_calculable", w[0])) for w, r in zip(WEIGHTED, rows, strict=True) if w[5]), key=lambda m: m[0])
+    total = lambda name: sum((r[name] for r in rows[1:]), rows[0][name])
+    out = df.select(*keys, total("points").alias("points"), total("max_points").alias("max_points"), F.concat_ws(",", *(m for _, m in missing)).alias("missing"))
     return out.withColumns({"calculable": F.col("missing") == "", "financial": F.round(F.col("points") / F.col("max_points") * 100, 2)})
 
 

@@ -11,6 +11,7 @@ from . import queries_documents
 from .functions.amounts import is_explicit_zero, parse_amount, parse_ocr_amount, safe_divide, sum_present
 from .functions.labels import label_similarity, normalize_label
 from .operators import controls as X
+from .operators import evaluation as E
 from .operators import ratios as R
 from .operators import resolve as W
 from .operators import scoring as S
@@ -49,7 +50,7 @@ def g1_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g1_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.engine_axes(R.engine_ratios(_with_previous(spark, sf_dir), KEYS), KEYS)
+    return S.engine_axes(_with_previous(spark, sf_dir), KEYS)
 
 
 def _behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +68,12 @@ def g1_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g1_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axes = S.engine_axes(R.engine_ratios(_with_previous(spark, sf_dir), KEYS), KEYS)
+    """Decisions for every statement; borrowers without events have no behaviour, which counts as 0."""
     behaviour = _behaviour(spark, sf_dir)
-    axis2 = S.engine_behaviour(behaviour, ["k", "bam", "incidents"])
-    return S.engine_decision(axes.join(axis2, "k")).select(*KEYS, "axis1", "axis2", "axis3", "score", "risk_class", "blocking")
+    metrics = ["bam", "incidents", "rejects", "unpaid", "domiciliation", "debit_days", "overdraft", "gap", "kept"]
+    axis2 = S.engine_behaviour(behaviour, ["k", *metrics])
+    out = E.evaluate(_with_previous(spark, sf_dir).join(axis2, "k", "left"), KEYS)
+    return out.select(*KEYS, "axis1", "axis2", "axis3", "score", "risk_class", "decision", "blocking", F.size("ineligible").alias("n_reasons"), F.size("strengths").alias("n_strengths"), F.size("watch_points").alias("n_watch_points"))
 
 
 def g3_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +82,7 @@ def g3_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g3_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.weighted_decision(S.weighted_axis(R.weighted_ratios(_with_previous(spark, sf_dir), KEYS), KEYS))
+    out = S.weighted_decision(S.weighted_axis(_with_previous(spark, sf_dir), KEYS))
     return out.select(*KEYS, F.col("financial").cast("double").alias("financial"), "missing", "risk_class", "decision", "blocking")
 
 
@@ -118,7 +121,7 @@ def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed, ocr = parse_amount(F.col("raw")), parse_ocr_amount(F.col("raw"))
-    out = _printed(spark, sf_dir).select("l_orderkey", "l_linenumber", parsed.alias("v"), ocr.alias("ocr"), is_explicit_zero(F.col("raw")).alias("zero"))
+    out = _printed(spark, sf_dir).select("l_orderkey", "l_linenumber", parsed.alias("v"), ocr.alias("ocr"), "raw").withColumn("zero", is_explicit_zero(F.col("raw"), F.col("ocr")))
     sums = [F.sum("v").cast("double").alias("total"), F.sum("ocr").cast("double").alias("total_ocr"), F.count("v").alias("n_values"), F.count_if("zero").alias("n_zero")]
     return out.groupBy("l_orderkey").agg(*sums)
 
@@ -293,11 +296,11 @@ def oracle_sql() -> dict[str, str]:
     c AS (SELECT k, y, count(*) FILTER (pos < 11 AND status = '{R.OK}') n_ok, count(*) FILTER (pos < 11 AND status = '{R.WATCH}') n_watch, count(*) FILTER (pos < 11 AND status = '{R.BAD}') n_bad,
       count(*) FILTER (pos < 11 AND status = '{R.NONE}') n_none, count(*) FILTER (med IS NOT NULL AND value IS NOT NULL) n_compared,
       count(*) FILTER (CASE WHEN code IN ({lower}) THEN value <= med ELSE value >= med END) n_better FROM m GROUP BY k, y),
-    axes AS (SELECT *, greatest(0.0, round_even(CAST((100 - 7.5 * n_watch - 20 * n_bad) * CASE WHEN n_none > 0 THEN round((11 - n_none) / 11.0::DOUBLE, 4) ELSE 1 END AS DOUBLE), 2)) axis1,
+    axes AS (SELECT *, greatest(0.0, CAST(printf('%.2f', CAST((100 - 7.5 * n_watch - 20 * n_bad) * CASE WHEN n_none > 0 THEN round((11 - n_none) / 11.0::DOUBLE, 4) ELSE 1 END AS DOUBLE)) AS DOUBLE)) axis1,
       CASE WHEN n_compared > 0 THEN round(100.0::DOUBLE * n_better / n_compared, 2) ELSE 0.0 END axis3 FROM c)"""
     behaviour = """b AS (SELECT user_id k, count(*) FILTER (event_type = 'error' AND value > 90) incidents, count(*) FILTER (event_type = 'error') rejects,
       count(DISTINCT CASE WHEN event_type = 'error' THEN CAST(ts AS DATE) END) debit_days, CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) dom FROM events GROUP BY 1),
-    bh AS (SELECT k, incidents, k % 9 bam, CAST(greatest(0, 100 - CASE WHEN incidents > 0 THEN 40 ELSE 0 END - CASE WHEN rejects > 0 THEN 15 ELSE 0 END - CASE WHEN dom < 80 THEN 10 ELSE 0 END
+    bh AS (SELECT k, incidents, rejects, dom, debit_days, k % 9 bam, CAST(greatest(0, 100 - CASE WHEN incidents > 0 THEN 40 ELSE 0 END - CASE WHEN rejects > 0 THEN 15 ELSE 0 END - CASE WHEN dom < 80 THEN 10 ELSE 0 END
       - CASE WHEN debit_days > 30 THEN 15 ELSE 0 END) AS DOUBLE) axis2, CAST(0.625 AS DOUBLE) coverage2 FROM b)"""
     checks = " UNION ALL ".join(
         f"SELECT k, y, '{code}' code, CASE WHEN e IS NULL OR o IS NULL THEN 'not_testable' WHEN abs(o - e) <= greatest(1, abs(e) * 0.0001) THEN 'passed' ELSE 'failed' END AS status, CAST(o - e AS DOUBLE) difference, '{','.join(a)}' affected "
@@ -317,9 +320,19 @@ def oracle_sql() -> dict[str, str]:
         "g1_ratios": f"{engine} SELECT k, y, code, round(value, 4) AS value, status FROM r",
         "g1_axes": f"{axes} SELECT k, y, n_ok, n_watch, n_bad, n_none, n_compared, n_better, CAST(axis1 AS DOUBLE) axis1, CAST(axis3 AS DOUBLE) axis3 FROM axes",
         "g1_behaviour": f"WITH {behaviour} SELECT k, axis2, coverage2 FROM bh",
-        "g1_decision": f"""{axes}, {behaviour}, s AS (SELECT axes.k, y, CAST(axis1 AS DOUBLE) axis1, axis2, CAST(axis3 AS DOUBLE) axis3, bam, incidents, axis1 * 0.75::DOUBLE + axis2 * 0.15::DOUBLE + axis3 * 0.10::DOUBLE s FROM axes JOIN bh ON axes.k = bh.k)
-        SELECT k, y, axis1, axis2, axis3, CASE WHEN bam >= 7 THEN 0.0 ELSE round_even(s, 2) END score, CASE WHEN bam >= 7 THEN 'D/F' ELSE {_grid_sql("s")} END risk_class,
-          CASE WHEN bam >= 7 THEN 'NO_GO' WHEN incidents > 0 THEN 'MANUAL_REVIEW' END blocking FROM s""",
+        "g1_decision": f"""{axes}, {behaviour}, q AS (SELECT k, y, count(*) FILTER (status <> '{R.NONE}') calc, count(*) FILTER (status IN ('{R.WATCH}', '{R.BAD}')) n_poor,
+          count(*) FILTER (code = 'croissance_ca' AND value >= 0.05) + count(*) FILTER (code = 'autonomie_financiere' AND status = '{R.OK}' AND value IS NOT NULL)
+          + CASE WHEN count(*) FILTER (code IN ('tresorerie_jours_ca', 'fdr_sur_ca') AND status = '{R.OK}') = 2 THEN 1 ELSE 0 END strong FROM r GROUP BY k, y),
+        s AS (SELECT axes.k, axes.y, CAST(axis1 AS DOUBLE) axis1, axis2, CAST(axis3 AS DOUBLE) axis3, bam, incidents, axis1 * 0.75::DOUBLE + coalesce(axis2, 0) * 0.15::DOUBLE + axis3 * 0.10::DOUBLE s,
+          CASE WHEN d.ca IS NULL THEN 1 ELSE 0 END + CASE WHEN d.tb IS NULL THEN 1 ELSE 0 END + CASE WHEN d.fp IS NULL THEN 1 ELSE 0 END + CASE WHEN d.rn IS NULL THEN 1 ELSE 0 END + CASE WHEN d.df IS NULL THEN 1 ELSE 0 END
+          + CASE WHEN d.caf IS NULL THEN 1 ELSE 0 END + CASE WHEN d.fdr IS NULL THEN 1 ELSE 0 END + CASE WHEN calc < 8 THEN 1 ELSE 0 END reasons,
+          strong + CASE WHEN n_compared > 0 AND n_better / n_compared >= 0.6 THEN 1 ELSE 0 END strong,
+          n_poor + CASE WHEN axis2 IS NULL THEN 2 ELSE 1 + CASE WHEN incidents > 0 THEN 1 ELSE 0 END + CASE WHEN rejects > 0 THEN 1 ELSE 0 END + CASE WHEN dom < 80 THEN 1 ELSE 0 END + CASE WHEN debit_days > 30 THEN 1 ELSE 0 END END watch
+          FROM axes JOIN q ON axes.k = q.k AND axes.y = q.y JOIN d ON d.k = q.k AND d.y = q.y LEFT JOIN bh ON axes.k = bh.k)
+        SELECT k, y, axis1, axis2, axis3, CASE WHEN reasons > 0 THEN NULL WHEN bam >= 7 THEN 0.0 ELSE CAST(printf('%.2f', s) AS DOUBLE) END score, CASE WHEN reasons > 0 THEN 'Non évaluable' WHEN bam >= 7 THEN 'D/F' ELSE {_grid_sql("s")} END risk_class,
+          CASE WHEN reasons > 0 THEN 'Revue manuelle' WHEN bam >= 7 THEN 'Rejeté (Cotation BAM)' ELSE CASE {" ".join(f"WHEN s >= {g[0]} THEN '{g[2]}'" for g in S.GRID)} ELSE 'Risqué' END END decision,
+          CASE WHEN reasons > 0 THEN 'INSUFFICIENT_DATA' WHEN bam >= 7 THEN 'NO_GO' WHEN incidents > 0 THEN 'MANUAL_REVIEW' END blocking,
+          CAST(reasons AS INTEGER) n_reasons, CAST(strong AS INTEGER) n_strengths, CAST(watch AS INTEGER) n_watch_points FROM s""",
         "g3_ratios": f"{weighted} SELECT k, y, code, value, status, points FROM w",
         "g3_decision": f"""{weighted}, fa AS (SELECT k, y, round(sum(points) / sum(weight) * 100, 2) financial,
           coalesce(string_agg(CASE WHEN status = 'non_calculable' AND code IN ('financial_autonomy', 'debt_ratio', 'repayment_capacity', 'caf_margin') THEN code END, ',' ORDER BY code), '') missing FROM w GROUP BY k, y)

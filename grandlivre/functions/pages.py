@@ -13,9 +13,17 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def amounts_in(text: Column) -> Column:
-    """Printed amounts in order: groups of three with blanks or dots, two decimals after a comma."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?\d{1,3}(?:[ .]\d{3})*,\d{2}"), F.lit(0))
+# Printed amounts. Grouped: thousands in groups after blanks with an optional decimal comma, or digits with two
+# decimals. Cents: two decimals after comma or dot, groups after blanks or dots. Loose: groups and decimals are optional.
+AMOUNT_GROUPED = r"[-−]?\d{1,3}(?:[   ]\d{3})+(?:,\d{1,2})?|[-−]?\d+,\d{2}"
+AMOUNT_CENTS = r"(?<!\d)(-?\d{1,3}(?:[  .]\d{3})*(?:[,.]\d{2})|-?\d+[,.]\d{2})(?!\d)"
+AMOUNT_LOOSE = r"[-−]?\d{1,3}(?:[   .]\d{3})*(?:[,.]\d{1,2})?"
+
+
+def amounts_in(text: Column, form: str = "cents") -> Column:
+    """Printed amounts in order, in one of two forms: ``cents`` (two decimals, no digit before or after) or ``grouped``."""
+    pattern, group = (AMOUNT_CENTS, 1) if form == "cents" else (AMOUNT_GROUPED, 0)
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
 
 def company_number(raw: Column) -> tuple[Column, Column]:
@@ -24,6 +32,12 @@ def company_number(raw: Column) -> tuple[Column, Column]:
     return F.trim(F.split_part(text, F.lit("/"), F.lit(1))), F.trim(F.split_part(text, F.lit("/"), F.lit(2)))
 
 
+def clean_identity(fields: dict[str, Column], upper: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Identity data trimmed, null as an empty string, those named in ``upper`` in capitals."""
+    plain = {n: F.trim(F.coalesce(c, F.lit(""))) for n, c in fields.items()}
+    return {n: F.upper(c) if n in upper else c for n, c in plain.items()}
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -32,24 +46,29 @@ def _table_lines(text: Column) -> Column:
     return F.filter(_lines(text), lambda x: x.startswith("|") & x.endswith("|"))
 
 
+# Bounds of text quality and routing below: characters, lines, table lines, evenness; characters, image share, rules, words.
+SHORT, FEW, TABLE, EVEN = 120, 4, 3, 0.70
+BARE, IMAGE, RULES, WORDS = 40, 0.45, 8, 20
+
+
 def table_quality(text: Column) -> Column:
     """Share of table lines with the most common number of bars; without a table 0.5 for four lines or more, else 0."""
     bars = F.transform(_table_lines(text), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))))
     most = F.array_max(F.transform(F.array_distinct(bars), lambda b: F.size(F.filter(bars, lambda x: x == b))))
-    return F.when(F.size(bars) > 0, most / F.size(bars)).when(F.size(_lines(text)) >= 4, 0.5).otherwise(0.0)
+    return F.when(F.size(bars) > 0, most / F.size(bars)).when(F.size(_lines(text)) >= FEW, 0.5).otherwise(0.0)
 
 
 def insufficient_text(text: Column) -> Column:
     """Whether a reading should be repeated: short, few lines, or a table of uneven lines. A page marked empty is fine."""
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    ragged = (F.size(_table_lines(body)) >= 3) & (table_quality(body) < 0.70)
-    return (body != "[PAGE VIDE]") & ((F.length(body) < 120) | (F.size(_lines(body)) < 4) | ragged)
+    ragged = (F.size(_table_lines(body)) >= TABLE) & (table_quality(body) < EVEN)
+    return (body != "[PAGE VIDE]") & ((F.length(body) < SHORT) | (F.size(_lines(body)) < FEW) | ragged)
 
 
 def needs_vision(text_length: Column, image_share: Column, rule_lines: Column, words: Column) -> Column:
     """Whether a page goes to the vision path: hardly any text, much image, or a ruled table. Absent measures count as 0."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return (zero(text_length) < 40) | (zero(image_share) >= 0.45) | ((zero(rule_lines) >= 8) & (zero(words) >= 20))
+    return (zero(text_length) < BARE) | (zero(image_share) >= IMAGE) | ((zero(rule_lines) >= RULES) & (zero(words) >= WORDS))
 
 
 def merge_overlap(top: Column, bottom: Column, most: int = 30) -> Column:

@@ -109,13 +109,13 @@ def weighted_ratios(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*weighted_ratio_list(df))))
 
 
-def weighted_ratio_list(df: DataFrame) -> list[Column]:
-    """Structs (pos, code, value, status, points, max_points) of the weighted ratios in order, as decimals.
+def weighted_ratio_list(df: DataFrame | dict[str, Column]) -> list[Column]:
+    """Structs (pos, code, value, status, points, max_points) of the weighted ratios in order, as decimals, from a table or columns by name.
 
     Values are graded before they are rounded half up to 0.01, but for supplier days and growth, which are
     graded after. Debt and repayment have no sign guard: over negative equity they grade as conforming.
     """
-    g = lambda n: _col(df, n, "decimal(20,4)")
+    g = lambda n: df[n].cast("decimal(20,4)") if isinstance(df, dict) else _col(df, n, "decimal(20,4)")
     ca, n1, fp, tb, debt, rn, caf = (g(n) for n in ("ca", "ca_n1", "fp", "tb", "df", "rn", "caf"))
     fdr, tn, clients, fourn, achats = (g(n) for n in ("fdr", "tn", "clients", "fourn", "achats"))
     div = lambda a, b, scale=1: F.try_divide(a, b) * F.lit(scale)

@@ -198,7 +198,7 @@ def weighted_sector(ratios: DataFrame, keys: list[str], medians: DataFrame, sect
     return counts.select(*keys, F.when(enough, F.round(F.col("_b") * 100 / F.col("_n"), 2)).otherwise(0.0).alias("sector_score"), enough.alias("sector_ok"))
 
 
-def final_score(df: DataFrame, allow_partial: bool) -> DataFrame:
+def final_score(df: DataFrame, allow_partial: bool | Column) -> DataFrame:
     """Add final and partial from financial, behavioral, sector_score and their ``_ok`` flags (null is false).
 
     The weighted mean of the axes that hold; without the financial one, or without any other unless
@@ -210,7 +210,7 @@ def final_score(df: DataFrame, allow_partial: bool) -> DataFrame:
     top = sum((F.when(ok[a], exact(F.col(names[a][0])) * exact(F.lit(w))).otherwise(exact(F.lit(0))) for a, w in AXES), F.lit(0))
     base = sum((F.when(ok[a], exact(F.lit(w))).otherwise(exact(F.lit(0))) for a, w in AXES), F.lit(0))
     every = ok["behavioral"] & ok["sector"]
-    usable = ok["financial"] & (every | F.lit(allow_partial))
+    usable = ok["financial"] & (every | (allow_partial if isinstance(allow_partial, Column) else F.lit(allow_partial)))
     return df.withColumns({"final": F.when(usable, F.round(F.try_divide(top, base), 2).cast("double")), "partial": usable & ~every})
 
 

@@ -23,6 +23,78 @@ def progress(events: DataFrame, total: str = "total") -> DataFrame:
     return out.select("job_id", "n_pages", "n_skipped", "n_failed", "last_ts", F.when(F.col("done"), 100).otherwise(F.coalesce(part, F.lit(0))).cast("int").alias("pct"), F.when(F.col("done"), "completed").otherwise("running").alias("state"))
 
 
+# Steps of a job by event, the share done and what is said then.
+STEPS = [
+    ("job_started", "validating", 2, "Validation du PDF…"), ("pdf_validated", "validating", 5, "PDF validé"), ("pages_rendered", "rendering", 15, "Pages rendues"), ("page_classified", "classifying", None, None),
+    ("page_extracted", "extracting_page", None, None), ("page_skipped", "extracting_page", None, None), ("page_failed", "extracting_page", None, None), ("resolving_fields", "resolving", 85, "Résolution des champs"),
+    ("running_controls", "controls", 90, "Contrôles comptables"), ("calculating_ratios", "ratios", 95, "Calcul des ratios"), ("result_ready", "completed", 100, "Analyse terminée"),
+    ("job_failed", "failed", None, None),
+]
+
+
+def job_state(events: DataFrame) -> DataFrame:
+    """(job_id, step, pct, message, state, n_financial, n_skipped, n_failed, error, last_ts) of named events, for tables and streams (update mode).
+
+    ``events`` (job_id, ts, event, page, page_type, count, error). The latest event tells step, share and message; page events
+    move the share to 15 and on to 80 by page of the count that ``pages_rendered`` gave. A failed job keeps its share.
+    """
+    event = F.col("event")
+    known = lambda place: F.element_at(F.create_map(*(F.lit(x) for s in STEPS if s[place] is not None for x in (s[0], s[place]))), event)
+    total = F.max(F.when(event == "pages_rendered", F.col("count")))
+    latest = lambda x: F.max_by(x, F.when(x.isNotNull(), F.col("ts")))
+    paged = F.col("page").isNotNull() & event.startswith("page_")
+    told = F.when(paged | known(3).isNotNull(), F.struct(F.col("page").alias("page"), F.col("page_type").alias("page_type"), known(2).alias("pct"), known(3).alias("text"), paged.alias("paged")))
+    g = events.groupBy("job_id").agg(
+        latest(known(1)).alias("step"), latest(told).alias("told"), total.alias("total"), F.count_if(event == "page_extracted").alias("n_financial"), F.count_if(event == "page_skipped").alias("n_skipped"),
+        F.count_if(event == "page_failed").alias("n_failed"), F.bool_or(event == "result_ready").alias("done"), F.bool_or(event == "job_failed").alias("broken"), latest(F.col("error")).alias("error"), F.max("ts").alias("last_ts"),
+    )
+    told, page = F.col("told"), F.col("told.page")
+    share = F.least(F.lit(80), (15 + F.floor(70 * page / F.greatest("total", F.lit(1)))).cast("int"))
+    by_page = told["paged"] & F.col("total").isNotNull()
+    text = F.when(by_page, F.concat_ws(" — ", F.concat(F.lit("Page "), page.cast("string"), F.lit("/"), F.col("total").cast("string")), told["page_type"])).otherwise(told["text"])
+    state = F.when(F.col("done"), "completed").when(F.col("broken"), "failed").otherwise("processing")
+    pct = F.when(F.col("done"), 100).when(by_page, share).otherwise(told["pct"])
+    return g.select("job_id", "step", F.coalesce(pct, F.lit(0)).cast("int").alias("pct"), text.alias("message"), state.alias("state"), "n_financial", "n_skipped", "n_failed", "error", "last_ts")
+
+
+def expire(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
+    """The events of a job until it expires: one that comes more than ``ttl_seconds`` after the one before is ignored, and so are all later ones."""
+    own = Window.partitionBy("job_id").orderBy("ts")
+    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(own)) > ttl_seconds * 1_000_000
+    dead = F.max(F.coalesce(gap, F.lit(False)).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("_dead", dead).where("_dead = 0").drop("_dead")
+
+
+def _life(key, batches, state, ttl_seconds: int, most: int):
+    """Events of one job in order of time, until it expires; the last ``most`` are kept and come with their number."""
+    import pandas as pd
+
+    rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+    last, dead, n = state.get if state.exists else (None, False, 0)
+    kept = []
+    for ts, event in zip(rows["ts"], rows["event"], strict=True):
+        now = ts.value // 1000
+        if dead or (last is not None and now - last > ttl_seconds * 1_000_000):
+            dead = True
+            continue
+        n, last = n + 1, now if last is None else max(last, now)
+        kept.append((key[0], ts, event, n))
+    state.update((last, dead, n))
+    yield pd.DataFrame(kept[-most:], columns=["job_id", "ts", "event", "n"])
+
+
+def live_events(stream: DataFrame, ttl_seconds: int = 3600, most: int = 500) -> DataFrame:
+    """(job_id, ts, event, n) of a stream: events of jobs that have not expired, numbered by job; of a batch the last ``most`` of a job.
+
+    State is three numbers a job. An expired job stays expired, whatever comes later; readers keep the ``most`` greatest numbers.
+    """
+
+    def step(key, batches, state):
+        yield from _life(key, batches, state, ttl_seconds, most)
+
+    return stream.select("job_id", "ts", "event").groupBy("job_id").applyInPandasWithState(step, f"job_id {dict(stream.dtypes)['job_id']}, ts timestamp, event string, n long", "last long, dead boolean, n long", "append", "NoTimeout")
+
+
 def live_windows(events: DataFrame, ttl: str = "60 minutes", late: str = "10 minutes") -> DataFrame:
     """(job_id, begin, end, n): a job's life ends ``ttl`` after its last event; later events begin another."""
     source = events.withWatermark("ts", late) if events.isStreaming else events

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_documents
+from . import queries_documents, queries_filings
 from .functions.amounts import is_explicit_zero, parse_amount, parse_ocr_amount, safe_divide, sum_present
 from .functions.labels import label_similarity, normalize_label
 from .operators import controls as X
@@ -222,7 +222,7 @@ QUERIES = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES} | queries_documents.queries()
+    return {q.__name__: q for q in QUERIES} | queries_documents.queries() | queries_filings.queries()
 
 
 def _engine_sql() -> str:
@@ -376,4 +376,4 @@ def oracle_sql() -> dict[str, str]:
         "live_jobs": f"""WITH {job}, a AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY job_id ORDER BY ts) + INTERVAL 60 MINUTE THEN 0 ELSE 1 END s FROM j),
         b AS (SELECT *, sum(s) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) life FROM a), c AS (SELECT job_id, life, count(*) n FROM b GROUP BY 1, 2)
         SELECT job_id, count(*) n_lives, max(n) most_events FROM c GROUP BY 1""",
-    } | queries_documents.oracle_sql(weighted, folded, similar)
+    } | queries_documents.oracle_sql(weighted, folded, similar) | queries_filings.oracle_sql(axes, weighted, _grid_sql)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scoring import round2
 from .documents import key_value_sheet
 
 
@@ -30,7 +31,7 @@ def index_sheet(decisions: DataFrame, keys: list[str]) -> DataFrame:
 
 def axes_rows(decisions: DataFrame, keys: list[str], axes: list[tuple[str, str, float]]) -> DataFrame:
     """(keys, code, score, weight, contribution) of ``axes`` (name, score column, weight)."""
-    rows = [F.struct(F.lit(name).alias("code"), F.col(c).cast("double").alias("score"), F.lit(w).alias("weight"), F.round(F.coalesce(F.col(c), F.lit(0.0)) * w, 2).cast("double").alias("contribution")) for name, c, w in axes]
+    rows = [F.struct(F.lit(name).alias("code"), F.col(c).cast("double").alias("score"), F.lit(w).alias("weight"), round2(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w).alias("contribution")) for name, c, w in axes]
     return decisions.select(*keys, F.inline(F.array(*rows)))
 
 

@@ -60,7 +60,8 @@ def job_state(events: DataFrame) -> DataFrame:
 def expire(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """The events of a job until it expires: one that comes more than ``ttl_seconds`` after the one before is ignored, and so are all later ones."""
     own = Window.partitionBy("job_id").orderBy("ts")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(own)) > ttl_seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = at - F.lag(at).over(own) > ttl_seconds * 1_000_000
     dead = F.max(F.coalesce(gap, F.lit(False)).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))
     return events.withColumn("_dead", dead).where("_dead = 0").drop("_dead")
 

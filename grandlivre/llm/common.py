@@ -19,11 +19,13 @@ CHUNK_BYTES = 1 << 20
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session names in spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only a local session that names none (tests) gets a temporary folder; a cluster's executors would not share it.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ from .streaming import jobs
 
 KEYS = ["k", "y"]
 CONTROLS = [
-    ("bilan_equilibre", "ta + ai", "tb", True, ["TOTAL_BILAN"]),
+    ("bilan_equilibre", "tb", "other_tb", True, ["TOTAL_BILAN"]),
     ("tresorerie_nette", "ta - tp", "tn", True, ["TRESORERIE_NETTE"]),
     ("resultat_net", "caf - am", "rn", False, ["RESULTAT_NET"]),
     ("dettes", "fdr - fp + ai", "df", False, ["DETTES_FINANCIERES", "FDR"]),
@@ -32,8 +32,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Readings that disagree with their identities for some borrowers, so that every control shows both outcomes.
+DISPUTED = {"other_tb": "CASE WHEN k % 6 = 0 THEN tb + 5000 WHEN k % 6 > 1 THEN tb END", "tn": "CASE WHEN k % 3 = 0 THEN tn + 500 ELSE tn END", "rn": "CASE WHEN k % 4 = 0 THEN rn + 2000 ELSE rn END", "df": "CASE WHEN k % 5 = 0 THEN df + 7000 ELSE df END"}
+
+
 def _with_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.with_previous(statements(spark, sf_dir), "k", "y", "ca", "ca_n1")
+    """Statements with the year before, and amounts that stand for leasing, term credit and new financing."""
+    st = statements(spark, sf_dir).withColumns({"leasing": F.col("ta"), "cmt": F.col("tp"), "operation": F.col("clients")})
+    return W.with_previous(st, "k", "y", "ca", "ca_n1")
+
+
+def _disputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements(spark, sf_dir).withColumns({n: F.expr(e).cast("decimal(20,4)") for n, e in DISPUTED.items()})
 
 
 def _doubles(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -87,12 +97,12 @@ def g3_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accounting_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.controls(statements(spark, sf_dir), KEYS, CONTROLS)
+    out = X.controls(_disputed(spark, sf_dir), KEYS, CONTROLS)
     return out.select(*KEYS, "code", "status", F.col("difference").cast("double").alias("difference"), F.array_join("affected", ",").alias("affected"))
 
 
 def invalidated_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = statements(spark, sf_dir)
+    st = _disputed(spark, sf_dir)
     names = {"TOTAL_BILAN": "tb", "TRESORERIE_NETTE": "tn", "RESULTAT_NET": "rn", "CHIFFRE_AFFAIRES": "ca"}
     wide = st.select(*KEYS, *(F.col(c).alias(n) for n, c in names.items()))
     values = wide.unpivot(KEYS, list(names), "code", "value").withColumn("status", F.when(F.col("value").isNull(), "missing").otherwise("confirmed"))
@@ -127,8 +137,10 @@ def parse_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = normalize_label(F.substring_index("text", "\n", 1))
-    return _read(spark, sf_dir, "documents").select("doc_id", label.alias("label"), F.length(label).alias("n"))
+    """Every line of every text as a label, counted by document."""
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    label = normalize_label(F.col("line"))
+    return lines.select("doc_id", label.alias("label")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("label")).alias("n_chars"), F.min("label").alias("first"), F.max("label").alias("last"))
 
 
 def label_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +177,7 @@ def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carried_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 20)).alias("section"))
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("section"))
     return W.carry_section(turns, ["conv_id"], ["turn"], "section")
 
 
@@ -207,7 +219,7 @@ def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terminal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.terminal_once(_job_events(spark, sf_dir)).groupBy("job_id", "event").agg(F.count("*").alias("n"))
+    return jobs.terminal_once(_job_events(spark, sf_dir)).select("job_id", "event", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 def live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +266,9 @@ def _engine_sql() -> str:
     row(supplier, f"CASE WHEN {supplier} IS NULL THEN '{R.NONE}' WHEN {customer} IS NULL THEN '{R.WATCH}' ELSE {grade(supplier, f'0.8 * {customer}', f'0.5 * {customer}', True)} END")
     growth = "((ca - n1) / abs(nullif(n1, 0)))"
     row(growth, f"CASE WHEN {growth} IS NULL THEN '{R.NONE}' ELSE {grade(growth, 0.05, 0, True)} END")
-    row("NULL", f"'{R.NONE}'")
-    names = ("ca", "achats", "clients", "fourn", "rn", "caf", "tn", "tb", "df", "fp", "fdr")
+    after = "(CASE WHEN coalesce(ta, tp, clients) IS NOT NULL AND fp > 0 THEN (coalesce(ta, 0) + coalesce(tp, 0) + coalesce(clients, 0)) / fp END)"
+    row(after, f"CASE WHEN coalesce(ta, tp, clients) IS NULL OR fp IS NULL THEN '{R.NONE}' WHEN fp <= 0 THEN '{R.BAD}' ELSE {grade(after, 2, 3, False)} END")
+    names = ("ca", "achats", "clients", "fourn", "rn", "caf", "ta", "tp", "tn", "tb", "df", "fp", "fdr")
     doubles = ", ".join(f"CAST({c} AS DOUBLE) {c}" for c in names)
     return f"WITH {ST_SQL}, d AS (SELECT k, y, seg, {doubles}, CAST(lag(ca) OVER (PARTITION BY k ORDER BY y) AS DOUBLE) n1 FROM st), r AS (" + " UNION ALL ".join(rows) + ")"
 
@@ -265,7 +278,7 @@ def _weighted_sql() -> str:
     values = {
         "financial_autonomy": "fp / nullif(tb, 0) * 100", "debt_ratio": "df / nullif(fp, 0)", "repayment_capacity": "df / nullif(caf, 0)", "caf_margin": "caf / nullif(ca, 0) * 100",
         "commercial_profitability": "rn / nullif(ca, 0) * 100", "financial_profitability": "rn / nullif(fp, 0) * 100", "economic_profitability": "rn / nullif(fp + df, 0) * 100", "fdr_ca": "fdr / nullif(ca, 0) * 100",
-        "treasury_days": "tn / nullif(ca, 0) * 360", "customer_days": "clients / nullif(ca, 0) * 360", "supplier_days": "fourn / nullif(achats, 0) * 360", "ca_growth": "(ca - n1) / abs(nullif(n1, 0)) * 100", "global_debt_after_operation": "NULL",
+        "treasury_days": "tn / nullif(ca, 0) * 360", "customer_days": "clients / nullif(ca, 0) * 360", "supplier_days": "fourn / nullif(achats, 0) * 360", "ca_growth": "(ca - n1) / abs(nullif(n1, 0)) * 100", "global_debt_after_operation": "(ta + tp + clients) / nullif(fp, 0)",
     }
     rows = []
     for code, up, good, watch, weight, _ in R.WEIGHTED:
@@ -278,7 +291,7 @@ def _weighted_sql() -> str:
             x, op = (shown if code == "ca_growth" else f"round({v}, 9)"), ">=" if up else "<="  # amounts are exact, their quotients here are not
             status = f"CASE WHEN {x} IS NULL THEN 'non_calculable' WHEN {x} {op} {good} THEN 'conforme' WHEN {x} {op} {watch} THEN 'a_surveiller' ELSE 'non_conforme' END"
         rows.append(f"SELECT k, y, seg, '{code}' code, {shown} AS value, {status} AS status, {weight} weight FROM d")
-    names = ("ca", "achats", "clients", "fourn", "rn", "caf", "tn", "tb", "df", "fp", "fdr")
+    names = ("ca", "achats", "clients", "fourn", "rn", "caf", "ta", "tp", "tn", "tb", "df", "fp", "fdr")
     doubles = ", ".join(f"CAST({c} AS DOUBLE) {c}" for c in names)
     points = "CAST(round(weight * CASE status WHEN 'conforme' THEN 1.0 WHEN 'a_surveiller' THEN 0.6 ELSE 0 END, 2) AS DOUBLE)"
     return f"WITH {ST_SQL}, d AS (SELECT k, y, seg, {doubles}, CAST(lag(ca) OVER (PARTITION BY k ORDER BY y) AS DOUBLE) n1 FROM st), w0 AS (" + " UNION ALL ".join(rows) + f"), w AS (SELECT *, {points} points FROM w0)"
@@ -304,9 +317,10 @@ def oracle_sql() -> dict[str, str]:
       - CASE WHEN debit_days > 30 THEN 15 ELSE 0 END) AS DOUBLE) axis2, CAST(0.625 AS DOUBLE) coverage2 FROM b)"""
     checks = " UNION ALL ".join(
         f"SELECT k, y, '{code}' code, CASE WHEN e IS NULL OR o IS NULL THEN 'not_testable' WHEN abs(o - e) <= greatest(1, abs(e) * 0.0001) THEN 'passed' ELSE 'failed' END AS status, CAST(o - e AS DOUBLE) difference, '{','.join(a)}' affected "
-        f"FROM (SELECT k, y, {e} e, {o} o FROM st)" + ("" if always else " WHERE e IS NOT NULL AND o IS NOT NULL")
+        f"FROM (SELECT k, y, {e} e, {o} o FROM ds)" + ("" if always else " WHERE e IS NOT NULL AND o IS NOT NULL")
         for code, e, o, always, a in CONTROLS
     )
+    disputed = "ds AS (SELECT * REPLACE (" + ", ".join(f"CAST({e} AS DECIMAL(20,4)) AS {n}" for n, e in DISPUTED.items() if n != "other_tb") + f"), CAST({DISPUTED['other_tb']} AS DECIMAL(20,4)) other_tb FROM st)"
     folded = "regexp_replace(regexp_replace(replace(replace(lower(strip_accents({})), 'œ', 'oe'), 'æ', 'ae'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')"
     similar = """CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 WHEN contains({a}, {b}) THEN 0.75 + 0.25 * length({b}) / length({a})
       WHEN contains({b}, {a}) THEN CASE WHEN length({a}) / length({b}) >= 0.9 THEN 0.7 + 0.2 * length({a}) / length({b}) ELSE 0.0 END
@@ -338,9 +352,9 @@ def oracle_sql() -> dict[str, str]:
           coalesce(string_agg(CASE WHEN status = 'non_calculable' AND code IN ('financial_autonomy', 'debt_ratio', 'repayment_capacity', 'caf_margin') THEN code END, ',' ORDER BY code), '') missing FROM w GROUP BY k, y)
         SELECT k, y, financial, missing, CASE WHEN missing <> '' THEN 'NON_EVALUABLE' ELSE {_grid_sql("financial")} END risk_class, CASE WHEN missing <> '' THEN 'Revue manuelle' ELSE 'Revue manuelle (score financier provisoire)' END decision,
           CASE WHEN missing <> '' THEN 'INSUFFICIENT_DATA' ELSE 'PARTIAL_DATA' END blocking FROM fa""",
-        "accounting_controls": f"WITH {ST_SQL} {checks}",
-        "invalidated_fields": f"""WITH {ST_SQL}, x AS ({checks}), v AS (SELECT k, y, 'TOTAL_BILAN' code, tb AS value FROM st UNION ALL SELECT k, y, 'TRESORERIE_NETTE', tn FROM st UNION ALL SELECT k, y, 'RESULTAT_NET', rn FROM st
-          UNION ALL SELECT k, y, 'CHIFFRE_AFFAIRES', ca FROM st), f AS (SELECT DISTINCT k, y, unnest(string_split(affected, ',')) code, true hit FROM x WHERE status = 'failed'),
+        "accounting_controls": f"WITH {ST_SQL}, {disputed} {checks}",
+        "invalidated_fields": f"""WITH {ST_SQL}, {disputed}, x AS ({checks}), v AS (SELECT k, y, 'TOTAL_BILAN' code, tb AS value FROM ds UNION ALL SELECT k, y, 'TRESORERIE_NETTE', tn FROM ds UNION ALL SELECT k, y, 'RESULTAT_NET', rn FROM ds
+          UNION ALL SELECT k, y, 'CHIFFRE_AFFAIRES', ca FROM ds), f AS (SELECT DISTINCT k, y, unnest(string_split(affected, ',')) code, true hit FROM x WHERE status = 'failed'),
         u AS (SELECT v.code, value, CASE WHEN value IS NULL THEN 'missing' WHEN hit THEN 'conflicting' ELSE 'confirmed' END AS status FROM v LEFT JOIN f ON v.k = f.k AND v.y = f.y AND v.code = f.code)
         SELECT code, status, count(*) n, round(CAST(sum(CASE WHEN status = 'confirmed' THEN value END) AS DOUBLE), 2) total FROM u GROUP BY 1, 2""",
         "derived_fields": f"""WITH {ST_SQL}, e AS (SELECT k, y, CASE WHEN k % 3 <> 0 THEN tn END tn, ta - tp c1, CASE WHEN k % 4 = 0 THEN fdr + 5 ELSE fdr END fdr, fp + df - ai c2 FROM st)
@@ -349,19 +363,19 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN c2 IS NOT NULL AND (fdr IS NULL OR abs(fdr - c2) > greatest(1, abs(c2) * 0.0001)) THEN 'derived' WHEN fdr IS NOT NULL THEN 'confirmed' ELSE 'missing' END fdr_status FROM e""",
         "parse_amounts": """WITH p AS (SELECT l_orderkey, CASE WHEN l_linenumber % 6 = 5 THEN NULL WHEN l_linenumber % 6 IN (2, 3) THEN -CAST(l_extendedprice AS DECIMAL(20,4)) ELSE CAST(l_extendedprice AS DECIMAL(20,4)) END v FROM lineitem)
         SELECT l_orderkey, CAST(sum(v) AS DOUBLE) total, CAST(sum(v) AS DOUBLE) total_ocr, count(v) n_values, count(*) FILTER (v = 0) n_zero FROM p GROUP BY 1""",
-        "normalized_labels": f"SELECT doc_id, trim({folded.format("string_split(coalesce(text, ''), chr(10))[1]")}) AS label, CAST(length(trim({folded.format("string_split(coalesce(text, ''), chr(10))[1]")})) AS INTEGER) n FROM documents",
+        "normalized_labels": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) x FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, trim({folded.format('x')}) b FROM l) SELECT doc_id, count(*) n_lines, CAST(sum(length(b)) AS BIGINT) n_chars, min(b) AS first, max(b) AS last FROM n GROUP BY 1",
         "label_similarities": f"WITH p AS (SELECT DISTINCT p_name, p_type, trim({folded.format('p_name')}) a, trim({folded.format("string_split(p_name, ' ')[1]")}) b, trim({folded.format('p_type')}) t FROM part) SELECT p_name, p_type, round(CAST({similar.format(a='a', b='b')} AS DOUBLE), 6) AS same, round(CAST({similar.format(a='t', b='a')} AS DOUBLE), 6) AS other FROM p",
         "yearly_variations": f"""WITH {ST_SQL}, u AS (SELECT k, y, 'ca' item, CAST(ca AS DOUBLE) v FROM st UNION ALL SELECT k, y, 'rn', CAST(rn AS DOUBLE) FROM st UNION ALL SELECT k, y, 'fdr', CAST(fdr AS DOUBLE) FROM st),
         g AS (SELECT *, lag(v) OVER (PARTITION BY k, item ORDER BY y) p, lag(y) OVER (PARTITION BY k, item ORDER BY y) py FROM u)
         SELECT k, item, y || '/' || py AS period, round((v - p) / abs(nullif(p, 0)), 4) variation FROM g WHERE py IS NOT NULL""",
         "sector_medians": f"{weighted} SELECT seg, code, round(median(value), 4) AS median, count(*) n FROM w WHERE value IS NOT NULL GROUP BY 1, 2",
-        "value_consensus": f"WITH {cand} SELECT l_orderkey, code, CAST(count(DISTINCT amount) AS INTEGER) n_values, count(*) n_candidates, CAST(CASE WHEN count(DISTINCT amount) = 1 THEN max(amount) END AS DOUBLE) AS value, CASE count(DISTINCT amount) WHEN 0 THEN 'missing' WHEN 1 THEN 'confirmed' ELSE 'conflicting' END AS status FROM c GROUP BY 1, 2",
+        "value_consensus": f"WITH {cand} SELECT l_orderkey, code, count(*) n_candidates, CAST(CASE WHEN count(DISTINCT amount) = 1 THEN max(amount) END AS DOUBLE) AS value, CASE count(DISTINCT amount) WHEN 0 THEN 'missing' WHEN 1 THEN 'confirmed' ELSE 'conflicting' END AS status FROM c GROUP BY 1, 2",
         "best_candidates": f"""WITH {cand}, t AS (SELECT *, max(priority) OVER (PARTITION BY l_orderkey, code) top FROM c)
-        SELECT l_orderkey, code, CAST(count(DISTINCT CASE WHEN priority >= top - 5 THEN amount END) AS INTEGER) n_values, count(*) FILTER (priority < top - 5) n_lower, max(top) priority,
+        SELECT l_orderkey, code, count(*) FILTER (priority < top - 5) n_lower, max(top) priority,
           CAST(CASE WHEN count(DISTINCT CASE WHEN priority >= top - 5 THEN amount END) = 1 THEN max(CASE WHEN priority >= top - 5 THEN amount END) END AS DOUBLE) AS value,
           CASE WHEN count(DISTINCT CASE WHEN priority >= top - 5 THEN amount END) > 1 THEN 'conflicting' ELSE 'confirmed' END AS status FROM t GROUP BY 1, 2""",
         "first_candidates": f"WITH {cand} SELECT l_orderkey, code, l_linenumber, CAST(amount AS DOUBLE) amount FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey, code ORDER BY l_linenumber) = 1",
-        "carried_sections": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations",
+        "carried_sections": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations",
         "table_islands": """WITH a AS (SELECT *, event_type = 'click' c, lag(event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id) p FROM events),
         b AS (SELECT *, sum(CASE WHEN c AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) i FROM a)
         SELECT user_id, CAST(i AS BIGINT) AS island, count(*) n, min(event_id) first_event FROM b WHERE c GROUP BY 1, 2""",
@@ -372,7 +386,7 @@ def oracle_sql() -> dict[str, str]:
         "job_progress": f"""WITH {job}, g AS (SELECT job_id, count(*) FILTER (ev = 'page') n_pages, count(*) FILTER (ev = 'skipped') n_skipped, count(*) FILTER (ev = 'failed') n_failed, bool_or(ev = 'completed') done FROM j GROUP BY 1)
         SELECT job_id, n_pages, n_skipped, n_failed, CAST(CASE WHEN done THEN 100 ELSE least(80, 15 + floor(70.0 * n_pages / 10)) END AS INTEGER) pct, CASE WHEN done THEN 'completed' ELSE 'running' END state FROM g""",
         "job_history": f"WITH {job} SELECT job_id, event_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS INTEGER) age FROM j QUALIFY age <= 5",
-        "terminal_events": f"WITH {job} SELECT DISTINCT job_id, ev AS event, CAST(1 AS BIGINT) n FROM j WHERE ev IN ('completed', 'failed')",
+        "terminal_events": f"WITH {job} SELECT job_id, ev AS event, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS at FROM j WHERE ev IN ('completed', 'failed') GROUP BY 1, 2",
         "live_jobs": f"""WITH {job}, a AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY job_id ORDER BY ts) + INTERVAL 60 MINUTE THEN 0 ELSE 1 END s FROM j),
         b AS (SELECT *, sum(s) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) life FROM a), c AS (SELECT job_id, life, count(*) n FROM b GROUP BY 1, 2)
         SELECT job_id, count(*) n_lives, max(n) most_events FROM c GROUP BY 1""",

@@ -50,14 +50,13 @@ def page_text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlapping_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut in two parts that share up to forty lines, and joined again."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(text, r"^\s+|\s+$", "").alias("t"))
     lines, n = F.split("t", "\n"), F.size(F.split("t", "\n"))
-    plain = F.array_distinct(F.transform(F.split(F.lower("t"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
-    half, shared = (n / 2).cast("int"), F.least(F.lit(20), (n / 4).cast("int"))
+    half, shared = (n / 2).cast("int"), F.least(F.lit(40), (n / 4).cast("int"))
     top, bottom = F.array_join(F.slice(lines, F.lit(1), half + shared), "\n"), F.replace(F.array_join(F.slice(lines, half + 1, n), "\n"), F.lit(" "), F.lit("  "))
-    unique = docs.where((F.size(plain) == n) & ~F.col("t").rlike(r"\n\s*\n"))
-    return unique.select("doc_id", F.size(F.split(P.merge_overlap(top, bottom), "\n")).cast("long").alias("n_lines"))
+    return docs.select("doc_id", F.size(F.split(P.merge_overlap(top, bottom), "\n")).cast("long").alias("n_lines"))
 
 
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +115,8 @@ def weighted_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def complete_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios, sector = _sector(spark, sf_dir)
-    axis = S.weighted_axis(ratios, KEYS).select(*KEYS, F.col("financial").cast("double").alias("financial"), F.col("calculable").alias("financial_ok"))
+    st = W.with_previous(statements(spark, sf_dir), "k", "y", "ca", "ca_n1")
+    axis = S.weighted_axis(st, KEYS).select(*KEYS, F.col("financial").cast("double").alias("financial"), F.col("calculable").alias("financial_ok"))
     case = axis.join(sector, KEYS, "left").join(S.weighted_behaviour(_behaviour(spark, sf_dir), ["k"]), "k", "left")
     return S.credit_decision(S.final_score(case, True)).select(*KEYS, "final", "partial", "risk_class", "decision", "blocking_status")
 
@@ -136,7 +136,8 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratio_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.weighted_ratios(W.with_previous(statements(spark, sf_dir), "k", "y", "ca", "ca_n1"), KEYS)
+    st = statements(spark, sf_dir).withColumns({"leasing": F.col("ta"), "cmt": F.col("tp"), "operation": F.col("clients")})
+    out = R.weighted_ratios(W.with_previous(st, "k", "y", "ca", "ca_n1"), KEYS)
     return numbered(out.select(*KEYS, "code", "status"), KEYS, ["code"])
 
 
@@ -196,10 +197,11 @@ def oracle_sql(weighted: str, folded: str, similar: str) -> dict[str, str]:
             ELSE list_max(map_values(list_histogram(list_transform(tl, lambda x: length(x) - length(replace(x, '|', '')))))) / len(tl)::DOUBLE END q FROM l)
           SELECT doc_id, round(q, 6) quality, t <> '[PAGE VIDE]' AND (length(t) < 120 OR len(ls) < 4 OR (len(tl) >= 3 AND q < 0.7)) insufficient,
             coalesce(length(text), 0) < 40 OR doc_id % 10 >= 5 OR (doc_id % 12 >= 8 AND len(string_split(coalesce(text, ''), ' ')) >= 20) vision FROM q""",
-        # a half and its overlapping rest give back the lines of the whole
-        "overlapping_pages": """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') t FROM documents),
-          l AS (SELECT doc_id, t, list_transform(string_split(lower(t), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) ls FROM d)
-          SELECT doc_id, len(ls)::BIGINT n_lines FROM l WHERE len(list_distinct(ls)) = len(ls) AND NOT regexp_matches(t, '\\n\\s*\\n')""",
+        "overlapping_pages": r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), chr(10)) ls FROM documents), h AS (SELECT *, len(ls) // 2 half, least(40, len(ls) // 4) shared FROM d),
+          p AS (SELECT doc_id, regexp_replace(array_to_string(ls[1:half + shared], chr(10)), '^\s+|\s+$', '', 'g') a, regexp_replace(array_to_string(ls[half + 1:], chr(10)), '^\s+|\s+$', '', 'g') b FROM h),
+          l AS (SELECT doc_id, CASE WHEN a = '' THEN [] ELSE list_transform(string_split(lower(a), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) END a,
+            CASE WHEN b = '' THEN [] ELSE list_transform(string_split(lower(b), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) END b FROM p)
+          SELECT doc_id, greatest(1, len(a) + len(b) - coalesce(list_max(list_filter(range(1, least(30, len(a), len(b)) + 1), lambda k: a[len(a) - k + 1:] = b[1:k])), 0))::BIGINT n_lines FROM l""",
         "balances": f"""WITH {ST_SQL}, cand AS (SELECT k, y, ta a, CASE WHEN k % 3 = 0 THEN ta WHEN k % 3 = 1 THEN tp END b FROM st)
           SELECT k, y, CAST(CASE WHEN a IS NULL OR b IS NULL OR {agree('a', 'b')} THEN coalesce(a, b) END AS DOUBLE) balance,
             CASE WHEN a IS NULL AND b IS NULL THEN 'missing' WHEN a IS NULL OR b IS NULL THEN 'derived' WHEN {agree('a', 'b')} THEN 'confirmed' ELSE 'conflicting' END balance_status FROM cand""",

@@ -41,7 +41,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements under a document id of borrower and year."""
-    return statements(spark, sf_dir).withColumn(DOC, F.concat_ws("-", F.col("k").cast("string"), F.col("y").cast("string")))
+    st = statements(spark, sf_dir).withColumns({"leasing": F.col("ta"), "cmt": F.col("tp"), "operation": F.col("clients")})
+    return st.withColumn(DOC, F.concat_ws("-", F.col("k").cast("string"), F.col("y").cast("string")))
 
 
 def printed(amount: Column) -> Column:
@@ -400,7 +401,7 @@ def oracle_sql(axes: str, weighted: str, grid: Callable[[str], str]) -> dict[str
     ]
     folded = lambda keep: f"trim(regexp_replace({keep}, '\\s+', ' ', 'g'))"
     strict, loose = folded("regexp_replace(lower(strip_accents(l)), '[^a-z0-9]', ' ', 'g')"), folded("lower(strip_accents(l))")
-    inputs = {"ca": "ca", "fp": "fp", "tb": "tb", "df": "df", "rn": "rn", "caf": "caf", "fdr": "fdr", "tn": "tn", "clients": "clients", "fourn": "fourn", "achats": "achats", "ca_n1": "n1", "leasing": "NULL", "cmt": "NULL", "operation": "NULL"}
+    inputs = {"ca": "ca", "fp": "fp", "tb": "tb", "df": "df", "rn": "rn", "caf": "caf", "fdr": "fdr", "tn": "tn", "clients": "clients", "fourn": "fourn", "achats": "achats", "ca_n1": "n1", "leasing": "ta", "cmt": "tp", "operation": "clients"}
     lacking = " ".join(f"WHEN '{c}' THEN {' OR '.join(f'{inputs[i]} IS NULL' for i in needs)}" for c, needs in zip(E.ENGINE, E.INPUTS, strict=True))
     units = " ".join(f"WHEN '{c}' THEN '{m[3]}'" for c, m in zip(E.ENGINE, E.METADATA, strict=True))
     order = "o AS (SELECT l_orderkey document_id, sum(CAST(l_extendedprice AS DECIMAL(20,4))) total, count(*) n FROM lineitem GROUP BY 1)"
@@ -420,7 +421,7 @@ def oracle_sql(axes: str, weighted: str, grid: Callable[[str], str]) -> dict[str
         UNION ALL SELECT document_id, 'resultat_financier', CASE WHEN k % 4 = 0 THEN 'failed' ELSE 'passed' END, CASE WHEN k % 4 = 0 THEN 1000.0 ELSE 0.0 END, 3 FROM f WHERE {both}""",
         "analysed_cases": f"""{weighted}, fa AS (SELECT k, y, round(sum(points) / sum(weight) * 100, 2) financial, count(value) n,
           count(*) FILTER (status = 'non_calculable' AND code IN ('financial_autonomy', 'debt_ratio', 'repayment_capacity', 'caf_margin')) nc FROM w GROUP BY k, y),
-        b AS (SELECT st.k || '-' || st.y document_id, financial, n + {n("ta IS NOT NULL AND tp IS NOT NULL AND clients IS NOT NULL AND fp <> 0")} n_calculable, {n("ca IS NULL", "rn IS NULL", "nc > 0")} + CASE WHEN st.k % 4 = 0 AND {both} THEN 3 ELSE 0 END bad FROM fa JOIN st ON fa.k = st.k AND fa.y = st.y)
+        b AS (SELECT st.k || '-' || st.y document_id, financial, n n_calculable, {n("ca IS NULL", "rn IS NULL", "nc > 0")} + CASE WHEN st.k % 4 = 0 AND {both} THEN 3 ELSE 0 END bad FROM fa JOIN st ON fa.k = st.k AND fa.y = st.y)
         SELECT document_id, CASE WHEN bad > 0 THEN 0.0 ELSE financial END financial, CASE WHEN bad = 0 THEN financial END final, CASE WHEN bad > 0 THEN 'NON_EVALUABLE' ELSE {grid("financial")} END risk_class,
           CASE WHEN bad > 0 THEN 'Revue manuelle' ELSE 'Revue manuelle (score financier provisoire)' END decision, CASE WHEN bad > 0 THEN 'INSUFFICIENT_DATA' ELSE 'PARTIAL_DATA' END blocking_status, CASE WHEN bad > 0 THEN bad + 1 ELSE 0 END n_blocking, n_calculable FROM b""",
         "page_sections": """SELECT conv_id document_id, turn page_number, CAST(1 AS BIGINT) n_parts, coalesce(last_value(CASE turn % 5 WHEN 1 THEN 'BILAN_ACTIF' WHEN 3 THEN 'CPC' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'AUTRE') section

@@ -7,7 +7,8 @@ candidate's distances to a pivot bounds their distance from below, and so their
 Candidates are evaluated in the order of that bound, and evaluation stops when the next bound is below the
 k-th best product: no other candidate can enter, ties included.
 
-Vectors and queries are dealt by their nearest pivot (a cell), and a cell into blocks of bounded size. A cell's least
+Vectors are dealt by their nearest pivot (a cell), and a cell into blocks of bounded size; queries by groups of
+neighbouring cells, no more groups than they fill, since every vector goes to each group that may want it. A cell's least
 and greatest distance to each pivot bound the products of all its vectors. A query's k-th best product within the
 sample, which is a part of the vectors, is a floor for its k-th best of all; pairs of a query cell and a vector cell
 of which no query can reach its floor never meet. Each other pair of a query block and a vector block is
@@ -153,6 +154,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         x = extended(x)
         return np.sqrt(np.maximum(((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T), 0)).astype(np.float32)
 
+    # groups of cells that lie beside each other along the pivots' main direction
+    groups = max(1, min(len(pivots), -(-n_asked // QUERIES)))
+    spread = pivots - pivots.mean(0) if len(pivots) else pivots
+    line = spread @ np.linalg.svd(spread, full_matrices=False)[2][0] if len(pivots) else np.zeros(0)
+    group = (np.argsort(np.argsort(line, kind="stable"), kind="stable") * groups // max(len(pivots), 1)).astype(np.int32)
+
     def measure(batches):
         for batch in batches:
             d = distances(matrix(batch.column(1), wide))
@@ -179,18 +186,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
             open_ = (lengths[:, None] + longest**2 - near**2) / 2 >= floor[:, None] - 0.5
             rows_, cells = np.nonzero(open_)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(open_.sum(1))]).astype(np.int32)), pa.array(cells.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1).astype(np.int32)), lists], names=["id", "v", "qc", "cells"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group[d.argmin(1)]), lists], names=["id", "v", "qc", "cells"])
 
     placed = materialize(asked.mapInArrow(place, "id long, v array<double>, qc int, cells array<int>"), "queries")
-    many = {c: max(1, -(-q // QUERIES)) for c, q in placed.groupBy("qc").count().collect()}  # again bounded by the pivots
+    many = {c: max(1, -(-q // QUERIES)) for c, q in placed.groupBy("qc").count().collect()}  # a row for each group
     blocks = [max(1, -(-s // BLOCK)) for s in sizes]
-    # pairs of cells in which some query can still gain; both sides go only there
+    # pairs of a query group and a cell in which some query can still gain; both sides go only there
     pairs = [(q, c) for q, c in placed.select("qc", F.explode("cells").alias("cell")).distinct().collect() if sizes[c]]
     with_queries = [sorted(q for q, other in pairs if other == c) for c in range(len(pivots))]
     lookup = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at + 1)
     number = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
     to = F.element_at(F.array(*(F.array(*map(F.lit, w)).cast("array<int>") for w in with_queries)), F.col("cell") + 1)
-    query_blocks = F.coalesce(lookup([many.get(c, 1) for c in range(len(pivots))], F.col("qc")), F.lit(1))
+    query_blocks = F.coalesce(lookup([many.get(g, 1) for g in range(groups)], F.col("qc")), F.lit(1))
     held = table.select("id", "v", "d", "cell", number(lookup(blocks, F.col("cell"))).alias("vb"), F.explode(to).alias("qc")).withColumn("qb", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
     put = placed.select("id", "v", "qc", number(query_blocks).alias("qb"), F.explode("cells").alias("cell")).withColumn("vb", F.explode(F.sequence(F.lit(0), lookup(blocks, F.col("cell")) - 1)))
 

@@ -288,7 +288,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     bands = reps.select("rep", F.explode("keys").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     near = materialize(bands.join(hubs, "key").select(F.col("rep").alias("doc"), F.col("hub").alias("component")).distinct(), "near")
-    sizes = near.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # written, so that the join has plain shuffles on both sides and Spark splits the tasks of a large group
+    sizes = materialize(near.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "sizes")
     placed = near.join(sizes, "component").select("doc", F.struct("component", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "blocks").alias("group"))
     members = placed.groupBy("doc").agg(F.array_sort(F.collect_list("group")).alias("groups")).join(reps.select(F.col("rep").alias("doc"), "sum_a", "sum_b"), "doc").select("doc", "sum_a", "sum_b", "groups")
     members = materialize(members, "members")

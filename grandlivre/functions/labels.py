@@ -65,11 +65,11 @@ def normalize_label_full(label: Column) -> Column:
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def decompose(text: pd.Series) -> pd.Series:
+    def decompose(text):
         return text.fillna("").str.normalize("NFKD")
 
-    return normalize_label(decompose(label))
+    decompose.__annotations__ = {"text": pd.Series, "return": pd.Series}  # types, not names, tell the kind of function
+    return normalize_label(pandas_udf(decompose, "string")(label))
 
 
 def token_overlap(a: Column, b: Column) -> Column:

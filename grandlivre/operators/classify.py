@@ -128,6 +128,15 @@ def blank_or_other(folded: Column, page_type: Column, blank: Column) -> Column:
     return F.when(empty & (F.length(folded) < 12), "VIDE").when((F.length(folded) >= 30) & page_type.isNull(), "AUTRE").when(~empty, "AUTRE").otherwise("VIDE")
 
 
+# Wording without which a page after the first is no identification.
+STRONG_IDENTITY = ["identification du contribuable", "pieces annexes a la declaration"]
+
+
+def demote_identification(page_type: Column, page: Column, folded: Column) -> Column:
+    """The page type, null for an identification on the second page or later that lacks its strong marks."""
+    return F.when((page_type == "IDENTIFICATION") & (page >= 2) & ~_any(F.coalesce(folded, F.lit("")), STRONG_IDENTITY), None).otherwise(page_type)
+
+
 def simple_page_type(text: Column, has_visual: Column, rules: list[tuple[str, list[str]]] = SIMPLE) -> Column:
     """The first simple type with one of its words; pages without text are a scan or blank."""
     lowered = F.lower(F.coalesce(text, F.lit("")))

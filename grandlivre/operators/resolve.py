@@ -48,8 +48,9 @@ def yearly_variations(df: DataFrame, key: str, year: str, items: list[str]) -> D
 
 
 def with_previous(df: DataFrame, key: str, year: str, column: str, alias: str) -> DataFrame:
-    """Add the borrower's value of the year before the row's in the table."""
-    return df.withColumn(alias, F.lag(column).over(Window.partitionBy(key).orderBy(year)))
+    """Add the borrower's value of the year before the row's in the table; a value that ``alias`` already gives stays."""
+    before = F.lag(column).over(Window.partitionBy(key).orderBy(year))
+    return df.withColumn(alias, F.coalesce(F.col(alias), before) if alias in df.columns else before)
 
 
 def sector_medians(ratios: DataFrame, sector: str, accuracy: int = 10_000) -> DataFrame:

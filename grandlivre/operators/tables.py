@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import normalize_label
+
 
 def parse_tables(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, block, row, label, column, value): cells of tables written with bars, one row each.
@@ -45,3 +47,53 @@ def chunks(text: Column, most: int) -> Column:
     body = F.coalesce(text, F.lit(""))
     packed = F.aggregate(F.split(body, "\n"), start, pack, lambda s: F.concat(s["done"], F.array(s["open"])))
     return F.when(body == "", F.array().cast("array<string>")).otherwise(packed)
+
+
+# Wording by which the section of a page or line is known, the first that matches, and column names of tables.
+TABLE_SECTIONS = [
+    ("BILAN_ACTIF", r"(?iu)bilan\s*[-–]?\s*actif|actif\s+du\s+bilan"), ("BILAN_PASSIF", r"(?iu)bilan\s*[-–]?\s*passif|passif\s+du\s+bilan"), ("CPC", r"(?iu)compte\s+de\s+produits\s+et\s+charges|\bcpc\b"),
+    ("DETAIL_POSTES", r"(?iu)d[eé]tail\s+des\s+postes"), ("RESULTAT_FISCAL", r"(?iu)passage\s+du\s+r[eé]sultat|resultat\s+fiscal"), ("ESG", r"(?iu)etat\s+des\s+soldes|capacité\s+d.?autofinancement|\besg\b"),
+]
+COLUMNS = {
+    "brut": "brut", "amortissements": "amortissements", "amortissements et provisions": "amortissements", "net": "net_n", "net exercice n": "net_n", "net n": "net_n", "exercice n": "net_n",
+    "exercice precedent": "net_n_1", "total de l exercice": "total_exercice", "operations propres": "exercice", "exercices precedents": "exercices_precedents",
+}
+
+
+def md_column(header: Column) -> Column:
+    """The name of a table's column: a known one, else its normal label, else ``value``."""
+    key = normalize_label(header)
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in COLUMNS.items() for x in p)), key), F.nullif(key, F.lit("")), F.lit("value"))
+
+
+def table_section(text: Column) -> Column:
+    out = F
+    for name, pattern in TABLE_SECTIONS:
+        out = out.when(text.rlike(pattern), name)
+    return out
+
+
+def financial_rows(pages: DataFrame) -> DataFrame:
+    """(document_id, page_number, row, section, raw_label, normalized_label, values map, excerpt) of the tables in ``pages`` (document_id, page_number, status, content).
+
+    The section is the last one that a page as a whole or a line outside of tables named, over all pages before; ``AUTRE`` until then.
+    A block's first line names the columns; of columns of one name the last counts. Empty cells are null, rows without label go.
+    """
+    doc, page = ["document_id"], ["document_id", "page_number"]
+    lines = pages.where("status = 'ok' and content <> ''").select(*page, "content", F.posexplode(F.split("content", "\r?\n")).alias("_n", "_line"))
+    order = Window.partitionBy(*page).orderBy("_n")
+    lines = lines.withColumn("_row", F.col("_line").rlike(r"^\|(.+)\|\s*$")).withColumn("_goes_on", F.col("_row") & F.coalesce(F.lag("_row").over(order), F.lit(False)))
+    named = F.coalesce(F.when(~F.col("_goes_on"), table_section(F.col("_line"))), F.when(F.col("_n") == 0, table_section(F.col("content"))))
+    lines = lines.withColumn("_named", named).drop("content")
+    sofar = Window.partitionBy(*doc).orderBy("page_number", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("section", F.coalesce(F.last("_named", ignorenulls=True).over(sofar), F.lit("AUTRE"))).where("_row")
+    lines = lines.withColumn("_block", F.sum((~F.col("_goes_on")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(*page, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    bare = F.regexp_replace(F.trim("_line"), r"^\||\|$", "")
+    lines = lines.withColumn("_cells", F.transform(F.split(bare, r"\|"), lambda c: F.trim(c))).withColumns({"_head": F.first("_cells").over(inside), "_own": F.first("section").over(inside), "row": F.row_number().over(Window.partitionBy(*page, "_block").orderBy("_n")) - 1})
+    label = F.get("_cells", F.lit(0))
+    rows = lines.where((F.col("row") > 0) & (F.size("_head") > 1) & ~label.rlike("^[-—:]*$"))
+    pairs = F.transform(F.slice("_head", F.lit(2), F.size("_head")), lambda h, i: F.struct(md_column(h).alias("k"), F.nullif(F.get("_cells", i + 1), F.lit("")).alias("v")))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    values = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    return rows.select(*page, F.col("_n").alias("row"), F.col("_own").alias("section"), label.alias("raw_label"), normalize_label(label).alias("normalized_label"), values.alias("values"), F.left(F.trim("_line"), F.lit(240)).alias("excerpt"))

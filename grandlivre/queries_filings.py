@@ -24,6 +24,7 @@ from .operators import resolution as R
 from .operators import resolve as W
 from .operators import scoring as S
 from .operators import sections as C
+from .operators import tables as T
 from .operators import vision as V
 from .plans.statements import ST_SQL, statements
 from .rules.candidates import DATASET
@@ -350,8 +351,19 @@ def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.admit(files, magic="<!DO", most_bytes=3000, content_types=("text/html",)).select("page_id", "reason")
 
 
+def financial_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems printed as a table an order, read back with section, label and named columns."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("| Poste %d | %s |  | %s |", F.col("l_linenumber").cast("int"), "l_returnflag", F.col("l_quantity").cast("int").cast("string")).alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "\n")
+    o = F.col("l_orderkey") % 3
+    head = F.when(o == 0, "Bilan - Actif").when(o == 1, "Compte de produits et charges").otherwise("Autre page")
+    pages = rows.groupBy("l_orderkey").agg(body.alias("b")).select(F.col("l_orderkey").alias(DOC), F.lit(1).alias("page_number"), F.lit("ok").alias("status"), F.concat(head, F.lit("\n| Poste | Brut | Vide | Net |\n|---|:--|---|---|\n"), F.col("b"), F.lit("\nfin")).alias("content"))
+    out = T.financial_rows(pages)
+    return out.select(DOC, "section", "normalized_label", F.element_at("values", F.lit("brut")).alias("brut"), F.element_at("values", F.lit("net_n")).cast("int").alias("net"), F.element_at("values", F.lit("vide")).isNull().alias("vide"))
+
+
 QUERIES = [
-    payload_cells, observed_fields, extraction_results, resolved_candidates, candidate_reasons, mapping_audits, dataset_controls, analysed_cases, page_sections, section_chunks, amounts_in_text, native_amounts,
+    financial_table_rows, payload_cells, observed_fields, extraction_results, resolved_candidates, candidate_reasons, mapping_audits, dataset_controls, analysed_cases, page_sections, section_chunks, amounts_in_text, native_amounts,
     keyword_values, report_elements, recovered_candidates, model_replies, page_attempts, page_counters, card_sides, folded_labels, column_natures, overridden_scores, lot_summary, axes_sheet, ratio_sheet_details,
     job_states, upload_admission,
 ]
@@ -407,6 +419,7 @@ def oracle_sql(axes: str, weighted: str, grid: Callable[[str], str]) -> dict[str
     order = "o AS (SELECT l_orderkey document_id, sum(CAST(l_extendedprice AS DECIMAL(20,4))) total, count(*) n FROM lineitem GROUP BY 1)"
     sides = "t AS (SELECT l_orderkey document_id, l_linenumber ln, CAST(l_linenumber AS BIGINT) * 1000000000000000 + CAST(l_partkey AS BIGINT) * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) side, CASE WHEN l_returnflag = 'N' THEN CAST(l_suppkey AS VARCHAR) ELSE ' ' END m, CASE WHEN l_linestatus = 'F' THEN l_returnflag END fl FROM lineitem)"
     return {
+        "financial_table_rows": "SELECT l_orderkey document_id, CASE l_orderkey % 3 WHEN 0 THEN 'BILAN_ACTIF' WHEN 1 THEN 'CPC' ELSE 'AUTRE' END section, 'poste ' || CAST(l_linenumber AS INTEGER) normalized_label, l_returnflag brut, CAST(trunc(l_quantity) AS INTEGER) net, true AS vide FROM lineitem",
         "payload_cells": f"WITH {f}, c AS ({' UNION ALL '.join(cells)}) SELECT section, value_nature, method, count(*) n, count(v) n_amounts, count(*) FILTER (e) n_empty, round(CAST(sum(v) AS DOUBLE), 2) total FROM c GROUP BY 1, 2, 3",
         "observed_fields": f"WITH {f} {' UNION ALL '.join(fields)}",
         "extraction_results": f"""WITH {f} SELECT document_id, round(100.0::DOUBLE * ({n("tb IS NOT NULL", "CASE WHEN k % 3 = 0 THEN ca IS NULL ELSE ca IS NOT NULL END", "df IS NOT NULL", "clients IS NOT NULL", "clients IS NOT NULL", "ta IS NOT NULL OR tp IS NOT NULL", "rn IS NOT NULL", "rn IS NOT NULL", "fp IS NOT NULL", "am IS NOT NULL")} + 2) / 18, 1) completeness,

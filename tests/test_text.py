@@ -4,9 +4,13 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
+from grandlivre.functions import labels as L
 from grandlivre.functions.pages import amounts_in, clean_identity
 from grandlivre.operators import native as N
+from grandlivre.operators import classify
+from grandlivre.operators import resolve as W
 from grandlivre.operators import sections as S
+from grandlivre.operators import tables as T
 
 LONG = "ligne de texte assez longue pour compter "
 
@@ -90,3 +94,21 @@ def test_recovery(spark):
     assert sorted((r.document_id, r.field_code, r.raw_value) for r in got.collect()) == [
         ("d", "CHIFFRE_AFFAIRES", "4 746 419,00"), ("d", "DETTES_FINANCIERES", "0,00"), ("d", "RESULTAT_EXPLOITATION", "89 598,00"), ("d", "TRESORERIE_PASSIF", "0,00"), ("e", "ACHATS_REVENDUS", "12,50"), ("e", "CHIFFRE_AFFAIRES", "1,00"),
     ]
+
+
+def test_tables_with_sections(spark):
+    pages = [("d", 1, "ok", "Bilan actif\n| Libellé | Brut | Net | Net |\n|---|---|---|---|\n| Stocks | 1 | 2 | 3 |\n| -- | 9 | 9 | 9 |\n|  | 1 | 1 | 1 |\n| CPC inside | 4 |"), ("d", 2, "ok", "suite\n| a | |\n| b | 5 |"), ("d", 3, "error", "x"), ("d", 4, "ok", "Compte de produits et charges plus bas"), ("d", 5, "ok", "| one |\n| two |")]
+    got = T.financial_rows(spark.createDataFrame(pages, "document_id string, page_number int, status string, content string")).orderBy("page_number", "row").collect()
+    assert [(r.page_number, r.section, r.raw_label, r["values"]) for r in got] == [(1, "BILAN_ACTIF", "Stocks", {"brut": "1", "net_n": "3"}), (1, "BILAN_ACTIF", "CPC inside", {"brut": "4", "net_n": None}), (2, "BILAN_ACTIF", "b", {"value": "5"})]
+
+
+def test_small_rules(spark):
+    df = spark.createDataFrame([("IDENTIFICATION", 1, "x"), ("IDENTIFICATION", 2, "x"), ("IDENTIFICATION", 2, "identification du contribuable"), ("CPC", 2, None)], "t string, n int, f string")
+    assert [r[0] for r in df.select(classify.demote_identification(F.col("t"), F.col("n"), F.col("f"))).collect()] == ["IDENTIFICATION", None, "IDENTIFICATION", "CPC"]
+    years = spark.createDataFrame([(1, 2020, 5.0, None), (1, 2021, 6.0, 1.0), (1, 2022, 7.0, None)], "k int, y int, ca double, ca_n1 double")
+    assert [r.ca_n1 for r in W.with_previous(years, "k", "y", "ca", "ca_n1").orderBy("y").collect()] == [None, 1.0, 6.0]
+    words = spark.createDataFrame([("ﬁnance² Ａ", "Dettees  d'Été"), (None, None)], "a string, b string")
+    got = words.select(L.normalize_label_full(F.col("a")).alias("full"), L.fold(F.col("b")).alias("ocr"), L.fold(F.col("b"), "strict").alias("strict"), L.fold(F.col("b"), "loose").alias("loose")).collect()
+    assert tuple(got[0]) == ("finance2 a", "dettes d ete", "dettees d ete", "dettees d'ete") and tuple(got[1]) == ("", "", "", "")
+    one = spark.range(1).select(L.strip_markers(F.lit(" 12 </think> ")).alias("m"), L.strip_fences(F.lit("```json\n{}\n```")).alias("f"), L.is_grand_total(F.lit("TOTAL I")).alias("no"), L.is_grand_total(F.lit("**Total général I + II + III**")).alias("yes"), L.token_overlap(F.lit("a b c"), F.lit("b c d")).alias("o"), L.column_nature(F.lit("Net exercice N-1")).alias("c"), T.md_column(F.lit("")).alias("v")).first()
+    assert tuple(one) == ("12", "{}", False, True, 0.5, "net_n_1", "value")

@@ -245,8 +245,13 @@ def accounting_checks(df: DataFrame, liabilities: Column | None = None) -> DataF
 
     ``liabilities`` is the total of the other side where it was read on its own.
     """
-    rows = [_check(rule, F.lit(None).cast(AMOUNT) if liabilities is None else liabilities)[0] for rule in CHECKS]
-    return df.select(DOC, F.inline(F.array_compact(F.array(*rows))))
+    return df.select(DOC, F.inline(check_rows(liabilities)))
+
+
+def check_rows(liabilities: Column | None = None) -> Column:
+    """The rows of a document's checks as an array."""
+    side = F.lit(None).cast(AMOUNT) if liabilities is None else liabilities
+    return F.array_compact(F.array(*(_check(rule, side)[0] for rule in CHECKS)))
 
 
 def validate_fields(df: DataFrame, liabilities: Column | None = None) -> DataFrame:
@@ -292,11 +297,16 @@ def section_flags(df: DataFrame, seen: DataFrame) -> DataFrame:
 
 def elements(df: DataFrame) -> DataFrame:
     """Long rows (document_id, number, code, label, value, status, confidence, note) of the nineteen elements, in order."""
+    return df.select(DOC, F.inline(element_rows()))
+
+
+def element_rows() -> Column:
+    """The rows of a document's elements as an array."""
     rows = []
     for number, code, label in RULES.ELEMENTS:
         f = F.col(code)
         rows.append(F.struct(F.lit(number).alias("number"), F.lit(code).alias("code"), F.lit(label).alias("label"), f["value"].alias("value"), F.coalesce(f["status"], F.lit("not_detected")).alias("status"), F.coalesce(f["confidence"], F.lit(0.0)).alias("confidence"), (f["reason"] if code == "TYPE_RESULTAT" else F.lit(None).cast("string")).alias("note")))
-    return df.select(DOC, F.inline(F.array(*rows)))
+    return F.array(*rows)
 
 
 def scoring_input(df: DataFrame) -> DataFrame:

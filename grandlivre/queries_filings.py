@@ -86,13 +86,16 @@ def extraction_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements, completeness, checks and metadata of every document."""
     payloads = _payloads(spark, sf_dir)
     df = O.resolve(payloads)
-    filled = O.elements(df).groupBy(DOC).agg(F.count_if(F.col("value").isNotNull()).alias("n_elements"), F.max(F.when(F.col("code") == "TYPE_RESULTAT", F.col("note"))).alias("sign"))
-    checks = O.accounting_checks(df).groupBy(DOC).agg(F.count_if(F.col("status") == "passed").alias("n_passed"), F.count_if(F.col("status") == "insufficient_data").alias("n_untested"))
-    flags = O.section_flags(df, payloads.select(DOC, F.col("page_type").alias("section"))).select(DOC, F.size(F.map_filter("detected", lambda k, v: v)).alias("n_sections"))
-    given = O.scoring_input(df).select(DOC, F.col("resultat_net").cast("double").alias("scored_result"))
+    count = lambda rows, test: F.size(F.filter(rows, test))
+    own = df.select(
+        DOC, O.completeness(df).alias("completeness"), F.when(O.is_usable("RESULTAT_NET"), O.value("RESULTAT_NET")).cast("double").alias("scored_result"), O.element_rows().alias("e"), O.check_rows().alias("c"),
+    ).select(
+        DOC, "completeness", "scored_result", count(F.col("e"), lambda x: x["value"].isNotNull()).alias("n_elements"), F.get(F.filter("e", lambda x: x["code"] == "TYPE_RESULTAT"), F.lit(0))["note"].alias("sign"),
+        count(F.col("c"), lambda x: x["status"] == "passed").alias("n_passed"), count(F.col("c"), lambda x: x["status"] == "insufficient_data").alias("n_untested"),
+    )
+    sections = payloads.groupBy(DOC).agg(F.size(F.collect_set(F.when(F.col("page_type").isin("BILAN_ACTIF", "BILAN_PASSIF", "CPC"), F.col("page_type")))).alias("n_sections"))
     meta = O.document_metadata(O.payload_observations(payloads), payloads).select(DOC, "reference", "exercice")
-    parts = [df.select(DOC, O.completeness(df).alias("completeness")), filled, checks, flags, given, meta]
-    return reduce(lambda a, b: a.join(b, DOC), parts)
+    return own.join(sections, DOC).join(meta, DOC)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,10 +151,15 @@ def find_phrases(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, n_hit, items array, spans) of every document: the test items whose windows occur in it."""
     found = find_phrases(docs, items, n, id_col, text_col, item_col, item_text)
-    owners = materialize(phrase_windows(items, n, item_col, item_text).select("item", "window").distinct(), "owners")
-    rows = found.withColumn("row", F.monotonically_increasing_id()).withColumn("window", F.explode_outer("windows")).join(owners, "window", "left")
-    out = rows.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc", "n_words", "n_hit", "spans")), F.collect_set("item").alias("items"))
-    return out.select(F.col("doc").alias(id_col), "n_words", "n_hit", "items", "spans")
+    owned = phrase_windows(items, n, item_col, item_text).select("item", "window").distinct()
+    first = owned.groupBy("window").agg(F.min("item").alias("first"))
+    owners = materialize(owned.join(first, "window").select("item", "window", F.col("item").eqNullSafe(F.col("first")).alias("marked")), "owners")
+    rows = found.withColumn("window", F.explode_outer("windows")).join(owners, "window", "left")
+    # Rows are told apart by what was found, so a task that runs again changes nothing; equal rows come back as often as they were.
+    # Of a window's items one is marked, so that the marked rows of a group are its windows times its copies.
+    out = rows.groupBy("doc", "n_words", "n_hit", "windows", "spans").agg(F.collect_set("item").alias("items"), F.count_if(F.coalesce("marked", F.lit(True))).alias("n"))
+    copies = F.sequence(F.lit(1), (F.col("n") / F.greatest(F.size("windows"), F.lit(1))).cast("int"))
+    return out.select(F.col("doc").alias(id_col), "n_words", "n_hit", "items", "spans", F.explode(copies).alias("_copy")).drop("_copy")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, n: int = WINDOW, slop: int = 20, **cols) -> DataFrame:

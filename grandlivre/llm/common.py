@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once; a longer text is taken alone and whole.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that Spark hands to Python.
+BATCH_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,6 +40,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let texts travel to Python in batches of at most ``most`` bytes; a smaller setting of the session stays.
+
+    A batch is held by the task on both sides, several times over while it is read.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 def thin(df: DataFrame, key: str, wanted: DataFrame, bits: int = 20) -> DataFrame:
     """Rows of ``df`` whose key may be among those of ``wanted``, kept where they are read.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialize, texts
+from .common import materialize, small_batches, texts
 
 WINDOW = 10
 
@@ -102,6 +102,7 @@ def find_phrases(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str
     ``n_hit`` counts the words that lie in an occurrence of any window; ``windows`` are the contents found,
     ``spans`` the maximal hit runs of words.
     """
+    small_batches(docs.sparkSession)
     cols = {"id_col": id_col, "text_col": text_col}
     windows = materialize(phrase_windows(items, n, item_col, item_text), "windows")
     found = candidates(docs, windows, **cols)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import int_lists, materialize, texts, thin
+from .common import int_lists, materialize, small_batches, texts, thin
 from .components import connected_components
 
 N, THRESHOLD = 5, 0.8
@@ -280,6 +280,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     ``rep_id`` is the smallest id with the same set of grams, ``n_links`` the number of other sets that are
     similar enough, ``class_id`` the smallest id that the document is linked to, directly or through others.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     signed = materialize(_classes(base, n), "signed")
     reps = materialize(

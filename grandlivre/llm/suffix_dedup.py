@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialize, texts
+from .common import materialize, small_batches, texts
 
 LENGTH, GRAM = 100, 24
 #: Levels of 8 bytes that multikey quicksort takes before blind tries follow.
@@ -387,6 +387,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``spans`` are the maximal removed runs; ``kept`` the other bytes end to end. Columns named in ``carry`` come
     out beside them, which spares a join with ``docs``.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry))).where("doc is not null")
     several = materialize(several_texts(base), "several")
     copies = materialize(earlier_copies(base, several), "copies")

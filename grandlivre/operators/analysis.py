@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rules.candidates import DATASET
 from . import scoring as S
 from .controls import agrees
 from .ratios import WEIGHTED, weighted_ratio_list

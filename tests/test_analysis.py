@@ -2,7 +2,6 @@
 
 from decimal import Decimal as D
 
-import pytest
 from pyspark.sql import functions as F
 
 from grandlivre.operators import analysis as A

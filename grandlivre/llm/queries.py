@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language, quality, suffix_dedup, topk, toxicity, url_filter, warc
+from . import alignment, bpe, decontaminate, extraction, jaccard_join, language, prefix_trie, quality, suffix_dedup, topk, toxicity, url_filter, warc
 from .common import remainder, scratch
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -82,6 +82,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,4 +130,24 @@ def oracle_sql() -> dict[str, str]:
         SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(range(0, 32),
           lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[b[5*i+1] * 16 + b[5*i+2] * 8 + b[5*i+3] * 4 + b[5*i+4] * 2 + b[5*i+5] + 1]), 'string_agg', '') AS payload_digest,
           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM g""",
+        # the given pages mark their article; references in them are those named here
+        "op12_extract": r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) x FROM pages),
+        b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') x FROM a),
+        c AS (SELECT page_id, url, replace(replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>') x FROM b),
+        d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(x, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM c)
+        SELECT page_id, url, text, length(text) AS n_chars FROM d""",
+        # crc32 step by step: a byte is xored in, then eight shifts (-1) follow; subtrees are found by taking each node to all its ancestors
+        "op13_prefix_trie": """WITH t AS (SELECT conv_id, sha256(coalesce(role, '') || chr(0) || coalesce(text, '')) s, strlen(coalesce(text, '')) b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) k
+          FROM conversations WHERE conv_id IS NOT NULL),
+        i AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 g, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+            lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 9 h FROM t),
+        r AS (SELECT i.conv_id, 0 part, k, s, b FROM i JOIN t ON t.conv_id = g WHERE k <= h UNION ALL SELECT i.conv_id, 1, k, s, b FROM i JOIN t ON t.conv_id = i.conv_id WHERE k > h),
+        l AS (SELECT conv_id, string_agg(s, '' ORDER BY part, k) key, list(b ORDER BY part, k) bs, count(*) n FROM r GROUP BY conv_id),
+        c AS (SELECT i.conv_id, coalesce(key, '') key, coalesce(bs, []) bs, coalesce(n, 0) n FROM i LEFT JOIN l USING (conv_id)),
+        m AS (SELECT conv_id, d, substr(key, 1, 64 * d) node, CASE WHEN d = 0 THEN 0 ELSE bs[d] END b, d = n AS last FROM (SELECT *, unnest(range(0, n + 1)) d FROM c)),
+        n AS (SELECT node, d depth, min(conv_id) conv_id, count(*) n_convs, (count(*) - 1) * max(b) saved, coalesce(string_agg(CASE WHEN last THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') ends FROM m GROUP BY node, d),
+        k AS (SELECT n.*, count(u.node) n_children FROM n LEFT JOIN n u ON u.depth = n.depth + 1 AND substr(u.node, 1, 64 * n.depth) = n.node GROUP BY ALL),
+        a AS (SELECT substr(node, 1, 64 * d) top, sum(saved) saved, count(*) FILTER (n_children = 0) leaves FROM (SELECT *, unnest(range(0, depth + 1)) d FROM k) GROUP BY top)
+        SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(k.ends) AS ends_sha256
+        FROM k JOIN a ON a.top = k.node LEFT JOIN n p ON p.depth = k.depth - 1 AND p.node = substr(k.node, 1, 64 * (k.depth - 1))""",
     }

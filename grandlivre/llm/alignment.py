@@ -68,25 +68,34 @@ class Aligner:
         n = self.b.get_piece_size()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(n)))]
         self.size_a, self.size_b = {i: len(t) for i, t in self.bytes_a.items()}, list(map(len, self.bytes_b))
-        self.digits = list(map(str, range(max(n, max(self.bytes_a) + 1))))
+        printed = [str(i).encode() for i in range(max(n, max(self.bytes_a) + 1))]
+        self.wide = np.array(list(map(len, printed)))
+        self.digits = np.array(printed, f"S{self.wide.max() + 1}").view(np.uint8).reshape(len(printed), -1)
 
-    def align(self, text: str, ids_b: list[int]) -> tuple[list[int], list[tuple[int, int]], bytes] | None:
-        """A's ids, the end of each group as (A index, B index), and the printed groups; None if the bytes differ."""
+    def ends(self, text: str, ids_b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """A's ids and the last A and B index of every group; None if the bytes differ."""
         spaced = " " + text
         ids_a = self.a.encode_ordinary(spaced)
         raw = spaced.encode()
-        if b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw or b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw:
+        if b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw or self.a.decode_bytes(ids_a) != raw:
             return None
         ends_a = dict(zip(accumulate(map(self.size_a.__getitem__, ids_a)), range(len(ids_a)), strict=True))
         ends_b = dict(zip(accumulate(map(self.size_b.__getitem__, ids_b)), range(len(ids_b)), strict=True))
         common = sorted(ends_a.keys() & ends_b.keys())
-        at_a, at_b = list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
-        a, b = list(map(self.digits.__getitem__, ids_a)), list(map(self.digits.__getitem__, ids_b))
-        groups, i, j = [], 0, 0
-        for p, q in zip(at_a, at_b, strict=True):
-            groups.append(f"{a[p] if p == i else ','.join(a[i : p + 1])}|{b[q] if q == j else ','.join(b[j : q + 1])}")
-            i, j = p + 1, q + 1
-        return ids_a, list(zip(at_a, at_b, strict=True)), ";".join(groups).encode()
+        return np.array(ids_a), *(np.fromiter(map(of.__getitem__, common), np.int64, len(common)) for of in (ends_a, ends_b))
+
+    def printed(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> bytes:
+        """The groups as ``a1,a2|b1;a3|b2,b3``: ids in order of output, each with its digits and the mark that follows."""
+        ids = np.empty(len(a) + len(b), np.int64)
+        mark = np.full(len(ids), ord(","), np.uint8)
+        size_a, size_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
+        ids[np.arange(len(a)) + np.repeat(np.cumsum(size_b) - size_b, size_a)] = a
+        ids[np.arange(len(b)) + np.repeat(np.cumsum(size_a), size_b)] = b
+        last = np.cumsum(size_a + size_b) - 1
+        mark[last - size_b], mark[last] = ord("|"), ord(";")
+        out, wide = self.digits[ids], self.wide[ids]
+        out[np.arange(len(ids)), wide] = mark
+        return out[np.arange(out.shape[1]) <= wide[:, None]][:-1].tobytes()
 
 
 @functools.lru_cache(1)
@@ -131,16 +140,16 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 for k, text in enumerate(part.column(1)):
                     text = text.as_py() or ""
                     ids_b = own.b.encode(text, num_threads=1) if text else []
-                    got = own.align(text, ids_b) if text else None
+                    got = own.ends(text, ids_b) if text else None
                     ids.append(part.column(0).slice(k, 1))
                     if got is None:
                         found.append((0, 0, 0, ""))
                         pairs.append(np.zeros(0, np.int64))
                     else:
-                        ids_a, ends, printed = got
-                        at = np.array(ends, np.int64)
-                        found.append((len(ids_a), len(ids_b), len(ends), hashlib.sha256(printed).hexdigest()))
-                        pairs.append(np.array(ids_b, np.int64)[at[:, 1]] << 32 | np.array(ids_a, np.int64)[at[:, 0]])
+                        a, at_a, at_b = got
+                        b = np.array(ids_b)
+                        found.append((len(a), len(b), len(at_a), hashlib.sha256(own.printed(a, b, at_a, at_b)).hexdigest()))
+                        pairs.append(b[at_b] << 32 | a[at_a])
                     held += len(text)
                     if held >= BLOCK_BYTES:
                         yield from rows(pa.concat_arrays(ids), found, pairs)

@@ -21,7 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         pairs = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join has plain shuffles on both sides and Spark splits the tasks of a hub
+    least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     moved = pairs.join(least, "u")
     if large:
         out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

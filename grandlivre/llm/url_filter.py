@@ -120,5 +120,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
         .where("blocked and not allowed")
         .select("component", F.lit("block").alias("inherited"))
     )
+    decisions = materialize(decisions, "decisions")  # one row a blocked component; Spark may split the tasks of a large one
     verdict = F.coalesce("action", "inherited", F.lit("allow"))
     return placed.join(decisions, "component", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "address", "component")

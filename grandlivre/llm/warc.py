@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 V1_FIELDS = b"URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: %s\r\n\r\n"
@@ -163,8 +165,9 @@ def convert(arc: DataFrame, least_bytes: int = 0) -> DataFrame:
     small = arc.where(F.col("payload_bytes") >= least_bytes)
     own = F.struct("page_id", "url", "date")
     first = small.groupBy("payload_digest").agg(F.max(own).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that Spark splits the tasks of a payload that many pages share;
     # of records of the same page, address and payload the one of the first row stays the response
-    joined = arc.join(first, "payload_digest", "left").withColumn("first", F.when(F.col("payload_bytes") >= least_bytes, F.col("first")))
+    joined = arc.join(materialize(first, "payloads"), "payload_digest", "left").withColumn("first", F.when(F.col("payload_bytes") >= least_bytes, F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,5 +237,5 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     named = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"))
     named = named.join(records.where("refers_to_id is not null").select("refers_to_id").distinct(), "refers_to_id", "left_semi").dropDuplicates(["refers_to_id"])
-    out = records.join(named, "refers_to_id", "left")
+    out = records.join(materialize(named, "named"), "refers_to_id", "left")
     return out.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame that
 is written as Parquet and read again as the next stage's docs. All but the last return the columns of
 ``documents``. Rows without a doc_id cannot be named by a decision and are kept as they are; null texts stay null
-through filters and are empty where text is cut or encoded.
+through filters and are empty where text is cut or encoded. Columns other than those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).when(~F.col("absent"), F.col("kept").cast("string"))
     out = found.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS))
+    return out.select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

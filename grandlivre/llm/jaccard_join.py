@@ -275,7 +275,7 @@ def _links(members: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, rep_id, n_links, class_id) of every document with an id.
+    """(id, rep_id, n_links, class_id) of every document; one without an id has no links and no class.
 
     ``rep_id`` is the smallest id with the same set of grams, ``n_links`` the number of other sets that are
     similar enough, ``class_id`` the smallest id that the document is linked to, directly or through others.
@@ -299,4 +299,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     degrees = links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("n_links"))
     about = reps.select("sum_a", "sum_b", "grams", "rep").join(degrees, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     out = signed.select("doc", "sum_a", "sum_b", "grams").join(about, ["sum_a", "sum_b", "grams"], "left")
-    return out.select(F.col("doc").alias(id_col), F.coalesce("rep", "doc").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep", "doc").alias("class_id"))
+    named = out.select(F.col("doc").alias(id_col), F.coalesce("rep", "doc").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep", "doc").alias("class_id"))
+    none = F.lit(None).cast("long")
+    return named.union(docs.where(F.col(id_col).isNull()).select(none, none, F.lit(0).cast("long"), none))

@@ -26,8 +26,8 @@ step 3 holds ``ROWS`` rows and one gram's, fewer than ``HOT``; one of step 4 a b
 
 Null texts are empty. Documents shorter than ``length`` lose nothing. Ids are integers and tell which is
 earlier; repeated rows of one id and text are one document and each get its result; rows of an id that
-stands for different texts lose nothing, and nothing is removed for their sake. Rows without an id are left
-out (a caller that filters keeps them as they are). An empty table gives no rows.
+stands for different texts lose nothing, and nothing is removed for their sake. A row without an id
+is no earlier and no later than any other: it keeps all its bytes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -382,7 +382,9 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_bytes, n_removed, spans array<start,end>, kept binary, carry) of every document with an id.
+    """(id, n_bytes, n_removed, spans array<start,end>, kept binary, carry) of every document.
+
+    A document without an id stands before and after no other, so it loses nothing and takes nothing from others.
 
     ``spans`` are the maximal removed runs; ``kept`` the other bytes end to end. Columns named in ``carry`` come
     out beside them, which spares a join with ``docs``.
@@ -419,4 +421,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kinds = dict(docs.dtypes)
     out = f"`{id_col}` long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return base.join(ranges.union(whole), "doc", "left").mapInArrow(apply, out)
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    nameless = docs.where(F.col(id_col).isNull()).select(
+        F.lit(None).cast("long").alias(id_col), F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), raw.alias("kept"), *carry
+    )
+    return base.join(ranges.union(whole), "doc", "left").mapInArrow(apply, out).union(nameless)

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grandlivre.llm import bpe, components, decontaminate, jaccard_join, queries, suffix_dedup, topk, url_filter, warc
 from grandlivre.llm.common import scratch
@@ -115,6 +116,25 @@ def test_jaccard_join_of_repeated_rows_and_ids(spark):
     assert got == Counter({(1, 1, 1, 1): 2, (2, 2, 1, 1): 2, (3, 3, 0, 3): 1, (4, 3, 0, 3): 1, (4, 4, 1, 4): 1, (5, 5, 1, 4): 1, (6, 6, 0, 6): 2})
 
 
+def test_rows_without_an_id_come_back(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "a"), (None, text, "b"), (None, None, "c"), (2, text, "d")], "doc_id long, text string, more string")
+    got = suffix_dedup.deduplicate(docs, carry=("more",)).collect()
+    size = len(text)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept), r.more) for r in got) == [(0, 0, 0, 0, b"", "c"), (0, size, 0, 0, text.encode(), "b"), (1, size, 0, 0, text.encode(), "a"), (2, size, size, 1, b"", "d")]
+    assert Counter(map(tuple, jaccard_join.similar(docs).collect())) == Counter({(1, 1, 0, 1): 1, (2, 1, 0, 1): 1, (None, None, 0, None): 2})
+
+
+def test_hubs_meet_written_tables(spark):
+    """A node, component or payload that very many rows share is joined from a table, not from an aggregate."""
+    hub = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    got = components.connected_components(hub.union(spark.createDataFrame([(200_000, 200_001)], "u long, v long")))
+    assert got.groupBy("component").count().orderBy("component").collect() == [(0, 100_001), (200_000, 2)]
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.net/"), F.col("id")).alias("url"), F.lit("same").alias("html"))
+    aggregates = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    assert aggregates(components._star(hub, True)) == 1 and aggregates(url_filter.judge(pages, [("block", "x.net", "/")])) == 0
+
+
 def test_chains_of_likeness_are_not_one_group(spark):
     """Texts that each share half with the next are linked to nothing, and groups stay small."""
     words = [f"w{i}" for i in range(4000)]

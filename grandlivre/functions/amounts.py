@@ -12,29 +12,65 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AMOUNT = "decimal(20,4)"
-# What a cell without an amount holds, currency marks, and the blanks and dashes that occur in print.
+# What a cell without an amount holds, and currency marks.
 EMPTY = ["", "-", "−", "–", "—", "n/a", "N/A", "null", "None"]
 CURRENCY = r"MAD|Dh|DH|€|\*"
-BLANK, DASH = r"[\s  ]", r"[-−–]"
+DIGITS, BLANKS, SIGNS = "0123456789", " \t\n\r\u00a0\u202f", "-−–"
 #: Largest amount that is taken for one.
 MOST = 10**12
 
-#: Digits alone, or three at a time after a blank or dot; then one to four decimals.
-_DIGITS = rf"(?:\d{{1,3}}(?:(?:{BLANK}|\.)\d{{3}})*|\d+)(?:[,.]\d{{1,4}})?"
-_SHAPE = rf"^{BLANK}*\(?{DASH}?{_DIGITS}{DASH}?\)?{BLANK}*$"
-
 
 def bind(value: Column, step: Callable[[Column], Column]) -> Column:
     """``step`` of a value that is computed once however often the step names it."""
     return F.get(F.transform(F.array(value), step), F.lit(0))
 
 
+def only(text: Column, kept: str) -> Column:
+    """The characters of ``text`` that are among ``kept``."""
+    return F.call_function("translate", text, F.translate(text, kept, ""), F.lit(""))
+
+
+def _plain(text: Column) -> Column:
+    """The value of digits in any grouping by blanks, one decimal comma at most and a sign before: what most cells hold; null for others."""
+    flat = F.translate(text, ",−–" + BLANKS, ".--")
+    tail = F.length(flat) - F.instr(flat, ".")
+    comma = (F.instr(flat, ".") == 0) | ((tail >= 1) & (tail <= 4) & F.substring(flat, F.instr(flat, ".") - 1, F.lit(1)).between("0", "9"))
+    fits = (F.instr(text, ".") == 0) & comma & (F.translate(flat, "-.0123456789", "") == "") & (F.length(flat) <= 17)
+    return F.when(fits, F.when(F.instr(flat, ".") != 1, flat).try_cast(AMOUNT))
+
+
+def _grouped(text: Column) -> Column:
+    """Whether a text is digits alone, or up to three and then threes after blanks or dots."""
+    parts = F.split(F.translate(text, BLANKS, "......"), "[.]", -1)
+    threes = F.forall(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.length(x) == 3)
+    return (F.translate(text, DIGITS + "." + BLANKS, "") == "") & (F.length(F.get(parts, F.lit(0))) > 0) & ((F.size(parts) == 1) | (threes & (F.length(F.get(parts, F.lit(0))) <= 3)))
+
+
+def _peeled(text: Column) -> Column:
+    """Without a bracket and a sign at either end."""
+    inner = F.when(F.left(text, F.lit(1)) == "(", F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+    inner = F.when(F.right(inner, F.lit(1)) == ")", F.left(inner, F.length(inner) - 1)).otherwise(inner)
+    inner = F.when(F.instr(F.lit(SIGNS), F.left(inner, F.lit(1))) > 0, F.substring(inner, F.lit(2), F.length(inner))).otherwise(inner)
+    return F.when(F.instr(F.lit(SIGNS), F.right(inner, F.lit(1))) > 0, F.left(inner, F.length(inner) - 1)).otherwise(inner)
+
+
+def _printed(text: Column) -> Column:
+    """Whether a text is an amount: groups of digits, and one to four decimals after the last comma or dot if there are any."""
+
+    def judge(body: Column) -> Column:
+        tail = F.length(F.substring_index(F.translate(body, ",", "."), ".", -1))
+        decimals = (tail < F.length(body)) & tail.between(1, 4) & (F.translate(F.right(body, tail), DIGITS, "") == "") & _grouped(F.left(body, F.length(body) - tail - 1))
+        return _grouped(body) | decimals
+
+    return bind(_peeled(text), judge)
+
+
 def _number(body: Column) -> Column:
     """The value of a body of digits, commas and dots: of comma and dot the later one is decimal."""
     dots = F.length(body) - F.length(F.replace(body, F.lit("."), F.lit("")))
     last_comma, last_dot = F.length(body) - F.length(F.substring_index(body, ",", -1)), F.length(body) - F.length(F.substring_index(body, ".", -1))
     only_dots = ~body.contains(",")
-    thousands = only_dots & ((dots > 1) | body.rlike(r"^\d{1,3}\.\d{3}$"))
+    thousands = only_dots & ((dots > 1) | ((dots == 1) & (F.length(body) - last_dot == 3) & last_dot.between(2, 4)))
     comma_decimal = ~only_dots & (last_comma > last_dot)
     plain = F.when(thousands, F.replace(body, F.lit("."), F.lit(""))).when(comma_decimal, F.translate(body, ",.", ".")).otherwise(F.replace(body, F.lit(","), F.lit("")))
     return plain.try_cast(AMOUNT)
@@ -45,20 +81,20 @@ def parse_amount(raw: Column) -> Column:
 
     Of comma and dot the later is decimal; a lone comma is; a lone dot before exactly three digits, after three at
     most, and several dots part thousands. Text around the amount is tried without anything but digits, marks and
-    signs. Amounts beyond 1e12 are null.
+    signs. Amounts beyond 1e12 are null. Plain cells are read in generated code; only others go through the steps.
     """
 
     def shaped(text: Column) -> Column:
-        bare = F.regexp_replace(text, r"[^\d,.\-−–()]", "")
-        return F.when(text.rlike(_SHAPE), text).when(bare.rlike(_SHAPE), bare)
+        bare = only(text, DIGITS + ",.()" + SIGNS)
+        return F.when(_printed(text), text).when(_printed(bare), bare)
 
     def signed(text: Column) -> Column:
-        negative = text.rlike(rf"\(|{DASH}")
-        return bind(_number(F.regexp_replace(text, r"[^\d,.]", "")), lambda v: F.when(F.abs(v) <= MOST, F.when(negative, -v).otherwise(v)))
+        negative = F.length(F.translate(text, "(" + SIGNS, "")) < F.length(text)
+        return bind(_number(only(text, DIGITS + ",.")), lambda v: F.when(F.abs(v) <= MOST, F.when(negative, -v).otherwise(v)))
 
     marked = F.trim(F.regexp_replace(F.when(~F.trim(raw).isin(EMPTY), F.trim(raw)), CURRENCY, ""))
-    # most cells are digits and marks alone; the rest goes through the steps
-    return bind(bind(marked, shaped), signed).cast(AMOUNT)
+    plain = _plain(raw)
+    return F.when(F.abs(plain) <= MOST, plain).when(plain.isNull(), bind(bind(marked, shaped), signed)).cast(AMOUNT)
 
 
 def parse_ocr_amount(raw: Column) -> Column:
@@ -68,7 +104,8 @@ def parse_ocr_amount(raw: Column) -> Column:
         mixed = F.when(text.rlike(MIXED), F.concat(F.replace(F.left(text, F.length(text) - 3), F.lit(","), F.lit("")), F.lit("."), F.right(text, F.lit(2))))
         return F.coalesce(parse_amount(text), mixed.try_cast(AMOUNT))
 
-    return bind(F.regexp_replace(raw, BLANK, ""), read)
+    plain = _plain(raw)
+    return F.when(F.abs(plain) <= MOST, plain).when(plain.isNull(), bind(F.translate(raw, BLANKS, ""), read)).cast(AMOUNT)
 
 
 #: Commas between groups of three, and before two decimals.
@@ -77,7 +114,7 @@ MIXED = r"^-?\d{1,3}(,\d{3})+,\d{2}$"
 
 def is_mixed_comma(raw: Column) -> Column:
     """Whether commas part both thousands and decimals."""
-    return F.coalesce(F.regexp_replace(raw, BLANK, "").rlike(MIXED), F.lit(False))
+    return F.coalesce(F.translate(raw, BLANKS, "").rlike(MIXED), F.lit(False))
 
 
 def is_explicit_zero(raw: Column, parsed: Column | None = None) -> Column:
@@ -87,7 +124,7 @@ def is_explicit_zero(raw: Column, parsed: Column | None = None) -> Column:
 
 def legacy_amount(raw: Column) -> Column:
     """Blanks between thousands and a decimal comma, without further checks; null if that gives no number."""
-    return F.translate(F.regexp_replace(raw, BLANK, ""), ",", ".").try_cast(AMOUNT)
+    return F.translate(raw, ",−" + BLANKS, ".-").try_cast(AMOUNT)
 
 
 def sum_present(*values: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .amounts import bind
+
 
 def clean_text(text: Column) -> Column:
     """Line feeds only, blanks within lines collapsed, at most one empty line in a row, trimmed; null gives ''."""
@@ -17,9 +19,42 @@ def clean_text(text: Column) -> Column:
 # decimals. Cents: two decimals after comma or dot, groups after blanks or dots. Loose: groups and decimals are optional.
 AMOUNT_GROUPED = r"[-−]?\d{1,3}(?:[   ]\d{3})+(?:,\d{1,2})?|[-−]?\d+,\d{2}"
 AMOUNT_CENTS = r"(?<!\d)(-?\d{1,3}(?:[  .]\d{3})*(?:[,.]\d{2})|-?\d+[,.]\d{2})(?!\d)"
+# Short: groups after blanks, an optional decimal comma.
+AMOUNT_SHORT = r"[-−]?\d{1,3}(?:[ \u00a0\u202f]\d{3})*(?:,\d{1,2})?"
 AMOUNT_LOOSE = r"[-−]?\d{1,3}(?:[   .]\d{3})*(?:[,.]\d{1,2})?"
 
 
+def prefix_sums(sizes: Column, block: int = 256) -> Column:
+    """Sum of the sizes before each element. Blocks are summed first, so no element adds up all before it."""
+
+    def blocks(xs: Column) -> Column:
+        count = F.ceil(F.size(xs) / block).cast("int")
+        return F.struct(xs.alias("xs"), F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda b: total(F.slice(xs, b * block + 1, F.lit(block))))).alias("sums"))
+
+    def heads(s: Column) -> Column:
+        return F.struct(s["xs"].alias("xs"), F.transform(s["sums"], lambda _, b: total(F.slice(s["sums"], F.lit(1), b))).alias("before"))
+
+    def places(s: Column) -> Column:
+        at = lambda i: (i / block).cast("int")
+        return F.transform(s["xs"], lambda _, i: F.get(s["before"], at(i)) + total(F.slice(s["xs"], at(i) * block + 1, i - at(i) * block)))
+
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    return bind(bind(bind(sizes, blocks), heads), places)
+
+
+def trie_pattern(words: list[str]) -> str:
+    """A pattern of all words that prefers the longest, its branches shared by their beginnings, so that a place tries one letter a branch."""
+    quote = lambda c: c if c.isalnum() else "\\" + c
+    if words == [""]:
+        return ""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    body = "|".join(quote(c) + trie_pattern(rest) for c, rest in tails.items())
+    return f"(?:{body})" + ("?" if "" in words else "")
+
+
 def amounts_in(text: Column, form: str = "cents") -> Column:
     """Printed amounts in order, in one of two forms: ``cents`` (two decimals, no digit before or after) or ``grouped``."""
     pattern, group = (AMOUNT_CENTS, 1) if form == "cents" else (AMOUNT_GROUPED, 0)

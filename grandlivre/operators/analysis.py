@@ -117,7 +117,7 @@ def assemble_case(dataset: DataFrame, behaviour: DataFrame | None, medians: Data
         df = df.withColumns({"behavioral": F.lit(None).cast("double"), "behavioral_ok": F.lit(None).cast("boolean"), "behaviour_blocking": F.lit(None).cast(NOTES)})
     if medians is not None and sectors is not None:
         table = medians.where(F.col("code").isin([c for c, _ in S.SECTOR]) & F.col("median").isNotNull()).groupBy("sector").agg(F.map_from_entries(F.collect_list(F.struct("code", F.col("median").cast("double")))).alias("medians"))
-        return df.join(sectors.select(DOC, "sector"), DOC, "left").join(F.broadcast(table), "sector", "left")
+        return df.join(sectors.select(DOC, "sector"), DOC, "left").join(table, "sector", "left")
     return df.withColumns({"sector": F.lit(None).cast("string"), "medians": F.lit(None).cast("map<string,double>")})
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import label_similarity, normalize_label
 
-#: Most aliases of a registry, whose rows are carried to every task.
-MOST_ALIASES = 20_000
+#: Characters of the runs under which texts are filed.
+GRAM = 3
 
 
 def agree(a: Column, b: Column) -> Column:
@@ -47,21 +47,66 @@ def resolve_net_result(df: DataFrame, xiii: str, xvi: str, income: str, balance:
     return df.withColumns({"net_result": value, "net_status": status, "net_warning": warning})
 
 
+def _grams(text: Column, size: int = GRAM) -> Column:
+    """Distinct runs of ``size`` characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))
+
+
+def _pieces(text: Column) -> Column:
+    """Every run of characters under which a text that holds a given one may be filed: of ``GRAM`` characters and of fewer."""
+    return F.flatten(F.array(*(F.when(F.length(text) >= n, _grams(text, n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1))))
+
+
+def _filed(texts: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """``texts`` with ``_key``: the run of ``GRAM`` characters that is rarest by ``counts`` (_key, _n), the whole text if it is shorter."""
+    keyed = texts.select("*", F.explode(F.when(F.length(text) >= GRAM, _grams(F.col(text))).otherwise(F.array(text))).alias("_key")).join(counts, "_key", "left")
+    rarest = F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)), "_key"))
+    return keyed.groupBy(*texts.columns).agg(rarest.alias("_key"))
+
+
+def label_pairs(labels: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
+    """(_label, _alias) of distinct normal texts that may have a similarity of ``least`` (0.5 or more), each pair once.
+
+    Three joins by equal keys find them. Shared words: each side gives its rarest words, as many as it cannot all miss. A label that
+    holds an alias: the alias is filed under its rarest run of characters, the label looks under all of its own. An alias that holds
+    a label nearly as long: the other way round. No text meets one with which it shares nothing.
+    """
+    words = lambda x: F.array_distinct(F.split(x, " "))
+    held = aliases.select("_alias", F.explode(words(F.col("_alias"))).alias("_word"))
+    counts = held.groupBy("_word").agg(F.count("*").alias("_n"))
+    share = max(least, 0.5)
+
+    def rare(texts: DataFrame, name: str) -> DataFrame:
+        told = texts.select(name, F.explode(words(F.col(name))).alias("_word")).join(counts, "_word", "left")
+        order = Window.partitionBy(name).orderBy(F.coalesce("_n", F.lit(0)), "_word")
+        ranked = told.select(name, "_word", F.row_number().over(order).alias("_k"), F.count("*").over(Window.partitionBy(name)).alias(f"{name}_size"))
+        return ranked.where(F.col("_k") <= F.col(f"{name}_size") - F.ceil(F.col(f"{name}_size") * share - 1e-9) + 1).drop("_k")
+
+    left, right = F.col("_label_size"), F.col("_alias_size")
+    shared = rare(labels, "_label").join(rare(aliases, "_alias"), "_word").where((left >= right * share - 1e-9) & (right >= left * share - 1e-9))
+
+    def holding(outer: DataFrame, o: str, inner: DataFrame, i: str) -> DataFrame:
+        looks = outer.select(o, F.explode(_pieces(F.col(o))).alias("_key"))
+        filed = _filed(inner, i, looks.groupBy("_key").agg(F.count("*").alias("_n")))
+        return looks.join(filed, "_key").where(F.col(o).contains(F.col(i)))
+
+    inside = holding(labels, "_label", aliases, "_alias")
+    around = holding(aliases, "_alias", labels, "_label").where(F.length("_label") >= F.length("_alias") * 0.9)
+    found = [x.select("_label", "_alias") for x in (shared, inside, around)]
+    return found[0].union(found[1]).union(found[2]).distinct()
+
+
 def match_labels(rows: DataFrame, label: str, aliases: DataFrame, least: float = 0.7) -> DataFrame:
-    """Add code and similarity of the most similar alias, at ``least`` or more; the first alias (``pos``) if equal.
+    """Add code and similarity of the most similar alias, at ``least`` (0.5 or more); the first alias (``pos``) if equal, then the least code.
 
-    ``aliases`` (code, alias, pos) is a registry of at most ``MOST_ALIASES`` rows, which is checked before it is
-    carried to every task. The similarity is no equality, so every distinct normal label is tried on every alias;
-    rows with equal labels share one trial. Rows without a match have nulls.
+    ``aliases`` (code, alias, pos) may be of any size: an index of words and runs of characters finds the pairs that can be similar,
+    whose similarity is then computed. Rows with equal normal labels share one trial. Rows without a match have nulls.
     """
-    count = aliases.limit(MOST_ALIASES + 1).count()
-    if count > MOST_ALIASES:
-        raise ValueError(f"a registry holds at most {MOST_ALIASES} aliases")
-    known = F.broadcast(aliases.select("code", normalize_label(F.col("alias")).alias("_alias"), "pos"))
-    labels = rows.select(normalize_label(F.col(label)).alias("_label")).distinct()
-    score = label_similarity(F.col("_label"), F.col("_alias"))
-    pairs = labels.join(known, score >= least).withColumn("similarity", score)
-    best = pairs.groupBy("_label").agg(F.max_by(F.struct("code", "similarity"), F.struct("similarity", -F.col("pos"))).alias("_b"))
+    known = aliases.select("code", normalize_label(F.col("alias")).alias("_alias"), "pos").where("_alias <> ''")
+    labels = rows.select(normalize_label(F.col(label)).alias("_label")).where("_label <> ''").distinct()
+    pairs = label_pairs(labels, known.select("_alias").distinct(), least).withColumn("similarity", label_similarity(F.col("_label"), F.col("_alias"))).where(F.col("similarity") >= least)
+    choice = F.struct((-F.col("similarity")).alias("_s"), "pos", "code", "similarity")
+    best = pairs.join(known, "_alias").groupBy("_label").agg(F.min(choice).alias("_b"))
     return rows.withColumn("_label", normalize_label(F.col(label))).join(best, "_label", "left").select(*rows.columns, F.col("_b.code").alias("code"), F.col("_b.similarity").alias("similarity"))
 
 

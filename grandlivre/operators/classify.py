@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def classify_pages(
     ``alone`` holds at its first marker. Below its threshold a type gives way to the type found on the page before
     (the last that had one) if a word of that one's continuation occurs. No marker, or a folded text under
     ``shortest`` characters, gives null. Texts are reduced to counts before pages of a document meet; then one
-    fold over a document's pages follows the order, which no window expresses.
+    scan follows the pages in order, which no window expresses. Pages of one number go by their types.
     """
     folded = pages.select(doc, page, normalize_label(F.col(text)).alias("_t"))
     t = F.col("_t")
@@ -99,18 +101,29 @@ def classify_pages(
     weak = F.col("best") < at([n for _, _, n in markers])
     if alone in names:
         weak = weak & (F.col("pick") != names.index(alone))
-    rows = scored.select(doc, F.struct(F.col(page).alias("page"), F.when(found, at(names)).alias("kind"), (found & weak).alias("weak"), "goes_on").alias("_r"))
-    grouped = rows.groupBy(doc).agg(F.array_sort(F.collect_list("_r")).alias("_rows"))
-    step = "struct<last:string,out:array<struct<page:{p},kind:string>>>".format(p=dict(pages.dtypes)[page])
-
-    def fold(state: Column, row: Column) -> Column:
-        kind = F.when(row["weak"] & F.coalesce(F.array_contains(row["goes_on"], state["last"]), F.lit(False)), state["last"]).otherwise(row["kind"])
-        one = F.array(F.struct(row["page"].alias("page"), kind.alias("kind")))
-        return F.struct(F.coalesce(kind, state["last"]).alias("last"), F.concat(state["out"], one).alias("out")).cast(step)
-
-    empty = F.struct(F.lit(None).cast("string").alias("last"), F.array().alias("out")).cast(step)
-    done = grouped.select(doc, F.explode(F.aggregate("_rows", empty, fold, lambda s: s["out"])).alias("_o"))
-    return done.select(doc, F.col("_o.page").alias(page), F.col("_o.kind").alias("page_type"))
+    rows = scored.select(doc, page, F.when(found, at(names)).alias("kind"), F.coalesce(found & weak, F.lit(False)).alias("weak"), "goes_on")
+    dealt = rows.repartition(doc).sortWithinPartitions(doc, page, "kind", "weak", "goes_on")
+    kinds = dict(dealt.dtypes)
+    return dealt.mapInArrow(_carry, f"`{doc}` {kinds[doc]}, `{page}` {kinds[page]}, page_type string")
+
+
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, page, page_type) of sorted rows (doc, page, kind, weak, goes_on).
+
+    Each page maps the type found last to its own type and the type found last after it; the maps are applied one after the other,
+    so a document of any length is one pass and nothing of it is held but its last type.
+    """
+    own, last = None, None
+    for batch in batches:
+        docs, out = batch.column(0).to_pylist(), []
+        for name, kind, weak, goes_on in zip(docs, *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            if name != own:
+                own, last = name, None
+            if weak and last in goes_on:
+                kind = last  # noqa: PLW2901
+            last = kind or last
+            out.append(kind)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=[batch.schema.names[0], batch.schema.names[1], "page_type"])
 
 
 def types_to_try(primary: Column, previous: Column, most: int = 3) -> Column:

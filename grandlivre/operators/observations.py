@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import AMOUNT, parse_amount, sum_present
 from ..functions.labels import column_nature, label_similarity, normalize_label
 from ..rules import fields as RULES
+from .resolve import total_order
 
 DOC = "document_id"
 #: Schema of payload files.
@@ -106,13 +107,13 @@ def score_observations(obs: DataFrame) -> DataFrame:
 
 def top_candidates(scored: DataFrame, n: int = KEPT) -> DataFrame:
     """The ``n`` best observations with an amount of each document and field, numbered from 1."""
-    own = Window.partitionBy(DOC, "code").orderBy(F.desc("score"), "ordinal")
+    own = Window.partitionBy(DOC, "code").orderBy(F.desc("score"), *total_order(scored, ["ordinal"], [DOC, "code", "score"]))
     return scored.where("parsed_value is not null").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= n)
 
 
 def resolve_fields(scored: DataFrame) -> DataFrame:
     """(document_id, code, field) for each field with an observation: the best one, ambiguous if the next is near with another amount."""
-    own = Window.partitionBy(DOC, "code").orderBy(F.col("parsed_value").isNull(), F.desc("score"), "ordinal")
+    own = Window.partitionBy(DOC, "code").orderBy(F.col("parsed_value").isNull(), F.desc("score"), *total_order(scored, ["ordinal"], [DOC, "code", "score"]))
     ranked = scored.withColumn("_n", F.row_number().over(own)).where(F.col("parsed_value").isNull() | (F.col("_n") <= KEPT))
     amount, nth = F.col("parsed_value").isNotNull(), lambda k: (F.col("_n") == k) & F.col("parsed_value").isNotNull()
     facts = F.struct("parsed_value", "score", F.coalesce("value_nature", "column_name").alias("column"), "page", "raw_label", "section", "match", "model_confidence")
@@ -328,7 +329,7 @@ def document_metadata(obs: DataFrame, payloads: DataFrame | None = None, pages:
     out = obs.groupBy(DOC).agg(*(F.min_by(F.when(take(m), text), F.when(take(m), F.col("ordinal"))).alias(m) for m in names))
     if payloads is None:
         return out
-    first = Window.partitionBy(DOC).orderBy("page")
+    first = Window.partitionBy(DOC).orderBy("page", *(F.element_at("metadata", F.lit(m)) for m in names))
     early = payloads.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= pages)
     own = lambda m: F.nullif(F.trim(F.element_at("metadata", F.lit(m))), F.lit(""))
     given = early.groupBy(DOC).agg(*(F.min_by(own(m), F.when(own(m).isNotNull(), F.col("page"))).alias(f"_{m}") for m in names))

@@ -59,7 +59,7 @@ def with_engine_axes(df: DataFrame, medians: DataFrame | None = None, sector: st
         entry = F.map_from_entries(F.collect_list(F.struct("code", F.col("median").cast("double"))))
         known = medians.where(F.col("code").isin(ENGINE) & F.col("median").isNotNull()).dropDuplicates(["code", *([sector] if sector else [])])
         table = known.groupBy(*([sector] if sector else [])).agg(entry.alias("_m")).where(F.size("_m") > 0)
-        joined = df.join(F.broadcast(table), sector, "left") if sector else df.join(F.broadcast(table), F.lit(True), "left")
+        joined = df.join(table, sector, "left") if sector else df.join(F.broadcast(table), F.lit(True), "left")
         df = joined.withColumn("_medians", F.coalesce("_m", default)).drop("_m")
     median = {c: F.element_at("_medians", F.lit(c)) for c in ENGINE}
     value = {c: F.col(f"r_{c}")["value"] for c in ENGINE}

@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.amounts import bind
 from ..functions.labels import fold
+from ..functions.pages import prefix_sums
 from .tables import chunks
 
 # Patterns at which a section starts, in order.
@@ -54,10 +56,14 @@ def strip(text: Column) -> Column:
 
 
 def positions(text: Column, pattern: str) -> Column:
-    """Offsets (from 0) of all matches of ``pattern``."""
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(hits, lambda h, i: size(F.slice(between, F.lit(1), i + 1)) + size(F.slice(hits, F.lit(1), i)))
+    """Offsets (from 0) of all matches of ``pattern``: running lengths of what lies between and of the matches."""
+    parts = F.struct(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gaps"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x)).alias("hits"))
+
+    def places(p: Column) -> Column:
+        steps = F.transform(p["hits"], lambda h, i: F.get(p["gaps"], i) + h)  # a gap and the match after it
+        return F.transform(F.arrays_zip(prefix_sums(steps).alias("to"), F.slice(p["gaps"], F.lit(1), F.size(p["hits"])).alias("gap")), lambda x: x["to"] + x["gap"])
+
+    return F.when(text.isNotNull(), bind(parts, places))
 
 
 def section_starts(text: Column, patterns: list[tuple[str, str]] = STARTS, gap: int = 10) -> Column:

@@ -80,11 +80,12 @@ def financial_rows(pages: DataFrame) -> DataFrame:
     A block's first line names the columns; of columns of one name the last counts. Empty cells are null, rows without label go.
     """
     doc, page = ["document_id"], ["document_id", "page_number"]
-    lines = pages.where("status = 'ok' and content <> ''").select(*page, "content", F.posexplode(F.split("content", "\r?\n")).alias("_n", "_line"))
+    whole = table_section(F.col("content")).alias("_whole")  # told before the page's lines part, so that no line carries the page
+    lines = pages.where("status = 'ok' and content <> ''").select(*page, whole, "content").select(*page, "_whole", F.posexplode(F.split("content", "\r?\n")).alias("_n", "_line"))
     order = Window.partitionBy(*page).orderBy("_n")
     lines = lines.withColumn("_row", F.col("_line").rlike(r"^\|(.+)\|\s*$")).withColumn("_goes_on", F.col("_row") & F.coalesce(F.lag("_row").over(order), F.lit(False)))
-    named = F.coalesce(F.when(~F.col("_goes_on"), table_section(F.col("_line"))), F.when(F.col("_n") == 0, table_section(F.col("content"))))
-    lines = lines.withColumn("_named", named).drop("content")
+    named = F.coalesce(F.when(~F.col("_goes_on"), table_section(F.col("_line"))), F.when(F.col("_n") == 0, F.col("_whole")))
+    lines = lines.withColumn("_named", named).drop("_whole")
     sofar = Window.partitionBy(*doc).orderBy("page_number", "_n").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("section", F.coalesce(F.last("_named", ignorenulls=True).over(sofar), F.lit("AUTRE"))).where("_row")
     lines = lines.withColumn("_block", F.sum((~F.col("_goes_on")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))

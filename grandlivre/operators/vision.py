@@ -128,8 +128,8 @@ def valid_candidate() -> Column:
 
 def allowed_codes(cands: DataFrame, allowed: DataFrame) -> DataFrame:
     """Candidates whose code its page type may give; a page type that ``allowed`` (page_type, field_code) does not name may give all."""
-    ruled = F.broadcast(allowed.select("page_type").distinct().withColumn("_ruled", F.lit(True)))
-    kept = F.broadcast(allowed.select("page_type", "field_code").distinct().withColumn("_kept", F.lit(True)))
+    ruled = allowed.select("page_type").distinct().withColumn("_ruled", F.lit(True))
+    kept = allowed.select("page_type", "field_code").distinct().withColumn("_kept", F.lit(True))
     out = cands.join(ruled, "page_type", "left").join(kept, ["page_type", "field_code"], "left")
     return out.where(F.col("_ruled").isNull() | F.col("_kept").isNotNull()).select(cands.columns)
 
@@ -151,14 +151,17 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
     """One row for each page of ``attempts`` (document_id, page_number, attempt, page_type, codes array, latency_ms).
 
     Attempts after the first meaningful one do not count; of the rest the one with most candidates stays, a meaningful one if
-    equal, then the earlier; ``latency_ms`` sums all that count.
+    equal, then the earlier; ``latency_ms`` sums all that count. Attempts of one number are taken in the order of page type,
+    codes and latency, so that only equal rows tie.
     """
-    page = Window.partitionBy(DOC, "page_number").orderBy("attempt")
+    page = Window.partitionBy(DOC, "page_number").orderBy("attempt", "page_type", "codes", "latency_ms")
     good = is_meaningful(F.col("page_type"), F.col("codes"))
     done = F.coalesce(F.max(good.cast("int")).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = attempts.withColumns({"meaningful": good, "_done": done}).where("_done = 0")
-    best = F.max_by(F.struct("attempt", "page_type", "codes", "meaningful"), F.struct(F.size("codes"), "meaningful", -F.col("attempt")))
-    return rows.groupBy(DOC, "page_number").agg(best.alias("b"), F.sum("latency_ms").alias("latency_ms"), F.count("*").alias("n_attempts")).select(DOC, "page_number", "b.*", "latency_ms", "n_attempts")
+    best = F.min(F.struct((-F.size("codes")).alias("_size"), (~F.col("meaningful")).alias("_rest"), "attempt", "page_type", "codes", "meaningful"))
+    return rows.groupBy(DOC, "page_number").agg(best.alias("b"), F.sum("latency_ms").alias("latency_ms"), F.count("*").alias("n_attempts")).select(
+        DOC, "page_number", *(f"b.{c}" for c in ("attempt", "page_type", "codes", "meaningful")), "latency_ms", "n_attempts"
+    )
 
 
 def amount_like(label: Column, raw: Column) -> Column:

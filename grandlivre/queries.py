@@ -168,7 +168,7 @@ def value_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(W.pick_best(_candidates(spark, sf_dir), ["l_orderkey", "code"], "amount", "priority", ["l_linenumber"]), 4, "value", "priority")
+    return _doubles(W.pick_best(_candidates(spark, sf_dir), ["l_orderkey", "code"], "amount", "priority"), 4, "value", "priority")
 
 
 def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +218,21 @@ def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.history(_job_events(spark, sf_dir), 5).select("job_id", "event_id", "age")
 
 
+def _named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    event = F.when(kind == "purchase", "result_ready").when((kind == "error") & (F.col("value") > 90), "job_failed").when(kind == "error", "page_failed").when(kind == "view", "page_skipped").otherwise("page_extracted")
+    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", event.alias("event"))
+
+
 def terminal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.terminal_once(_job_events(spark, sf_dir)).select("job_id", "event", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return jobs.terminal_once(_named_events(spark, sf_dir)).select("job_id", "event", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader of each job sees before its stream ends."""
+    seen = jobs.until_terminal(_named_events(spark, sf_dir))
+    last = F.max_by("event", F.struct("ts", "event_id"))
+    return seen.groupBy("job_id").agg(F.count("*").alias("n_events"), last.alias("last_event"), F.max("event_id").alias("greatest_id"), F.count_if(F.col("event") == "page_extracted").alias("n_pages"))
 
 
 def live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +242,7 @@ def live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     statement_view, g1_decision, g1_ratios, g1_axes, g1_behaviour, g3_ratios, g3_decision, accounting_controls, invalidated_fields, derived_fields, parse_amounts, normalized_labels, label_similarities,
     yearly_variations, sector_medians, value_consensus, best_candidates, first_candidates, carried_sections, table_islands, present_sums, statement_sheet, archive_entries, job_progress, job_history,
-    terminal_events, live_jobs,
+    terminal_events, streamed_events, live_jobs,
 ]
 
 
@@ -328,6 +341,8 @@ def oracle_sql() -> dict[str, str]:
       THEN len(list_intersect(string_split({a}, ' '), string_split({b}, ' '))) / len(list_distinct(list_concat(string_split({a}, ' '), string_split({b}, ' ')))) ELSE 0.0 END"""
     cand = "c AS (SELECT l_orderkey, l_linenumber, l_returnflag code, CAST(l_quantity AS DECIMAL(20,4)) amount, round(l_discount * 100) * 2 priority FROM lineitem)"
     event = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'page' END"
+    named = """n AS (SELECT user_id job_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN 'result_ready' WHEN event_type = 'error' AND value > 90 THEN 'job_failed' WHEN event_type = 'error' THEN 'page_failed'
+      WHEN event_type = 'view' THEN 'page_skipped' ELSE 'page_extracted' END ev FROM events)"""
     job = f"j AS (SELECT user_id job_id, event_id, ts, {event} ev FROM events)"
     return {
         "statement_view": f"WITH {ST_SQL} SELECT k, y, seg, " + ", ".join(f"CAST({c} AS DOUBLE) {c}" for c in ("ca", "achats", "clients", "fourn", "rn", "caf", "tn", "tb", "df", "ai", "fp", "fdr")) + " FROM st",
@@ -374,7 +389,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT l_orderkey, code, count(*) FILTER (priority < top - 5) n_lower, max(top) priority,
           CAST(CASE WHEN count(DISTINCT CASE WHEN priority >= top - 5 THEN amount END) = 1 THEN max(CASE WHEN priority >= top - 5 THEN amount END) END AS DOUBLE) AS value,
           CASE WHEN count(DISTINCT CASE WHEN priority >= top - 5 THEN amount END) > 1 THEN 'conflicting' ELSE 'confirmed' END AS status FROM t GROUP BY 1, 2""",
-        "first_candidates": f"WITH {cand} SELECT l_orderkey, code, l_linenumber, CAST(amount AS DOUBLE) amount FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey, code ORDER BY l_linenumber) = 1",
+        "first_candidates": f"WITH {cand} SELECT l_orderkey, code, l_linenumber, CAST(amount AS DOUBLE) amount FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey, code ORDER BY l_linenumber, amount) = 1",
         "carried_sections": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations",
         "table_islands": """WITH a AS (SELECT *, event_type = 'click' c, lag(event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id) p FROM events),
         b AS (SELECT *, sum(CASE WHEN c AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) i FROM a)
@@ -386,7 +401,9 @@ def oracle_sql() -> dict[str, str]:
         "job_progress": f"""WITH {job}, g AS (SELECT job_id, count(*) FILTER (ev = 'page') n_pages, count(*) FILTER (ev = 'skipped') n_skipped, count(*) FILTER (ev = 'failed') n_failed, bool_or(ev = 'completed') done FROM j GROUP BY 1)
         SELECT job_id, n_pages, n_skipped, n_failed, CAST(CASE WHEN done THEN 100 ELSE least(80, 15 + floor(70.0 * n_pages / 10)) END AS INTEGER) pct, CASE WHEN done THEN 'completed' ELSE 'running' END state FROM g""",
         "job_history": f"WITH {job} SELECT job_id, event_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS INTEGER) age FROM j QUALIFY age <= 5",
-        "terminal_events": f"WITH {job} SELECT job_id, ev AS event, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS at FROM j WHERE ev IN ('completed', 'failed') GROUP BY 1, 2",
+        "terminal_events": f"WITH {named} SELECT job_id, ev AS event, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM n WHERE ev IN ('result_ready', 'job_failed') QUALIFY row_number() OVER (PARTITION BY job_id, ev ORDER BY ts, event_id) = 1",
+        "streamed_events": f"""WITH {named}, e AS (SELECT *, count(*) FILTER (ev IN ('result_ready', 'job_failed')) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ended FROM n)
+        SELECT job_id, count(*) n_events, arg_max(ev, (ts, event_id)) last_event, max(event_id) greatest_id, count(*) FILTER (ev = 'page_extracted') n_pages FROM e WHERE ended = 0 GROUP BY 1""",
         "live_jobs": f"""WITH {job}, a AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY job_id ORDER BY ts) + INTERVAL 60 MINUTE THEN 0 ELSE 1 END s FROM j),
         b AS (SELECT *, sum(s) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) life FROM a), c AS (SELECT job_id, life, count(*) n FROM b GROUP BY 1, 2)
         SELECT job_id, count(*) n_lives, max(n) most_events FROM c GROUP BY 1""",

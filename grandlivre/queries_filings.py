@@ -450,7 +450,7 @@ def oracle_sql(axes: str, weighted: str, grid: Callable[[str], str]) -> dict[str
         "recovered_candidates": f"WITH {f} SELECT document_id, 'ACHATS_REVENDUS' field_code, {num(p('achats'))} AS value FROM f WHERE achats IS NOT NULL UNION ALL SELECT document_id, 'CHIFFRE_AFFAIRES', {num(p('ca'))} FROM f WHERE ca IS NOT NULL AND document_id LIKE '%7'",
         "model_replies": "SELECT l_orderkey document_id, count(*) n, count(*) FILTER (l_linenumber = 1) n_revenue, count(*) FILTER (l_returnflag = 'A') n_before, CAST(sum(l_quantity) AS DOUBLE) total FROM lineitem GROUP BY 1",
         "page_attempts": """WITH a AS (SELECT l_orderkey document_id, l_linenumber * 10000000 + l_partkey attempt, l_returnflag = 'A' good, l_linenumber % 3 + 1 + CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END s, CAST(l_quantity AS BIGINT) q FROM lineitem),
-        b AS (SELECT *, coalesce(bool_or(good) OVER (PARTITION BY document_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) done FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY s DESC, good DESC, attempt) r,
+        b AS (SELECT *, coalesce(bool_or(good) OVER (PARTITION BY document_id ORDER BY attempt, good, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) done FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY s DESC, good DESC, attempt) r,
           sum(q) OVER (PARTITION BY document_id) latency_ms, count(*) OVER (PARTITION BY document_id) n_attempts FROM b WHERE NOT done) SELECT document_id, attempt, good meaningful, CAST(latency_ms AS BIGINT) latency_ms, n_attempts FROM c WHERE r = 1""",
         "page_counters": """WITH c AS (SELECT conv_id document_id, turn t, CASE WHEN turn % 4 <> 3 THEN coalesce(length(text), 0) ELSE 0 END n, turn % 8 = 7 b, role = 'user' u FROM conversations)
         SELECT document_id, count(*) n_pages, count(*) FILTER (n > 0) n_native, count(*) FILTER (n = 0 AND NOT b) n_scanned, CAST(count(*) FILTER (b) AS INTEGER) n_blank, CAST(count(*) FILTER (u) AS INTEGER) n_rotated, nullif(count(*) FILTER (t <= 5), 0) n_kept,

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.resolve import total_order
 from ..operators.scoring import round2
 from .documents import key_value_sheet
+from .scratch import written_once
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows with ``n`` from 1 in each document, by ``order``."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*total_order(rows, order, keys))))
 
 
 def export_sheets(decisions: DataFrame, dataset: DataFrame, ratios: DataFrame, controls: DataFrame, keys: list[str], axes: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -21,12 +23,17 @@ def export_sheets(decisions: DataFrame, dataset: DataFrame, ratios: DataFrame, c
 
 
 def index_sheet(decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """Documents of a lot numbered in order of their keys. The number comes from counts of ranges, so no task sees all rows."""
-    ordered = decisions.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-    ranked = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_size"))  # a row for each range
+    """Documents of a lot numbered in order of their keys, rows of equal keys by their other columns.
+
+    The rows are dealt into ranges and written once, so ranges and their sizes are those of one evaluation; a number is its place in
+    the range and the sizes of the ranges before, so no task sees all rows.
+    """
+    order = total_order(decisions, keys, [])
+    dealt = written_once(decisions.repartitionByRange(*keys).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "index")
+    ranked = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))  # a row for each range
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranked.join(F.broadcast(sizes.withColumn("_before", before)), "_part").withColumn("n", F.col("_before") + F.col("_n")).drop("_part", "_id", "_n", "_size", "_before")
+    return ranked.join(sizes.withColumn("_before", before), "_part").withColumn("n", F.col("_before") + F.col("_n")).select(*decisions.columns, "n")
 
 
 def axes_rows(decisions: DataFrame, keys: list[str], axes: list[tuple[str, str, float]]) -> DataFrame:

@@ -5,8 +5,16 @@ Events are (job_id, ts, event, page, count). State is kept by Spark; late events
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+# Events that end a job's stream. A reader is opened by the last name.
+TERMINAL = ("result_ready", "job_failed")
+SUBSCRIBE = "subscribe"
+LIFE_COLUMNS = ["job_id", "kind", "n", "ts", "event", "reader"]
 
 
 def progress(events: DataFrame, total: str = "total") -> DataFrame:
@@ -35,13 +43,15 @@ STEPS = [
 def job_state(events: DataFrame) -> DataFrame:
     """(job_id, step, pct, message, state, n_financial, n_skipped, n_failed, error, last_ts) of named events, for tables and streams (update mode).
 
-    ``events`` (job_id, ts, event, page, page_type, count, error). The latest event tells step, share and message; page events
+    ``events`` (job_id, ts, event, page, page_type, count, error). The latest event tells step, share and message, of equal times the
+    one furthest in the order of steps, then of the highest page and type; page events
     move the share to 15 and on to 80 by page of the count that ``pages_rendered`` gave. A failed job keeps its share.
     """
     event = F.col("event")
     known = lambda place: F.element_at(F.create_map(*(F.lit(x) for s in STEPS if s[place] is not None for x in (s[0], s[place]))), event)
     total = F.max(F.when(event == "pages_rendered", F.col("count")))
-    latest = lambda x: F.max_by(x, F.when(x.isNotNull(), F.col("ts")))
+    place = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, s in enumerate(STEPS) for x in (s[0], i))), event), F.lit(-1))
+    latest = lambda x: F.max_by(x, F.when(x.isNotNull(), F.struct("ts", place, "page", "page_type", "error")))
     paged = F.col("page").isNotNull() & event.startswith("page_")
     told = F.when(paged | known(3).isNotNull(), F.struct(F.col("page").alias("page"), F.col("page_type").alias("page_type"), known(2).alias("pct"), known(3).alias("text"), paged.alias("paged")))
     g = events.groupBy("job_id").agg(
@@ -66,34 +76,113 @@ def expire(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     return events.withColumn("_dead", dead).where("_dead = 0").drop("_dead")
 
 
-def _life(key, batches, state, ttl_seconds: int, most: int):
-    """Events of one job in order of time, until it expires; the last ``most`` are kept and come with their number."""
-    import pandas as pd
-
-    rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-    last, dead, n = state.get if state.exists else (None, False, 0)
-    kept = []
-    for ts, event in zip(rows["ts"], rows["event"], strict=True):
-        now = ts.value // 1000
-        if dead or (last is not None and now - last > ttl_seconds * 1_000_000):
-            dead = True
-            continue
-        n, last = n + 1, now if last is None else max(last, now)
-        kept.append((key[0], ts, event, n))
-    state.update((last, dead, n))
-    yield pd.DataFrame(kept[-most:], columns=["job_id", "ts", "event", "n"])
+class Lives(StatefulProcessor):
+    """The life of one job: its last events, who reads it, and a timer that ends it.
 
+    State is the number of events and the time of the last (``job``), the last ``most`` events (``log``) and the readers
+    (``readers``). An event sets the timer ``ttl_seconds`` ahead; when the watermark passes it, log and readers go and only a
+    mark stays, which turns away what still comes, until ``forget_seconds`` of event time later it goes too.
+    """
 
-def live_events(stream: DataFrame, ttl_seconds: int = 3600, most: int = 500) -> DataFrame:
-    """(job_id, ts, event, n) of a stream: events of jobs that have not expired, numbered by job; of a batch the last ``most`` of a job.
-
-    State is three numbers a job. An expired job stays expired, whatever comes later; readers keep the ``most`` greatest numbers.
+    def __init__(self, ttl_seconds: int, most: int, forget_seconds: int):
+        self.ttl, self.most, self.forget = ttl_seconds * 1000, most, forget_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "last long, n long, dead boolean")
+        self.log = handle.getListState("log", "n long, at long, event string")
+        self.readers = handle.getMapState("readers", "reader string", "since long")
+
+    def _timer(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def _end(self, last: int, n: int) -> None:
+        self.log.clear()
+        self.readers.clear()
+        self.job.update((last, n, True))
+        self._timer(last + self.ttl + self.forget)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        last, n, dead = self.job.get() if self.job.exists() else (None, 0, False)
+        log = deque(self.log.get() if self.log.exists() else (), self.most)
+        readers = [r[0] for r in self.readers.keys()] if self.readers.exists() else []
+        came, out = pd.concat(list(rows)), []
+        came = came.assign(at=came["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[came["ts"].dtype.unit if hasattr(came["ts"].dtype, "unit") else "ns"])
+        tell = lambda kind, n, at, event, reader: out.append((key[0], kind, n, pd.Timestamp(at, unit="ms"), event, reader))
+        for at, event, reader in came.sort_values(["at", "event", "reader"], kind="stable")[["at", "event", "reader"]].itertuples(index=False):
+            if not dead and last is not None and at - last > self.ttl:
+                dead, readers = True, []
+                log.clear()
+                tell("expired", n, last + self.ttl, None, None)
+            if dead:
+                continue
+            if event == SUBSCRIBE:
+                ended = False
+                for k, when, what in log:
+                    if not ended:
+                        tell("replay", k, when, what, reader)
+                    ended = ended or what in TERMINAL
+                if not ended and reader not in readers:
+                    readers.append(reader)
+                continue
+            n, last = n + 1, at if last is None else max(last, at)
+            log.append((n, at, event))
+            tell("event", n, at, event, None)
+            for one in sorted(readers):
+                tell("event", n, at, event, one)
+            if event in TERMINAL:
+                readers = []
+        if dead:
+            self._end(last, n)
+        elif last is not None:
+            self.log.put(list(log))
+            self.readers.clear()
+            for one in readers:
+                self.readers.updateValue((one,), (last,))
+            self.job.update((last, n, False))
+            self._timer(last + self.ttl)
+        yield pd.DataFrame(out, columns=LIFE_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        import pandas as pd
+
+        out = []
+        if self.job.exists():
+            last, n, dead = self.job.get()
+            if dead:
+                self.job.clear()
+            else:
+                self._end(last, n)
+                out.append((key[0], "expired", n, pd.Timestamp(last + self.ttl, unit="ms"), None, None))
+        yield pd.DataFrame(out, columns=LIFE_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def live_events(stream: DataFrame, ttl_seconds: int = 3600, most: int = 500, late: str = "10 minutes", forget_seconds: int = 86_400) -> DataFrame:
+    """(job_id, kind, n, ts, event, reader) of a stream of (job_id, ts, event, reader).
+
+    A row whose event is ``subscribe`` opens a reader: the last ``most`` events are replayed to it (kind ``replay``), then every
+    later one comes to it as well as to the log (kind ``event``, without a reader), until a terminal event ends it. A job without an
+    event for ``ttl_seconds`` of event time ends by a timer (kind ``expired``), whether or not anything else comes for
+    it; later events of it are ignored. Events of one batch are taken in order of time, then name. The session keeps
+    such state in RocksDB (``spark.sql.streaming.stateStore.providerClass``).
     """
+    rows = stream.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event", (F.col("reader") if "reader" in stream.columns else F.lit(None)).cast("string").alias("reader")).withWatermark("ts", late)
+    schema = f"job_id {dict(stream.dtypes)['job_id']}, kind string, n long, ts timestamp, event string, reader string"
+    return rows.groupBy("job_id").transformWithStateInPandas(Lives(ttl_seconds, most, forget_seconds), schema, "append", "eventTime")
 
-    def step(key, batches, state):
-        yield from _life(key, batches, state, ttl_seconds, most)
 
-    return stream.select("job_id", "ts", "event").groupBy("job_id").applyInPandasWithState(step, f"job_id {dict(stream.dtypes)['job_id']}, ts timestamp, event string, n long", "last long, dead boolean, n long", "append", "NoTimeout")
+def until_terminal(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """What a reader of each job sees: its events in ``order`` up to the first terminal one, which ends the stream; all if there is none."""
+    own = Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.col("event").isin(*TERMINAL)).over(own), F.lit(False))
+    return events.withColumn("_ended", ended).where(~F.col("_ended")).drop("_ended")
 
 
 def live_windows(events: DataFrame, ttl: str = "60 minutes", late: str = "10 minutes") -> DataFrame:
@@ -103,12 +192,13 @@ def live_windows(events: DataFrame, ttl: str = "60 minutes", late: str = "10 min
     return out.select("job_id", F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), "n")
 
 
-def terminal_once(events: DataFrame, late: str = "60 minutes") -> DataFrame:
-    """Terminal events, each once for a job."""
-    some = events.where(F.col("event").isin("completed", "failed"))
+def terminal_once(events: DataFrame, late: str = "60 minutes", terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """Terminal events, each once for a job: the earliest, the first by its other columns if equal."""
+    some = events.where(F.col("event").isin(*terminal))
     if events.isStreaming:
         return some.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "event"])
-    first = Window.partitionBy("job_id", "event").orderBy("ts")
+    rest = [c for c in events.columns if c not in ("job_id", "event", "ts")]
+    first = Window.partitionBy("job_id", "event").orderBy("ts", *rest)
     return some.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 

@@ -60,7 +60,8 @@ def test_weighted_ratios(spark):
 def test_amounts(spark):
     cases = {
         "14 757 502,81": 14757502.81, "14.757.502,81": 14757502.81, "594 733,04-": -594733.04, "(27 264,00)": -27264.0, "20,49": 20.49, "0,00": 0.0, "0": 0.0, "-193.846,67": -193846.67, "": None, "-": None, "—": None,
-        "n/a": None, "12.345": 12345.0, "12.34": 12.34, "9999999999999": None, "abc": None, "1 234,50 MAD": 1234.5, "14 757,10": 14757.1,
+        "n/a": None, "−5 000,00": -5000.0, "5 000,00–": -5000.0, "1 23": 123.0, "12.34.56": None, "1.2345": 1.2345, ",5": None, "5,": None, "5,123456": None, "1,234.5": None, "1234.567": 1234.567, "1 234.567": 1234.567, "1234.567.890": None, "1 234.567.890": 1234567890.0,
+        "5-6": None, "( 12,5 )": -12.5, "1e5": 15.0, "+7": 7.0, "1,2,3": None, "001 234": 1234.0, "12.345": 12345.0, "12.34": 12.34, "9999999999999": None, "abc": None, "1 234,50 MAD": 1234.5, "14 757,10": 14757.1,
     }
     df = spark.createDataFrame([*cases.items(), (None, None)], "raw string, want double")
     for r in df.select("*", parse_amount(F.col("raw")).alias("got")).collect():
@@ -105,7 +106,7 @@ def test_streams(spark, tmp_path):
         return spark.table(name).collect()
 
     assert {(r.job_id, r.pct, r.state) for r in run(jobs.progress(stream), "complete", "p")} == {(1, 100, "completed"), (2, 22, "running")}
-    assert sorted((r.job_id, r.event) for r in run(jobs.terminal_once(stream), "append", "t")) == [(1, "completed"), (2, "failed")]
+    assert sorted((r.job_id, r.event) for r in run(jobs.terminal_once(stream, terminal=("completed", "failed")), "append", "t")) == [(1, "completed"), (2, "failed")]
     assert {(r.job_id, r.n) for r in run(jobs.live_windows(stream), "append", "w")} == {(1, 3), (2, 1)}
     assert {(r.job_id, r.n) for r in jobs.live_windows(table).collect()} == {(1, 3), (2, 1)}
 

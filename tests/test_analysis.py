@@ -1,5 +1,6 @@
 """Evaluation, analysis, audit, sinks and job state."""
 
+import datetime as dt
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
@@ -178,9 +179,38 @@ def test_job_state(spark, tmp_path):
     late = [("a", "2024-01-01 10:00:00", "x"), ("a", "2024-01-01 10:50:00", "y"), ("a", "2024-01-01 12:00:00", "late"), ("a", "2024-01-01 12:01:00", "later"), ("b", "2024-01-01 12:00:00", "x")]
     table = spark.createDataFrame(late, "job_id string, ts string, event string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.job_id, r.event) for r in jobs.expire(table).collect()) == [("a", "x"), ("a", "y"), ("b", "x")]
-    for i in range(2):  # two files, so that state lives from one batch to the next
-        table.where(F.col("event").isin("x", "y") if not i else F.col("event").startswith("late")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = jobs.live_events(stream).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted((r.job_id, r.event, r.n) for r in spark.table("live").collect()) == [("a", "x", 1), ("a", "y", 2), ("b", "x", 1)]
+
+
+def test_jobs_expire_by_timer_and_replay(spark, tmp_path):
+    """A timer ends a job that nothing more comes for; a later reader gets exactly the last events, in order, and then live ones."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    minute = lambda m: dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=m)
+    schema = "job_id string, ts timestamp, event string, reader string"
+    batches = [
+        [("a", minute(k / 1000), f"e{k:04d}", None) for k in range(700)] + [("b", minute(0), "only", None), ("c", minute(0), "x", None), ("c", minute(90), "too late", None)],
+        [("a", minute(30), "subscribe", "r1"), ("a", minute(31), "page_extracted", None)],
+        [("a", minute(75), "result_ready", None), ("a", minute(76), "after", None), ("a", minute(77), "subscribe", "r2"), ("d", minute(200), "x", None)],
+        [("b", minute(201), "ignored", None), ("d", minute(202), "y", None)],
+        [("d", minute(203), "z", None)],
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = jobs.live_events(stream, 3600, 500, "200 minutes" if n < 2 else "0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    of = lambda job, kind, reader=None: sorted((r.n, r.event) for r in got if (r.job_id, r.kind, r.reader) == (job, kind, reader))
+    assert of("a", "event") == [(k + 1, f"e{k:04d}") for k in range(700)] + [(701, "page_extracted"), (702, "result_ready"), (703, "after")]
+    assert of("a", "replay", "r1") == [(k + 1, f"e{k:04d}") for k in range(200, 700)] and of("a", "event", "r1") == [(701, "page_extracted"), (702, "result_ready")]
+    assert of("a", "replay", "r2") == [(k + 1, f"e{k:04d}") for k in range(203, 700)] + [(701, "page_extracted"), (702, "result_ready")] and not of("a", "event", "r2")
+    ends = {r.job_id: r.ts.replace(tzinfo=None) for r in got if r.kind == "expired"}
+    assert ends == {"a": minute(136), "b": minute(60), "c": minute(60)} and of("b", "event") == [(1, "only")] and of("c", "event") == [(1, "x")]
+    assert of("d", "event") == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_streams_end_at_a_terminal_event(spark):
+    rows = [("a", 1, 1, "page_extracted"), ("a", 2, 2, "result_ready"), ("a", 2, 3, "after"), ("b", 5, 1, "x"), ("c", 1, 1, "job_failed"), ("c", 1, 2, "job_failed")]
+    events = spark.createDataFrame(rows, "job_id string, ts int, event_id int, event string")
+    assert sorted((r.job_id, r.event_id) for r in jobs.until_terminal(events).collect()) == [("a", 1), ("a", 2), ("b", 1), ("c", 1)]
+    assert sorted((r.job_id, r.event_id, r.event) for r in jobs.terminal_once(events).collect()) == [("a", 2, "result_ready"), ("c", 1, "job_failed")]
+

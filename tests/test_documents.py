@@ -1,15 +1,18 @@
 """Page, candidate and weighted scoring operators on small cases with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from grandlivre.functions import pages as P
+from grandlivre.functions.labels import label_similarity, normalize_label
 from grandlivre.operators import candidates as K
 from grandlivre.operators import classify as C
 from grandlivre.operators import scoring as S
 from grandlivre.operators import tables as T
 from grandlivre.sources import reports
-from grandlivre.streaming.rescore import latest, rescore
+from grandlivre.streaming.rescore import apply_batch, latest, rescore
 
 
 def one(spark, *columns):
@@ -98,18 +101,60 @@ def test_tables_and_chunks(spark):
 
 
 def test_rescore(spark, tmp_path):
-    values = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "k long, v double")
+    """Touched keys are replaced, others stay, the size does not grow with batches, and a batch that runs twice changes nothing."""
+    values = spark.createDataFrame([(k, float(k)) for k in range(200)], "k long, v double")
+    out = str(tmp_path / "out")
     values.limit(0).select("k").write.parquet(str(tmp_path / "in"))
+    score = lambda factor: lambda keys: keys.join(values, "k").withColumn("v", F.col("v") * factor)
 
-    def run(factor):
+    def run(factor, keys):
+        spark.createDataFrame([(k,) for k in keys], "k long").write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema("k long").parquet(str(tmp_path / "in"))
-        rescore(stream, ["k"], lambda keys: keys.join(values, "k").withColumn("v", F.col("v") * factor), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-        return {r.k: r.v for r in latest(spark, str(tmp_path / "out"), ["k"]).collect()}
-
-    spark.createDataFrame([(1,), (2,), (2,)], "k long").write.mode("append").parquet(str(tmp_path / "in"))
-    assert run(1) == {1: 10.0, 2: 20.0}
-    spark.createDataFrame([(2,), (3,)], "k long").write.mode("append").parquet(str(tmp_path / "in"))
-    assert run(2) == {1: 10.0, 2: 40.0, 3: 60.0}
+        rescore(stream, ["k"], score(factor), out, str(tmp_path / "check"), 4).trigger(availableNow=True).start().awaitTermination()
+        return {r.k: r.v for r in latest(spark, out).collect()}
+
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "out").rglob("*.parquet"))
+    want = {k: float(k) for k in range(200)}
+    assert run(1, [*range(200), 5, 5]) == want
+    sizes = []
+    for n in range(5):
+        want |= {k: k * 2.0 + n * k for k in range(n, 200, 9)}
+        assert run(2 + n, range(n, 200, 9)) == want
+        sizes.append(size())
+    assert max(sizes[1:]) <= sizes[0] * 1.2
+    before, keys = latest(spark, out).collect(), spark.createDataFrame([(3,), (900,)], "k long")
+    apply_batch(keys, 5, ["k"], score(100), out, 4)  # published already
+    assert sorted(latest(spark, out).collect()) == sorted(before)
+    apply_batch(keys, 6, ["k"], score(100), out, 4)
+    assert {r.k: r.v for r in latest(spark, out).collect()} == want | {3: 300.0}
+    gone = [k for k in range(200)]
+    apply_batch(spark.createDataFrame([(k,) for k in gone], "k long"), 7, ["k"], lambda keys: score(1)(keys).where("k = 7"), out, 4)
+    assert [tuple(r) for r in latest(spark, out).collect()] == [(7, 7.0)]
+
+
+def test_long_documents_are_one_scan(spark):
+    rows = spark.range(100_000).select(F.lit("d").alias("d"), F.col("id").alias("p"), F.when(F.col("id") == 0, "bilan passif capitaux propres").when(F.col("id") == 99_999, "rien de connu ici").otherwise("immobilisations corporelles et capitaux propres").alias("t"))
+    out = C.classify_pages(rows.repartition(5), "d", "p", "t")
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.page_type, r["count"]) for r in out.groupBy("page_type").count().collect()} == {("BILAN_PASSIF", 99_999), (None, 1)}
+
+
+def test_matching_equals_the_nested_loop(spark):
+    rng = random.Random(4)
+    words = ["dettes", "de", "financement", "clients", "et", "comptes", "rattaches", "ca", "a", "total", "capitaux", "propres", "stocks", "ab", "abc"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(1, n)))
+    names = [text(5) for _ in range(150)] + ["", "Créances clients", "x", "--"]
+    aliases = [(f"c{i % 40}", text(4), i) for i in range(120)] + [("e", "", 500), ("short", "c", 501), ("long", "dettes de financement clients et comptes", 502)]
+    names += ["dettes de financement clients et compte", "ca", "abcab"]
+    rows, table = spark.createDataFrame(list(enumerate(names)), "i int, l string"), spark.createDataFrame(aliases, "code string, alias string, pos int")
+    for least in (0.5, 0.7, 0.9):
+        every = rows.select("i", normalize_label(F.col("l")).alias("a")).crossJoin(table.select("code", normalize_label(F.col("alias")).alias("b"), "pos")).withColumn("s", label_similarity(F.col("a"), F.col("b"))).where(F.col("s") >= least)
+        want = {r.i: (r.b.code, r.b.s) for r in every.groupBy("i").agg(F.min(F.struct((-F.col("s")).alias("m"), "pos", "code", "s")).alias("b")).collect()}
+        got = {r.i: (r.code, r.similarity) for r in K.match_labels(rows, "l", table, least).collect()}
+        assert got == {i: want.get(i, (None, None)) for i in range(len(names))}
+    many = spark.range(20_001).select(F.concat(F.lit("c"), F.col("id")).alias("code"), F.concat(F.lit("compte numero "), F.col("id")).alias("alias"), F.col("id").alias("pos"))
+    one = spark.createDataFrame([(1, "Compte numéro 20000"), (2, "rien")], "i int, l string")
+    assert {r.i: r.code for r in K.match_labels(one, "l", many).collect()} == {1: "c20000", 2: None}
 
 
 def test_sheets(spark, tmp_path):

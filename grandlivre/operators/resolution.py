@@ -6,7 +6,10 @@ breaks ties. One shuffle by document serves everything: windows and aggregations
 document's fields, a few dozen however large the corpus, become columns of one row.
 
 A slot is a choice to be made: mostly a field, and for the net result one of its four printed places. A field is a
-struct (value, status, warnings), null if nothing was found. Absent amounts stay null.
+struct (value, status, warnings, sources), null if nothing was found. Absent amounts stay null.
+
+``sources`` names the slots that a value comes from, and goes through choices, sums and derivations as the value does;
+it is as short as a formula. ``provenance`` turns it into the candidates behind every value with one join.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from ..rules import candidates as RULES
 from .candidates import agree
 
 NOTES = "array<string>"
-FIELD = f"struct<value:{AMOUNT},status:string,warnings:{NOTES}>"
+#: Slots behind a value; ``every`` if all candidates of equal rank are meant and not the first alone.
+SOURCES = "array<struct<slot:string,every:boolean>>"
+FIELD = f"struct<value:{AMOUNT},status:string,warnings:{NOTES},sources:{SOURCES}>"
+#: What ``provenance`` tells about a candidate, where the candidates have it.
+EVIDENCE = ["ordinal", "page_number", "page_type", "section", "nature", "period", "raw_label", "raw_value", "amount", "column_name", "column_role", "confidence", "orientation", "source_excerpt"]
 #: Priorities this near to the best one count as equal.
 BAND = 5.0
 DOC = "document_id"
@@ -179,19 +186,23 @@ def slots(prepared: DataFrame) -> DataFrame:
     return out.where(F.col("_near").isNull() | (away <= F.col("_near") + 1)).withColumn("told", F.col("_ca").isNotNull() | F.col("_rc").isNotNull()).drop("tier", "_tier", "_page", "_near", "_ca", "_rc")
 
 
+def ranked(cands: DataFrame) -> DataFrame:
+    """Candidates of slots with priority (null where a candidate may not stand) and near: within ``BAND`` of the slot's best."""
+    out = cands.withColumn("priority", F.when(F.col("ok"), F.col("priority"))).withColumn("_top", F.max("priority").over(Window.partitionBy(DOC, "slot")))
+    return out.withColumn("near", F.coalesce(F.col("priority") >= F.col("_top") - BAND, F.lit(False))).drop("_top")
+
+
 def pick(cands: DataFrame) -> DataFrame:
     """(document_id, slot, field, best, n_candidates): the choice among the eligible candidates of each slot, null if there is none.
 
     Several amounts within ``BAND`` of the best priority conflict; a suspected shift of rows makes customers,
     suppliers and stocks ambiguous. ``best`` is the first amount by priority and source order whatever the status.
     """
-    own = Window.partitionBy(DOC, "slot")
-    ranked = cands.withColumn("priority", F.when(F.col("ok"), F.col("priority"))).withColumns({"_top": F.max("priority").over(own), "_mixed": is_mixed_comma(F.col("raw_value"))})
-    near = F.col("priority") >= F.col("_top") - BAND  # null, and so left out, where a candidate may not stand
+    near = F.col("near")
     shifted = F.exists("warnings", lambda w: w.contains("suspected_row_shift"))
-    first = F.max_by(F.struct("amount", shifted.alias("shifted"), F.col("_mixed").alias("mixed"), "page_number"), F.when(F.col("ok"), F.struct("priority", -F.col("ordinal"))))
+    first = F.max_by(F.struct("amount", shifted.alias("shifted"), is_mixed_comma(F.col("raw_value")).alias("mixed"), "page_number"), F.when(F.col("ok"), F.struct("priority", -F.col("ordinal"))))
     least, most = F.min(F.when(near, F.col("amount"))), F.max(F.when(near, F.col("amount")))
-    picks = ranked.groupBy(DOC, "slot").agg(first.alias("_b"), least.alias("_lo"), most.alias("_hi"), F.count_if("ok").alias("n_candidates"), F.max("told").alias("told"))
+    picks = ranked(cands).groupBy(DOC, "slot").agg(first.alias("_b"), least.alias("_lo"), most.alias("_hi"), F.count_if("ok").alias("n_candidates"), F.max("told").alias("told"))
     code, b = F.regexp_replace("slot", "^ANY:", ""), F.col("_b")
     status = F.when(code.isin("CLIENTS", "FOURNISSEURS", "STOCKS") & b["shifted"], "ambiguous").when(F.col("_lo") != F.col("_hi"), "conflicting").otherwise("confirmed")
     note = lambda test, text: F.when(test, F.lit(text) if isinstance(text, str) else text)
@@ -202,14 +213,25 @@ def pick(cands: DataFrame) -> DataFrame:
             note(confirmed & (F.col("n_candidates") > 1), F.concat((F.col("n_candidates") - 1).cast("string"), F.lit(" lower candidates"))), note(confirmed & b["shifted"], "row_shift_suspected"),
         )
     )
-    return picks.select(DOC, "slot", F.when(F.col("n_candidates") > 0, F.struct(F.when(confirmed, b["amount"]).alias("value"), status.alias("status"), notes.alias("warnings"))).alias("field"), b["amount"].alias("best"), b["page_number"].alias("page"), "n_candidates", "told")
+    field = F.struct(F.when(confirmed, b["amount"]).alias("value"), status.alias("status"), notes.alias("warnings"), source(F.col("slot"), status == "conflicting").alias("sources"))
+    return picks.select(DOC, "slot", F.when(F.col("n_candidates") > 0, field).alias("field"), b["amount"].alias("best"), b["page_number"].alias("page"), "n_candidates", "told")
+
+
+def source(slot: Column, every: Column) -> Column:
+    """Sources of one slot."""
+    return F.array(F.struct(slot.alias("slot"), every.alias("every"))).cast(SOURCES)
+
 
+def sources(*codes: str) -> Column:
+    """The sources of field columns, one after the other, each once; none of an absent field."""
+    return F.array_distinct(F.concat(*(F.coalesce(F.col(c)["sources"], F.array().cast(SOURCES)) for c in codes)))
 
-def make(value: Column, status: str | Column, note: str | Column | None = None) -> Column:
-    """A field."""
+
+def make(value: Column, status: str | Column, note: str | Column | None = None, sources: Column | None = None) -> Column:
+    """A field; without sources it comes from nowhere."""
     status = F.lit(status) if isinstance(status, str) else status
     notes = F.array().cast(NOTES) if note is None else F.array_compact(F.array(F.lit(note) if isinstance(note, str) else note))
-    return F.struct(value.cast(AMOUNT).alias("value"), status.alias("status"), notes.alias("warnings")).cast(FIELD)
+    return F.struct(value.cast(AMOUNT).alias("value"), status.alias("status"), notes.alias("warnings"), (F.array().cast(SOURCES) if sources is None else sources).alias("sources")).cast(FIELD)
 
 
 def usable(code: str) -> Column:
@@ -231,7 +253,12 @@ _CODES = sorted({c for fields in RULES.SECTION_FIELDS.values() for c in fields}
 
 def resolved_fields(cands: DataFrame) -> DataFrame:
     """One row for each document: a column for each field, after special rules, derivations and defaults."""
-    picked = pick(slots(prepare(cands)))
+    return fields_of(slots(prepare(cands)))
+
+
+def fields_of(competing: DataFrame) -> DataFrame:
+    """``resolved_fields`` of candidates that are in their slots already, for callers that need both and write them once."""
+    picked = pick(competing)
     # a document's slots, at most two for each field
     df = picked.groupBy(DOC).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("field", "best", "told").alias("pick")))).alias("m"))
     at = lambda slot: F.element_at("m", F.lit(slot))
@@ -249,10 +276,10 @@ def resolved_fields(cands: DataFrame) -> DataFrame:
     df = df.withColumns(fields | {"_xiii": at("ANY:RESULTAT_NET_XIII")["best"], "_xvi": at("ANY:RESULTAT_NET_XVI")["best"], "_cpc": at("NET_CPC")["best"], "_passif": at("NET_BILAN")["best"]})
     df = df.withColumns({"RESULTAT_NET": F.coalesce(net_result(*map(F.col, ("_xiii", "_xvi", "_cpc", "_passif"))), F.col("RESULTAT_NET"))})
     parts = ["ACTIFS_IMMOBILISES", "ACTIF_CIRCULANT", "TRESORERIE_ACTIF"]
-    whole = F.when(reduce(lambda a, b: a & b, map(usable, parts)), make(sum((amount(c) for c in parts[1:]), amount(parts[0])), "derived", "sum_of_three_parts"))
+    whole = F.when(reduce(lambda a, b: a & b, map(usable, parts)), make(sum((amount(c) for c in parts[1:]), amount(parts[0])), "derived", "sum_of_three_parts", sources(*parts)))
     df = df.withColumn("TOTAL_ACTIF", F.when(usable("TOTAL_ACTIF"), F.col("TOTAL_ACTIF")).otherwise(F.coalesce(whole, F.col("TOTAL_ACTIF"))))
     df = df.withColumn("TOTAL_BILAN", balance_total())
-    df = df.withColumn("ACHATS_TOTAL", F.when(usable("ACHATS_REVENDUS") & usable("ACHATS_CONSOMMES"), make(amount("ACHATS_REVENDUS") + amount("ACHATS_CONSOMMES"), "derived", "resold_plus_consumed")).otherwise(F.col("ACHATS_TOTAL")))
+    df = df.withColumn("ACHATS_TOTAL", F.when(usable("ACHATS_REVENDUS") & usable("ACHATS_CONSOMMES"), make(amount("ACHATS_REVENDUS") + amount("ACHATS_CONSOMMES"), "derived", "resold_plus_consumed", sources("ACHATS_REVENDUS", "ACHATS_CONSOMMES"))).otherwise(F.col("ACHATS_TOTAL")))
     return derive_results(df).drop("m", "_xiii", "_xvi", "_cpc", "_passif")
 
 
@@ -260,24 +287,26 @@ def net_result(xiii: Column, xvi: Column, cpc: Column, passif: Column) -> Column
     """The net result from its four printed places; null if none of them decides."""
     numbered = xiii.isNotNull() & xvi.isNotNull()
     same = numbered & agree(xiii, xvi)
+    lines, income, sheet = (F.concat(*(source(F.lit(s), F.lit(False)) for s in names)) for names in (["ANY:RESULTAT_NET_XIII", "ANY:RESULTAT_NET_XVI"], ["NET_CPC"], ["NET_BILAN"]))
     return (
-        F.when(same, make(xiii, "confirmed", F.when(~agree(xiii, passif), "balance_sheet_differs")))
-        .when(numbered & passif.isNotNull(), make(passif, "confirmed", "lines_differ"))
-        .when(numbered, make(F.lit(None), "conflicting", "lines_differ"))
-        .when(agree(cpc, passif), make(cpc, "confirmed"))
-        .when(cpc.isNotNull() & passif.isNotNull(), make(passif, "confirmed", "income_statement_differs"))
-        .when(cpc.isNotNull() | passif.isNotNull(), make(F.coalesce(cpc, passif), "confirmed"))
+        F.when(same, make(xiii, "confirmed", F.when(~agree(xiii, passif), "balance_sheet_differs"), lines))
+        .when(numbered & passif.isNotNull(), make(passif, "confirmed", "lines_differ", sheet))
+        .when(numbered, make(F.lit(None), "conflicting", "lines_differ", lines))
+        .when(agree(cpc, passif), make(cpc, "confirmed", None, F.concat(income, sheet)))
+        .when(cpc.isNotNull() & passif.isNotNull(), make(passif, "confirmed", "income_statement_differs", sheet))
+        .when(cpc.isNotNull() | passif.isNotNull(), make(F.coalesce(cpc, passif), "confirmed", None, F.when(cpc.isNotNull(), income).otherwise(sheet)))
     )
 
 
 def balance_total() -> Column:
     """The balance total: both sides agreeing, one side alone, or none."""
     a, b = usable("TOTAL_ACTIF"), usable("TOTAL_PASSIF")
+    both = sources("TOTAL_ACTIF", "TOTAL_PASSIF")
     return (
-        F.when(a & b & agree(amount("TOTAL_ACTIF"), amount("TOTAL_PASSIF")), make(amount("TOTAL_ACTIF"), "confirmed"))
-        .when(a & b, make(F.lit(None), "conflicting", "sides_differ"))
-        .when(a, make(amount("TOTAL_ACTIF"), "derived", "assets_alone"))
-        .when(b, make(amount("TOTAL_PASSIF"), "derived", "liabilities_alone"))
+        F.when(a & b & agree(amount("TOTAL_ACTIF"), amount("TOTAL_PASSIF")), make(amount("TOTAL_ACTIF"), "confirmed", None, both))
+        .when(a & b, make(F.lit(None), "conflicting", "sides_differ", both))
+        .when(a, make(amount("TOTAL_ACTIF"), "derived", "assets_alone", sources("TOTAL_ACTIF")))
+        .when(b, make(amount("TOTAL_PASSIF"), "derived", "liabilities_alone", sources("TOTAL_PASSIF")))
         .otherwise(make(F.lit(None), "missing"))
     )
 
@@ -299,11 +328,11 @@ def derive_results(df: DataFrame) -> DataFrame:
         calc = (amount(first) + amount(second) if sign > 0 else amount(first) - amount(second)).cast(AMOUNT)
         both = usable(first) & usable(second)
         wrong = usable(target) & ~agree(amount(target), calc)
-        df = df.withColumn(target, F.when(both & wrong, make(calc, "derived", "reading_replaced")).when(both & is_open(target), make(calc, "derived", "from_parts")).otherwise(F.col(target)))
+        df = df.withColumn(target, F.when(both & wrong, make(calc, "derived", "reading_replaced", sources(target, first, second))).when(both & is_open(target), make(calc, "derived", "from_parts", sources(first, second))).otherwise(F.col(target)))
     both = usable("RESULTAT_AVANT_IMPOT") & usable("IMPOT_SUR_RESULTATS")
-    df = df.withColumn("RESULTAT_NET", F.when(both & F.col("RESULTAT_NET").isNull(), make(amount("RESULTAT_AVANT_IMPOT") - amount("IMPOT_SUR_RESULTATS"), "derived", "before_tax_less_tax")).otherwise(F.col("RESULTAT_NET")))
+    df = df.withColumn("RESULTAT_NET", F.when(both & F.col("RESULTAT_NET").isNull(), make(amount("RESULTAT_AVANT_IMPOT") - amount("IMPOT_SUR_RESULTATS"), "derived", "before_tax_less_tax", sources("RESULTAT_AVANT_IMPOT", "IMPOT_SUR_RESULTATS"))).otherwise(F.col("RESULTAT_NET")))
     both = usable("TRESORERIE_ACTIF") & usable("TRESORERIE_PASSIF")
-    return df.withColumn("TRESORERIE_NETTE", F.when(both & F.col("TRESORERIE_NETTE").isNull(), make(amount("TRESORERIE_ACTIF") - amount("TRESORERIE_PASSIF"), "derived", "assets_less_liabilities")).otherwise(F.col("TRESORERIE_NETTE")))
+    return df.withColumn("TRESORERIE_NETTE", F.when(both & F.col("TRESORERIE_NETTE").isNull(), make(amount("TRESORERIE_ACTIF") - amount("TRESORERIE_PASSIF"), "derived", "assets_less_liabilities", sources("TRESORERIE_ACTIF", "TRESORERIE_PASSIF"))).otherwise(F.col("TRESORERIE_NETTE")))
 
 
 def to_dataset(resolved: DataFrame, vision: bool = False) -> DataFrame:
@@ -317,20 +346,20 @@ def to_dataset(resolved: DataFrame, vision: bool = False) -> DataFrame:
     missing = lambda c: F.col(c)["status"] == "missing"
     every = lambda *codes: reduce(lambda a, b: a & b, map(usable, codes))
 
-    def put(df: DataFrame, target: str, when: Column, value: Column, note: str) -> DataFrame:
-        return df.withColumn(target, F.when(when, make(value, "derived", note)).otherwise(F.col(target)))
+    def put(df: DataFrame, target: str, when: Column, value: Column, note: str, *parts: str) -> DataFrame:
+        return df.withColumn(target, F.when(when, make(value, "derived", note, sources(*parts))).otherwise(F.col(target)))
 
     cash = amount("TRESORERIE_ACTIF") - amount("TRESORERIE_PASSIF")
-    df = put(df, "TRESORERIE_NETTE", missing("TRESORERIE_NETTE") & every("TRESORERIE_ACTIF", "TRESORERIE_PASSIF"), cash, "assets_less_liabilities")
-    sides = every("ACTIF_CIRCULANT", "TRESORERIE_ACTIF", "PASSIF_CIRCULANT", "TRESORERIE_PASSIF")
-    df = put(df, "FDR", missing("FDR") & sides, amount("ACTIF_CIRCULANT") + amount("TRESORERIE_ACTIF") - amount("PASSIF_CIRCULANT") - amount("TRESORERIE_PASSIF"), "current_sides")
-    df = put(df, "CAF", missing("CAF") & every("RESULTAT_NET", "DOTATIONS_AMORTISSEMENTS"), amount("RESULTAT_NET") + amount("DOTATIONS_AMORTISSEMENTS"), "simple_cash_flow")
+    df = put(df, "TRESORERIE_NETTE", missing("TRESORERIE_NETTE") & every("TRESORERIE_ACTIF", "TRESORERIE_PASSIF"), cash, "assets_less_liabilities", "TRESORERIE_ACTIF", "TRESORERIE_PASSIF")
+    current = ("ACTIF_CIRCULANT", "TRESORERIE_ACTIF", "PASSIF_CIRCULANT", "TRESORERIE_PASSIF")
+    df = put(df, "FDR", missing("FDR") & every(*current), amount("ACTIF_CIRCULANT") + amount("TRESORERIE_ACTIF") - amount("PASSIF_CIRCULANT") - amount("TRESORERIE_PASSIF"), "current_sides", *current)
+    df = put(df, "CAF", missing("CAF") & every("RESULTAT_NET", "DOTATIONS_AMORTISSEMENTS"), amount("RESULTAT_NET") + amount("DOTATIONS_AMORTISSEMENTS"), "simple_cash_flow", "RESULTAT_NET", "DOTATIONS_AMORTISSEMENTS")
     if vision:
-        df = put(df, "TRESORERIE_NETTE", is_open("TRESORERIE_NETTE") & every("TRESORERIE_ACTIF", "TRESORERIE_PASSIF"), cash, "assets_less_liabilities")
+        df = put(df, "TRESORERIE_NETTE", is_open("TRESORERIE_NETTE") & every("TRESORERIE_ACTIF", "TRESORERIE_PASSIF"), cash, "assets_less_liabilities", "TRESORERIE_ACTIF", "TRESORERIE_PASSIF")
         debts = F.when(usable("DETTES_FINANCIERES"), amount("DETTES_FINANCIERES")).otherwise(F.lit(0).cast(AMOUNT))
-        df = put(df, "FDR", is_open("FDR") & every("FONDS_PROPRES", "ACTIFS_IMMOBILISES"), amount("FONDS_PROPRES") + debts - amount("ACTIFS_IMMOBILISES"), "permanent_capital")
-        df = put(df, "BFDR", is_open("BFDR") & every("FDR", "TRESORERIE_NETTE"), amount("FDR") - amount("TRESORERIE_NETTE"), "working_capital_less_cash")
-        df = put(df, "ACHATS_TOTAL", is_open("ACHATS_TOTAL") & every("ACHATS_REVENDUS", "ACHATS_CONSOMMES"), amount("ACHATS_REVENDUS") + amount("ACHATS_CONSOMMES"), "resold_plus_consumed")
+        df = put(df, "FDR", is_open("FDR") & every("FONDS_PROPRES", "ACTIFS_IMMOBILISES"), amount("FONDS_PROPRES") + debts - amount("ACTIFS_IMMOBILISES"), "permanent_capital", "FONDS_PROPRES", "DETTES_FINANCIERES", "ACTIFS_IMMOBILISES")
+        df = put(df, "BFDR", is_open("BFDR") & every("FDR", "TRESORERIE_NETTE"), amount("FDR") - amount("TRESORERIE_NETTE"), "working_capital_less_cash", "FDR", "TRESORERIE_NETTE")
+        df = put(df, "ACHATS_TOTAL", is_open("ACHATS_TOTAL") & every("ACHATS_REVENDUS", "ACHATS_CONSOMMES"), amount("ACHATS_REVENDUS") + amount("ACHATS_CONSOMMES"), "resold_plus_consumed", "ACHATS_REVENDUS", "ACHATS_CONSOMMES")
     return df
 
 
@@ -340,6 +369,21 @@ def dataset_values(dataset: DataFrame, keys: list[str] = [DOC]) -> DataFrame:  #
     return dataset.select(*keys, F.inline(F.array(*cells)))
 
 
+def provenance(dataset: DataFrame, competing: DataFrame) -> DataFrame:
+    """The candidates behind every value of a dataset (or of ``resolved_fields``), from the slots that gave it.
+
+    Rows (document_id, code, status, source, place, slot, and of ``EVIDENCE`` what the candidates have): ``source`` counts
+    the sources of a value in the order of its formula, ``place`` the candidates of one source by rank and source order.
+    A conflict shows all candidates of equal rank, other values the first. Values that come from nowhere have no row.
+    """
+    codes = [c for c in _CODES if c in dataset.columns]
+    cells = F.inline(F.array(*(F.struct(F.lit(c).alias("code"), F.col(c)["status"].alias("status"), F.col(c)["sources"].alias("sources")) for c in codes)))
+    named = dataset.select(DOC, cells).select(DOC, "code", "status", F.posexplode("sources").alias("source", "_s")).select(DOC, "code", "status", "source", "_s.*")
+    order = Window.partitionBy(DOC, "slot").orderBy(F.col("priority").desc(), "ordinal")
+    standing = ranked(competing).where("near").withColumn("place", F.row_number().over(order)).select(DOC, "slot", "place", *(c for c in EVIDENCE if c in competing.columns))
+    return named.join(standing, [DOC, "slot"]).where("every or place = 1").drop("every")
+
+
 # The columns that ratio operators read, and the fields that give them.
 RATIO_FIELDS = {
     "ca": "CHIFFRE_AFFAIRES", "ca_n1": "CHIFFRE_AFFAIRES_N1", "fp": "FONDS_PROPRES", "tb": "TOTAL_BILAN", "df": "DETTES_FINANCIERES", "rn": "RESULTAT_NET", "caf": "CAF",

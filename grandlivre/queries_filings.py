@@ -29,6 +29,7 @@ from .plans.statements import ST_SQL, statements
 from .rules.candidates import DATASET
 from .sources import documents as D
 from .sources import reports
+from .sources.scratch import written_once
 from .streaming import jobs
 
 DOC = "document_id"
@@ -140,6 +141,14 @@ def resolved_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select(DOC, "code", F.col("value").cast("double").alias("value"), "status")
 
 
+def value_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page, section, column and reading behind every value of every document, through conflicts, sums and derivations."""
+    competing = written_once(R.slots(R.prepare(V.common_candidates(_candidates(spark, sf_dir)))), "competing")
+    fields = written_once(R.fields_of(competing), "fields")  # one row a document; what follows is planned from its columns alone
+    found = R.provenance(R.to_dataset(fields, vision=True), competing)
+    return found.select(DOC, "code", "status", "source", "place", "page_number", "section", "column_role", "raw_label", F.col("amount").cast("double").alias("amount"))
+
+
 def candidate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible and refused candidates by field and reason."""
     ready = R.prepare(V.common_candidates(_candidates(spark, sf_dir)))
@@ -426,7 +435,7 @@ def financial_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    financial_table_rows, payload_cells, observed_fields, extraction_results, resolved_candidates, candidate_reasons, mapping_audits, dataset_controls, analysed_cases, page_sections, section_chunks, amounts_in_text, native_amounts,
+    financial_table_rows, payload_cells, observed_fields, extraction_results, resolved_candidates, value_provenance, candidate_reasons, mapping_audits, dataset_controls, analysed_cases, page_sections, section_chunks, amounts_in_text, native_amounts,
     keyword_values, report_elements, recovered_candidates, model_replies, page_attempts, page_counters, card_sides, folded_labels, column_natures, overridden_scores, lot_summary, axes_sheet, ratio_sheet_details,
     job_states, upload_admission, control_outcomes, invalidated_datasets, fallback_amounts, signed_keywords, recovered_zeros,
 ]
@@ -474,6 +483,25 @@ def oracle_sql(axes: str, weighted: str, grid: Callable[[str], str]) -> dict[str
         pick("CHIFFRE_AFFAIRES", p("ca"), told("ca")), pick("RESULTAT_NET", p("rn"), told("rn")), pick("CLIENTS", f"CASE WHEN k % 6 <> 0 THEN {p('clients')} END", told("clients", "CASE WHEN k % 6 = 0 THEN 'conflicting' ELSE 'confirmed' END")), pick("TRESORERIE_NETTE", net, told(net, "'derived'")),
         pick("RESULTAT_FINANCIER", "achats - fourn + 1", told("achats - fourn")), pick("ENCOURS_LEASING", "NULL", "'missing'"),
     ]
+    assets, equity, income = "2, 'BILAN_ACTIF', 'NET_N'", "3, 'BILAN_PASSIF', 'EXERCICE_N'", "5, 'CPC', 'TOTAL_EXERCICE_N'"
+    behind = lambda code, status, where, label, x, when, source=0, place=1: (
+        f"SELECT document_id, '{code}' code, {status} AS status, {source} source, {place} place, {where}, '{label}', {num(x)} FROM f WHERE ({x}) IS NOT NULL AND {when}"
+    )
+    read = "'confirmed'"
+    sheet = "CASE k % 5 WHEN 0 THEN 'conflicting' WHEN 1 THEN 'derived' ELSE 'confirmed' END"
+    other = f"{p('tb')} + CASE WHEN k % 5 = 0 THEN 50000 ELSE 0 END"
+    sources = [
+        behind("TOTAL_ACTIF", read, assets, "TOTAL GENERAL I+II+III", p("tb"), "true"), behind("TOTAL_PASSIF", read, equity, "TOTAL I+II+III", other, "k % 5 <> 1"),
+        behind("TOTAL_BILAN", sheet, assets, "TOTAL GENERAL I+II+III", p("tb"), "true"), behind("TOTAL_BILAN", sheet, equity, "TOTAL I+II+III", other, "k % 5 <> 1", 1),
+        behind("FONDS_PROPRES", read, equity, "TOTAL DES CAPITAUX PROPRES", p("fp"), "true"), behind("DETTES_FINANCIERES", read, equity, "TOTAL DES DETTES DE FINANCEMENT", p("df"), "true"),
+        behind("CHIFFRE_AFFAIRES", read, income.replace("5", "4", 1), "Chiffre d''affaires", p("ca"), "true"), behind("RESULTAT_NET", read, income, "XIII Résultat net", p("rn"), "k % 7 <> 0"),
+        behind("RESULTAT_NET", read, income, "XVI Résultat net", p("rn"), "k % 7 <> 0", 1), behind("RESULTAT_NET", read, equity, "Résultat net de l''exercice", p("rn"), "k % 7 = 0"),
+        behind("CLIENTS", "CASE WHEN k % 6 = 0 THEN 'conflicting' ELSE 'confirmed' END", assets, "Clients et comptes rattachés", p("clients"), "true"), behind("CLIENTS", "'conflicting'", assets, "Clients et comptes rattachés", f"{p('clients')} + 10", "k % 6 = 0", place=2),
+        behind("TRESORERIE_ACTIF", read, assets, "TOTAL TRESORERIE-ACTIF", p("ta"), "true"), behind("TRESORERIE_PASSIF", read, equity, "Trésorerie-Passif", p("tp"), "true"),
+        behind("TRESORERIE_NETTE", "'derived'", assets, "TOTAL TRESORERIE-ACTIF", p("ta"), "tp IS NOT NULL"), behind("TRESORERIE_NETTE", "'derived'", equity, "Trésorerie-Passif", p("tp"), "ta IS NOT NULL", 1),
+        behind("PRODUITS_FINANCIERS", read, income, "Produits financiers", p("achats"), "true"), behind("CHARGES_FINANCIERES", read, income, "Charges financières", p("fourn"), "true"),
+        behind("RESULTAT_FINANCIER", read, income, "Résultat financier", p("achats - fourn + 1"), "true"),
+    ]
     folded = lambda keep: f"trim(regexp_replace({keep}, '\\s+', ' ', 'g'))"
     strict, loose = folded("regexp_replace(lower(strip_accents(l)), '[^a-z0-9]', ' ', 'g')"), folded("lower(strip_accents(l))")
     inputs = {"ca": "ca", "fp": "fp", "tb": "tb", "df": "df", "rn": "rn", "caf": "caf", "fdr": "fdr", "tn": "tn", "clients": "clients", "fourn": "fourn", "achats": "achats", "ca_n1": "n1", "leasing": "ta", "cmt": "tp", "operation": "clients"}
@@ -506,6 +534,7 @@ def oracle_sql(axes: str, weighted: str, grid: Callable[[str], str]) -> dict[str
           CASE WHEN {p("rn")} > 0 THEN 'Bénéficiaire' WHEN {p("rn")} < 0 THEN 'Déficitaire' WHEN rn IS NOT NULL THEN 'Nul' END sign, {n("ta IS NOT NULL OR tp IS NOT NULL", "df IS NOT NULL", "tp IS NOT NULL")} n_passed,
           1 + {n("ta IS NULL AND tp IS NULL", "df IS NULL", "tp IS NULL", "rn IS NOT NULL")} n_untested, 3 n_sections, {num(p("rn"))} scored_result, document_id reference, CAST(y AS VARCHAR) exercice FROM f""",
         "resolved_candidates": f"WITH {f} {' UNION ALL '.join(picks)}",
+        "value_provenance": f"WITH {f}, s(document_id, code, status, source, place, page_number, section, column_role, raw_label, amount) AS ({' UNION ALL '.join(sources)}) SELECT * FROM s",
         "candidate_reasons": f"WITH {f}, r AS ({' UNION ALL '.join(reasons)}) SELECT field_code, reasons, ok, CAST(sum(x) AS BIGINT) n FROM r GROUP BY 1, 2, 3 HAVING sum(x) > 0",
         "mapping_audits": f"""WITH {f}, g AS (SELECT document_id, {' + '.join(f'({g})' for g in given.values())} candidates_total, {n(*(f'({g}) > 0' for g in given.values()))} n_fields, CASE WHEN k % 6 = 0 AND clients IS NOT NULL THEN 'CLIENTS' END a, CASE WHEN k % 5 = 0 THEN 'TOTAL_BILAN' END b FROM f)
         SELECT document_id, candidates_total, n_fields, {n("a IS NOT NULL", "b IS NOT NULL")} n_conflicting, concat_ws(',', a, b) conflicting FROM g""",

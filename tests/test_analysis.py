@@ -62,7 +62,7 @@ def test_extract_and_score(spark):
 
 def dataset(spark, **documents):
     """Datasets of confirmed amounts."""
-    cell = lambda v: (D(str(v)), "confirmed", []) if v is not None else (None, "missing", [])
+    cell = lambda v: (D(str(v)), "confirmed", [], []) if v is not None else (None, "missing", [], [])
     rows = [(d, [], *(cell(f.get(c)) for c in DATASET)) for d, f in documents.items()]
     return spark.createDataFrame(rows, f"document_id string, warnings array<string>, {', '.join(f'{c} {R.FIELD}' for c in DATASET)}")
 

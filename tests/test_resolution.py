@@ -106,6 +106,29 @@ def test_odd_cases(fields):
     assert "none" not in got
 
 
+def test_where_values_come_from(candidates):
+    competing = R.slots(R.prepare(V.common_candidates(candidates)))
+    data = R.to_dataset(R.fields_of(competing), vision=True)
+    rows = R.provenance(data, competing.withColumn("clash", F.lit(1))).collect()
+    behind = {}
+    for r in sorted(rows, key=lambda r: (r.source, r.place)):
+        behind.setdefault((r.document_id, r.code), []).append((r.raw_label, r.page_number))
+    at = lambda code, doc="whole": behind[doc, code]
+    sides, net = [("TOTAL GENERAL I+II+III", 2), ("TOTAL I+II+III", 3)], [("XIII Résultat net", 5), ("XVI Résultat net", 5)]
+    equity, fixed, debts = ("TOTAL DES CAPITAUX PROPRES", 3), ("TOTAL I", 2), ("TOTAL DES DETTES DE FINANCEMENT", 3)
+    cash = [("TOTAL TRESORERIE-ACTIF", 2), ("Trésorerie-Passif", 3)]
+    assert at("TOTAL_BILAN") == sides and at("RESULTAT_NET") == net and at("STOCKS") == [("TOTAL STOCKS", 2)] and at("TRESORERIE_NETTE") == cash
+    assert at("RESULTAT_FINANCIER") == [("Produits financiers", 5), ("Charges financières", 5)] and at("ACHATS_TOTAL") == [("Achats revendus", 4), ("Achats consommés", 4)]
+    # current sides give the working capital, and it goes on into its own derivation; cash stands there once
+    current = [("TOTAL II", 2), cash[0], ("TOTAL DU PASSIF CIRCULANT", 3), cash[1]]
+    assert at("FDR") == current and at("BFDR") == current
+    assert at("CLIENTS", "tie") == [("Clients et comptes rattachés", 1), ("clients et comptes rattaches", 1)]  # both readings of a conflict
+    parts = [at(c, "amounts")[0] for c in ("ACTIFS_IMMOBILISES", "ACTIF_CIRCULANT", "TRESORERIE_ACTIF")]
+    assert at("TOTAL_ACTIF", "amounts") == parts == at("TOTAL_BILAN", "amounts")  # a total of its parts, and the balance from it
+    assert at("FDR", "amounts") == [at("FONDS_PROPRES", "amounts")[0], parts[0]] and ("none", "STOCKS") not in behind and ("whole", "ENCOURS_LEASING") not in behind
+    assert equity in at("FONDS_PROPRES") and fixed in at("ACTIFS_IMMOBILISES") and debts in at("DETTES_FINANCIERES")
+
+
 def test_dataset_of_the_filing(fields):
     resolved = fields[0]
     text, vision = ({r.document_id: r for r in R.to_dataset(resolved, v).collect()}["whole"] for v in (False, True))

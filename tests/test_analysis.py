@@ -88,6 +88,16 @@ def test_controls_that_pass_and_fail(spark):
     assert "Champ TOTAL_BILAN invalidé suite au contrôle bilan_equilibre." in bad.warnings
 
 
+def test_identities_are_fields(spark):
+    from grandlivre.queries_filings import _identities
+
+    rows = _identities(spark, "/root/testdata/sf0.001")
+    whole = spark.range(1).select(R.make(F.lit(None), "missing").alias("f")).schema["f"].dataType.simpleString()
+    assert {f.dataType.simpleString() for f in rows.schema if f.name not in ("document_id", "warnings")} == {whole}
+    lost = A.invalidate(A.with_controls(rows)).where("TOTAL_ACTIF.status = 'conflicting'").first()
+    assert lost.TOTAL_ACTIF.value is None and lost.TOTAL_ACTIF.warnings == ["control bilan_equilibre"] and lost.TOTAL_ACTIF.sources == []
+
+
 def test_analysis(spark):
     rows = dataset(spark, good=WHOLE, alone=WHOLE, bad=WHOLE | dict(TOTAL_PASSIF=1), severe=WHOLE, poor={})
     metrics = [("good", 96.0, 38.0, 41, -4.2, 0, 0, 0, 0, 3), ("bad", 96.0, 38.0, 41, -4.2, 0, 0, 0, 0, 3), ("severe", 96.0, 38.0, 41, -4.2, 0, 0, 0, 0, 8)]

@@ -1,5 +1,7 @@
 """Accounting operators: golden values, and every query against its SQL."""
 
+from decimal import Decimal as D
+
 import duckdb
 import pandas as pd
 import pytest
@@ -12,6 +14,7 @@ from grandlivre.operators import controls as X
 from grandlivre.operators import ratios as R
 from grandlivre.operators import resolve as W
 from grandlivre.operators import scoring as S
+from grandlivre.plans.statements import ST_SQL
 from grandlivre.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +70,23 @@ def test_weighted_ratios(spark):
     assert (float(axis.financial), axis.calculable, axis.risk_class) == (80.8, True, "A/B+")
 
 
+def test_ratio_sql_on_a_half(spark):
+    """A quotient on a half is rounded up and one just below a bound is below it, in the SQL as in the operator."""
+    names = "ca achats clients fourn rn am caf ta tp tn tb df ai fp fdr".split()
+    rows = []
+    for k in range(1, 400):
+        rows.append((k, *(D(10 * k + i) for i, _ in enumerate(names))))
+        rows.append((1000 + k, *(D(8000) if n == "fp" else D(k) / 10 if n == "rn" else D(100) for n in names)))
+    rows.append((5000, *(D("15999999.9999") if n == "fp" else D("80000000") for n in names)))
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{n} decimal(20,4)" for n in names)).withColumns({"y": F.lit(2024), "seg": F.lit("A"), "ca_n1": F.lit(None).cast("decimal(20,4)"), "leasing": F.col("ta"), "cmt": F.col("tp"), "operation": F.col("clients")})
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame([{"k": r[0], **dict(zip(names, map(str, r[1:]), strict=True))} for r in rows]))
+    st = "st AS (SELECT k, 2024 y, 'A' seg, " + ", ".join(f"CAST({n} AS DECIMAL(38,4)) {n}" for n in names) + " FROM given)"
+    want = {(r[0], r[2]): (r[3], r[4]) for r in con.execute(Q.oracle_sql()["g3_ratios"].replace(ST_SQL, st)).fetchall()}
+    got = {(r.k, r.code): (None if r.value is None else float(r.value), r.status) for r in R.weighted_ratios(df, ["k", "y"]).collect()}
+    assert got == want and got[(1001, "financial_profitability")][0] == 0.0 and got[(1004, "financial_profitability")][0] == 0.01 and got[(5000, "financial_autonomy")][1] == "a_surveiller"
+
+
 def test_amounts(spark):
     cases = {
         "14 757 502,81": 14757502.81, "14.757.502,81": 14757502.81, "594 733,04-": -594733.04, "(27 264,00)": -27264.0, "20,49": 20.49, "0,00": 0.0, "0": 0.0, "-193.846,67": -193846.67, "": None, "-": None, "—": None,

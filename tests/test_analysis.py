@@ -88,6 +88,13 @@ def test_controls_that_pass_and_fail(spark):
     assert "Champ TOTAL_BILAN invalidé suite au contrôle bilan_equilibre." in bad.warnings
 
 
+def test_controls_are_compiled(spark, capsys):
+    from grandlivre.queries_filings import control_outcomes
+
+    control_outcomes(spark, "/root/testdata/sf0.001").explain()
+    assert "lambda" not in capsys.readouterr().out  # inside a lambda all eight controls would be interpreted for each row
+
+
 def test_identities_are_fields(spark):
     from grandlivre.queries_filings import _identities
 

@@ -5,6 +5,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from grandlivre.functions import labels as L
 from grandlivre.operators import resolution as R
 from grandlivre.operators import vision as V
 
@@ -174,3 +175,18 @@ def test_provenance(spark, candidates):
     got = {r.code: (r.page_type, r.column_role) for r in V.patch_provenance(values, candidates).collect()}
     assert got == {"STOCKS": ("BILAN_ACTIF", "NET_N"), "OTHER": ("CPC", "EXERCICE_N1"), "NONE": (None, None)}
     assert V.union_candidates(candidates.where("document_id = 'whole'"), candidates.where("document_id = 'whole'").withColumn("ordinal", F.col("ordinal") + 99)).count() == len(FILING)
+
+
+def test_texts_are_folded_once(candidates):
+    """A rule names its label many times; the plan must not fold it as often."""
+    plan = R.prepare(V.common_candidates(candidates))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 60
+
+
+def test_folds_of_odd_texts(spark):
+    odd = ["", "  Total  Général_1   x ", "DETTEES, dettees d’œuvre", "été !!", "Solid es / − 12,5", "a b\tc", "XdetteesX", "ßİ", "--"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*odd, None])], "i int, t string")
+    got = {r.i: (r.o, r.s, r.m) for r in rows.select("i", L.fold(F.col("t")).alias("o"), L.fold(F.col("t"), "strict").alias("s"), L.strip_markers(F.col("t")).alias("m")).collect()}
+    assert got[0] == ("", "", "") and got[9] == ("", "", None)
+    assert got[1][:2] == ("total general_1 x", "total general 1 x")
+    assert got[2][0] == "dettes dettes d oeuvre" and got[3][:2] == ("ete", "ete") and got[4][0] == "soldes 12 5" and got[5][0] == "a b c" and got[6][0] == "xdetteesx" and got[8][:2] == ("", "")

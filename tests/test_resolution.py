@@ -5,6 +5,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from grandlivre import queries_filings as Q
 from grandlivre.functions import labels as L
 from grandlivre.operators import resolution as R
 from grandlivre.operators import vision as V
@@ -190,3 +191,9 @@ def test_folds_of_odd_texts(spark):
     assert got[0] == ("", "", "") and got[9] == ("", "", None)
     assert got[1][:2] == ("total general_1 x", "total general 1 x")
     assert got[2][0] == "dettes dettes d oeuvre" and got[3][:2] == ("ete", "ete") and got[4][0] == "soldes 12 5" and got[5][0] == "a b c" and got[6][0] == "xdetteesx" and got[8][:2] == ("", "")
+
+
+def test_audit_makes_its_candidates_once(spark):
+    """They are counted and resolved, and were made from the order tables for each."""
+    out = Q.mapping_audits(spark, "/root/testdata/sf0.001")
+    assert "l_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -197,3 +197,11 @@ def test_audit_makes_its_candidates_once(spark):
     """They are counted and resolved, and were made from the order tables for each."""
     out = Q.mapping_audits(spark, "/root/testdata/sf0.001")
     assert "l_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_move_once(spark):
+    """Choices are within a document: candidates were shuffled once more for their copies, their sections and their order."""
+    cands = spark.range(10).selectExpr("cast(id as string) document_id", "id ordinal", "'CAF' field_code", "'1,00' raw_value", "'ESG' page_type", "'x' raw_label", "'y' column_name", "'NET_N' column_role", "'N' period", "'DETAIL' nature", "1 page_number", "0.9d confidence", "'z' source_excerpt", "array('w') warnings")
+    out = R.resolved_fields(V.common_candidates(cands)).select("document_id", "CAF")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

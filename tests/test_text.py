@@ -153,3 +153,15 @@ def test_many_hits_stay_linear(spark):
     at = spark.createDataFrame([(text,), ("",), (None,), ("no",)], "t string").select(S.positions(F.col("t"), "(?i)bilan").alias("p")).collect()
     assert at[0].p == list(range(0, len(text), 21)) and [r.p for r in at[1:]] == [[], None, []]
     assert time.time() - began < 120
+
+
+def test_labels_are_found_in_one_scan(spark):
+    """Each text was scanned twice, for what follows a label and for what comes before it."""
+    text = "caisse -- total i 1\n(x) total ii" + "." * 9 + "caisse caisse"
+    labels = ["caisse", "total i", "total ii", "(x)"]
+    for before in (0, 5):
+        rows = spark.createDataFrame([(text,)], "t string").select(N.label_windows(F.col("t"), labels, before, 4).alias("w"))
+        led = "\n" * before + text
+        want = [(i, led[p : p + before + len(x) + 4]) for p in range(len(text)) for i, x in enumerate(labels) if text.startswith(x, p)]
+        assert sorted((w.label, w.window) for w in rows.first().w) == sorted(want)
+        assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1

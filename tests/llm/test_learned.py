@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from grandlivre.llm import language, quality, toxicity
@@ -143,3 +144,19 @@ def test_queries_on_held_out_rows(spark, query, column, least):
     held = [(r[pred], want[r.doc_id]) for r in got if r.held_out and want.get(r.doc_id) is not None and r[pred] != "und"]
     assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert sum(p == w for p, w in held) / len(held) >= least
+
+
+def test_quality_learns_from_all_pairs():
+    """The weights are the least of the loss of every pair, each counted once."""
+    rng = np.random.RandomState(1)
+    x = rng.rand(70, quality.FEATURES)
+    y = np.arange(70) % 3 % 2
+    x[y == 1, 0] += 0.4
+    model = quality.fit_pairs(x, y)
+    z = quality.expand(x, model.mean, model.spread)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    p = 1 / (1 + np.exp(-d @ model.weights))
+    assert np.abs(d.T @ (p - 1) / len(d) + 1e-2 * model.weights).max() < 1e-6
+    grad, hessian = quality.pair_sums(z[y == 1], z[y == 0], model.weights, block=7)
+    assert np.abs(grad - d.T @ (p - 1) / len(d)).max() < 1e-9
+    assert np.abs(hessian - (d * (p * (1 - p))[:, None]).T @ d / len(d)).max() < 1e-5

@@ -205,3 +205,24 @@ def test_candidates_move_once(spark):
     out = R.resolved_fields(V.common_candidates(cands)).select("document_id", "CAF")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_steps_of_folds(spark):
+    """Folds made step by step, with a shorter way for plain texts, are the folds made at once."""
+    odd = ["", " Total  Général_1 x ", "DETTEES d’œuvre", "Æ é !!", "Solid es / − 12,5", "a b\tc_D", "ßİ", "1 234,50", "́ȩ́", "K½²", "Ａb", "日本 x", "-_-"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*odd, None])], "i int, t string")
+    whole = rows.select("i", L.fold(F.col("t")).alias("o"), L.fold(F.col("t"), "strict").alias("s"), L.normalize_label(F.col("t")).alias("n"))
+    steps = L.with_folds(rows, o="t").withColumn("l", L.latin(F.col("t"))).select("i", "o", L.strict(F.col("l")).alias("s"), L.normal(F.col("l")).alias("n"))
+    assert sorted(whole.collect()) == sorted(steps.collect())
+
+
+def test_reasons_are_told_once_a_group(spark, candidates):
+    """Candidates are counted by what reasons read and then judged; they were judged one by one."""
+    cands = V.common_candidates(candidates)
+    rows = R.prepare(cands).groupBy("field_code", "reasons", "ok").agg(F.count("*").alias("n")).collect()
+    out = R.reason_counts(cands)
+    key = lambda r: (r.field_code, tuple(r.reasons), r.ok, r.n)
+    assert sorted(map(key, rows)) == sorted(map(key, out.collect())) and any(r.n > 1 for r in rows)
+    plan = Q.candidate_reasons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, x in enumerate(plan) if "count(1)" in x)
+    assert any("stock_variation" in x for x in plan[:first]) and not any("stock_variation" in x for x in plan[first:])

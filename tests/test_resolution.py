@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grandlivre import queries_filings as Q
 from grandlivre.functions import labels as L
+from grandlivre.operators import analysis as A
 from grandlivre.operators import resolution as R
 from grandlivre.operators import vision as V
 
@@ -226,3 +227,12 @@ def test_reasons_are_told_once_a_group(spark, candidates):
     plan = Q.candidate_reasons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
     first = next(i for i, x in enumerate(plan) if "count(1)" in x)
     assert any("stock_variation" in x for x in plan[:first]) and not any("stock_variation" in x for x in plan[first:])
+
+
+def test_audit_lists_a_row_of_fields(spark, candidates):
+    """A document's fields stand in one row and are listed there; they were made rows and grouped again."""
+    cands = V.common_candidates(candidates)
+    data = R.to_dataset(R.resolved_fields(cands)).localCheckpoint()
+    rows = A.mapping_audit(cands, R.dataset_values(data)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, A.dataset_audit(cands, data).collect())) and any(r.conflicting for r in rows) and any(r.missing for r in rows)
+    assert "collect_set" not in Q.mapping_audits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
